@@ -1,10 +1,10 @@
 """Repeated passages: windows of 13 words as edges of a De Bruijn graph, compacted to long repeated spans.
 
 1. Every text's windows become edges with a 64-bit key; a second hash deals them to buckets, so two edges meet as
-   equal only if both hashes agree.  Within an Arrow batch an edge is kept once, with its smallest document; the
-   batch's other documents that hold it are settled on the spot.  So an edge that a third of all texts hold leaves
-   each batch once, and no bucket grows with the edge's frequency.
-2. Edges travel packed, one row per batch and bucket.  Each bucket names, for every document, its edges that also
+   equal only if both hashes agree.  Within a chunk of texts an edge is kept once, with its smallest document; the
+   chunk's other documents that hold it are settled on the spot.  So an edge that a third of all texts hold leaves
+   each chunk once, and no bucket grows with the edge's frequency.
+2. Edges travel packed, one row per chunk and bucket.  Each bucket names, for every document, its edges that also
    start in a smaller document: the repeated part of the graph.
 3. Each document joins its repeated edges and walks its own path: neighbouring repeated edges overlap in 12 words, so
    they are one nonbranching path and compact to one span of words, in the document's own coordinates.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.arrow import map_columns, picked
 
 WINDOW = 13
+CHUNK_CHARS = 6_000_000  # of text hashed at once in a task; a longer text is a chunk of its own
 _SEEDS = np.random.default_rng(13).integers(0, 2**63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,14 +73,39 @@ def _edges(ids: list, texts: list, width: int):
 
 
 def _packed(bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, ids: np.ndarray):
-    """(bucket, ids, counts, keys) as one row per bucket, keys by document."""
+    """(bucket, least id, ids above it, counts, keys) as one row per bucket, keys by document; a count is a byte, so long runs take several."""
     order = np.argsort(bucket, kind="stable")
     bucket, doc, key = bucket[order], doc[order], key[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
     for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
         own = doc[a:b]
         heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        yield int(bucket[a]), ids[own[heads]].tobytes(), np.diff(np.r_[heads, b - a]).astype(np.uint32).tobytes(), key[a:b].tobytes()
+        runs = np.diff(np.r_[heads, b - a])
+        pieces = (runs + 254) // 255
+        counts = np.full(pieces.sum(), 255, np.uint8)
+        counts[np.cumsum(pieces) - 1] = runs - (pieces - 1) * 255
+        names = np.repeat(ids[own[heads]], pieces)
+        least = int(names.min())
+        above = names - least
+        yield int(bucket[a]), least, above.astype(np.uint32 if above.max() < 2**32 else np.int64).tobytes(), counts.tobytes(), key[a:b].tobytes()
+
+
+def _unpacked(least: int, ids: bytes, counts: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(id, key) of every edge in a packed row."""
+    n = np.frombuffer(counts, np.uint8)
+    above = np.frombuffer(ids, np.uint32 if len(ids) == 4 * len(n) else np.int64)
+    return np.repeat(above.astype(np.int64) + least, n), np.frombuffer(keys, np.uint64)
+
+
+def _chunks(texts: list):
+    """Ranges of texts with at most CHUNK_CHARS characters."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > CHUNK_CHARS:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t or "")
+    yield begin, len(texts)
 
 
 def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
@@ -87,26 +113,32 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     n_buckets = min(30_000, 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
+    def chunk(ids, texts):
+        own, key, second, doc = _edges(ids, texts, width)
+        if not len(key):
+            return
+        bucket = (second % np.uint64(n_buckets)).astype(np.uint16)
+        del second
+        order = np.argsort(key, kind="stable")
+        key, bucket, doc = key[order], bucket[order], doc[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        least = np.repeat(doc[new], np.diff(np.r_[np.flatnonzero(new), len(key)]))
+        settled = (doc > least) & (new | np.r_[True, doc[1:] != doc[:-1]])
+        del least, order
+        for keep, done in ((new, False), (settled, True)):
+            b, d, k = bucket[keep], doc[keep], key[keep]
+            back = np.argsort(d, kind="stable")
+            for row in _packed(b[back], d[back], k[back], own):
+                yield *row, done
+
     def start():
         def work(ids, texts):
-            own, key, second, doc = _edges(ids, texts, width)
-            order = np.argsort(key, kind="stable")
-            key, second, doc = key[order], second[order], doc[order]
-            new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
-            least = np.repeat(doc[new], np.diff(np.r_[np.flatnonzero(new), len(key)])) if len(key) else doc
-            settled = doc > least
-            once = settled & np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else settled
-            bucket = (second % np.uint64(n_buckets)).astype(np.uint16)
-            rows = []
-            for keep, done in ((new, False), (once, True)):
-                b, d, k = bucket[keep], doc[keep], key[keep]
-                back = np.argsort(d, kind="stable")
-                rows += [(*r, done) for r in _packed(b[back], d[back], k[back], own)]
-            return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5
+            rows = [row for a, b in _chunks(texts) for row in chunk(ids[a:b], texts[a:b])]
+            return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 6
 
         return work
 
-    packed = map_columns(picked(docs, id_col, text_col), "bucket int, ids binary, counts binary, keys binary, settled boolean", start)
+    packed = map_columns(picked(docs, id_col, text_col), "bucket int, least long, ids binary, counts binary, keys binary, settled boolean", start)
 
     def by_document(doc: np.ndarray, key: np.ndarray) -> pa.Table:
         order = np.argsort(doc, kind="stable")
@@ -117,10 +149,11 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def meet(table: pa.Table) -> pa.Table:
         docs_of, keys_of, done_of = [], [], []
-        for ids, counts, keys, done in zip(*(table.column(c).to_pylist() for c in ("ids", "counts", "keys", "settled")), strict=True):
-            docs_of.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)))
-            keys_of.append(np.frombuffer(keys, np.uint64))
-            done_of.append(np.full(len(keys_of[-1]), done))
+        for least, ids, counts, keys, done in zip(*(table.column(c).to_pylist() for c in ("least", "ids", "counts", "keys", "settled")), strict=True):
+            doc, key = _unpacked(least, ids, counts, keys)
+            docs_of.append(doc)
+            keys_of.append(key)
+            done_of.append(np.full(len(key), done))
         doc, key, done = np.concatenate(docs_of), np.concatenate(keys_of), np.concatenate(done_of)
         open_key, open_doc = key[~done], doc[~done]
         order = np.argsort(open_key)
