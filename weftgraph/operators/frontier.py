@@ -102,8 +102,10 @@ def transitive_blockers(unmet: DataFrame, most_rounds: int = 64) -> DataFrame:
     closure = unmet.select("item_id", F.col("gate_id").alias("blocker_id")).distinct().checkpoint()
     n = closure.count()
     for _ in range(most_rounds):
-        more = closure.select("item_id", F.col("blocker_id").alias("mid")).join(closure.select(F.col("item_id").alias("mid"), "blocker_id"), "mid").select("item_id", "blocker_id")
-        closure = closure.unionAll(more).distinct().checkpoint()
+        near = closure.select(F.col("item_id").alias("near"), F.col("blocker_id").alias("mid"))
+        far = closure.select(F.col("item_id").alias("mid"), F.col("blocker_id").alias("far"))
+        more = near.join(far, "mid").select("near", "far").unionAll(closure).distinct()
+        closure = more.toDF("item_id", "blocker_id").checkpoint()
         now = closure.count()
         if now == n:
             break

@@ -29,4 +29,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from weftgraph.plans import scans, log, claims, frontier  # noqa: E402, F401  they register their queries
+from weftgraph.plans import scans, log, claims, frontier, graph, code  # noqa: E402, F401  they register their queries
