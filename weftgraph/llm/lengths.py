@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from weftgraph.llm.arrow import use_checkpoints
+
+BLOCK = 256
 
 
 def histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
@@ -25,6 +27,8 @@ def context_limits(hist: DataFrame) -> DataFrame:
     truncated_total: tokens left if every document is cut at the limit; total_tokens; quantile: the share of documents
     no longer than the limit.  An empty histogram gives no rows.
     """
+    use_checkpoints(hist.sparkSession)
+    hist = hist.checkpoint()  # as many rows as there are lengths; read twice below, so documents are encoded once
     h = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
