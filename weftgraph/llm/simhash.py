@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # Components of one fingerprint need no join by root.
     linked = roots.select(F.col("node").alias("fp"), F.col("component").alias("root")).join(smallest, "root").select("fp", "component_id")
-    by_print = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    by_print = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")).checkpoint()  # both sides of the last join are then plain shuffles, whose hot fingerprints Spark splits
     return prints.join(by_print, "fp").select(F.col(f"`{id_col}`"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
