@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.bind import Bound, uid
 from weftgraph.model import stable_id
 from weftgraph.operators import facts
-from weftgraph.plans.registry import query
+from weftgraph.plans.base import query
 
 
 def active(g: Bound) -> DataFrame:

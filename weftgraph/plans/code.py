@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.bind import Bound
 from weftgraph.operators import codegraph as cg
-from weftgraph.plans.registry import query
+from weftgraph.plans.base import query
 
 _M = """
 mem AS (SELECT s.id, s.name, s.qualname, s.module_id, m.repo_key, m.module_path, s.cell_key, s.symbol_kind, s.description, position('.' IN s.qualname) = 0 AS is_top,

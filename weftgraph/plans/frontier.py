@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.bind import Bound
 from weftgraph.operators import facts, frontier
 from weftgraph.plans.claims import active
-from weftgraph.plans.registry import query
+from weftgraph.plans.base import query
 
 
 def states(g: Bound) -> DataFrame:

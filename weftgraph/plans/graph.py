@@ -9,7 +9,7 @@ from weftgraph.bind import Bound, uid
 from weftgraph.model import EDGE_WEIGHTS, LOCATE_FIELDS, TEXT_FIELDS, stable_id
 from weftgraph.operators import scan, search, traverse
 from weftgraph.plans.claims import active
-from weftgraph.plans.registry import query
+from weftgraph.plans.base import query
 
 TASK = "What about the nation supplier priority orders of reanble and thonor"
 _TERMS = ("nation", "supplier", "priority", "orders", "reanble", "thonor", "about")

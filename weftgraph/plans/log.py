@@ -9,7 +9,7 @@ from weftgraph.bind import Bound, uid
 from weftgraph.functions import text
 from weftgraph.model import stable_id
 from weftgraph.operators import log
-from weftgraph.plans.registry import query
+from weftgraph.plans.base import query
 from weftgraph.plans.scans import _MSG, _STATE, _SUMMARY, messages, op_args, source_ops
 
 # The references of each operation of the bound journal.

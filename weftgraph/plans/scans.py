@@ -9,7 +9,7 @@ from weftgraph.bind import Bound, uid
 from weftgraph.functions import text
 from weftgraph.model import TEXT_FIELDS, TITLE_FIELDS, stable_id
 from weftgraph.operators import log, scan
-from weftgraph.plans.registry import query
+from weftgraph.plans.base import query
 
 _HAY = "lower(concat_ws(' ', " + ", ".join(f"nullif({f},'')" for f in TEXT_FIELDS) + "))"
 
