@@ -26,7 +26,8 @@ from weftgraph.llm.arrow import map_columns, picked
 SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 SPACES = regex.compile(SPACE)
 SEPARATORS = regex.compile("[\x1c-\x1f]")  # spaces to str.split(), but not to the tokenizer
-MOST_CHUNKS = 600_000  # kept encodings in a worker; they are dropped together
+MOST_CHUNKS = 250_000  # kept encodings in a worker; they are dropped together
+MOST_WORDS = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -175,7 +176,7 @@ class Vocabulary:
     def word(self, word: str) -> list[int]:
         found = self.known_words.get(word)
         if found is None:
-            if len(self.known_words) >= MOST_CHUNKS:
+            if len(self.known_words) >= MOST_WORDS:
                 self.known_words.clear()
             found = self.known_words[word] = self.encode_word(word)
         return found

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.arrow import map_columns, picked
+from weftgraph.llm.arrow import map_columns, picked, slices
 
 WINDOW = 10
 BLOCK_CHARS = 20_000_000
@@ -156,7 +156,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         def run(batches):
             windows = Windows(shared.value)
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, 3_000_000)):
                 yield batch.filter(pa.array([not windows.scan(t)[1] for t in batch.column(at).to_pylist()], pa.bool_()))
 
         return run

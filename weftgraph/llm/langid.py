@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.arrow import map_columns, picked
+from weftgraph.llm.arrow import map_columns, picked, slices
 
 BITS = 13  # of the n-gram hash
 TRAIN_ROWS = 500  # labelled texts of each language
@@ -145,7 +145,7 @@ def keep_identified(docs: DataFrame, text_col: str = "text", least_score: float
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3_000_000)):
             names, scores = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)]))
 

@@ -138,7 +138,7 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return work
 
-    packed = map_columns(picked(docs, id_col, text_col), "bucket int, least long, ids binary, counts binary, keys binary, settled boolean", start)
+    packed = map_columns(picked(docs, id_col, text_col), "bucket int, least long, ids binary, counts binary, keys binary, settled boolean", start, size=2 * CHUNK_CHARS)
 
     def by_document(doc: np.ndarray, key: np.ndarray) -> pa.Table:
         order = np.argsort(doc, kind="stable")
