@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.model import NODE_FIELDS
@@ -150,26 +151,36 @@ class Bound:
             text = re.sub(rf"(\b(?:FROM|JOIN)\s+){w}\b", rf"\1{{{w}}}", text)
         return self.spark.sql(text, **frames)
 
+    def _kept(self, name: str) -> DataFrame:
+        """A part as it is read again and again: kept by Spark where there is room, recomputed where an executor is lost."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _KEPT:
+            _KEPT[key] = self._sql(name).persist(StorageLevel.MEMORY_AND_DISK)
+        return _KEPT[key]
+
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._sql("nodes")
+        return self._kept("nodes")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._sql("edges")
+        return self._kept("edges")
 
     @cached_property
     def claims(self) -> DataFrame:
-        return self._sql("claims")
+        return self._kept("claims")
 
     @cached_property
     def supersedes(self) -> DataFrame:
-        return self._sql("supersedes")
+        return self._kept("supersedes")
+
+    @cached_property
+    def journal(self) -> DataFrame:
+        return self._kept("journal")
 
     @cached_property
     def registry(self) -> DataFrame:
         return self._sql("registry")
 
-    @cached_property
-    def journal(self) -> DataFrame:
-        return self._sql("journal")
+
+_KEPT: dict[tuple, DataFrame] = {}
