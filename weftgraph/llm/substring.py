@@ -4,8 +4,8 @@
    equal only if both hashes agree.  Within a chunk of texts an edge is kept once, with its smallest document; the
    chunk's other documents that hold it are settled on the spot.  So an edge that a third of all texts hold leaves
    each chunk once, and no bucket grows with the edge's frequency.
-2. Edges travel packed, one row per chunk and bucket.  Each bucket names, for every document, its edges that also
-   start in a smaller document: the repeated part of the graph.
+2. Edges travel packed, one row per chunk and bucket.  Each bucket finds, for every document, its edges that also
+   start in a smaller document: the repeated part of the graph.  They go back packed, by buckets of documents.
 3. Each document joins its repeated edges and walks its own path: neighbouring repeated edges overlap in 12 words, so
    they are one nonbranching path and compact to one span of words, in the document's own coordinates.
 """
@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from weftgraph.llm.arrow import map_columns, picked
 
@@ -140,13 +139,6 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     packed = map_columns(picked(docs, id_col, text_col), "bucket int, least long, ids binary, counts binary, keys binary, settled boolean", start, size=2 * CHUNK_CHARS)
 
-    def by_document(doc: np.ndarray, key: np.ndarray) -> pa.Table:
-        order = np.argsort(doc, kind="stable")
-        doc, key = doc[order], key[order]
-        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
-        ends = np.r_[cuts[1:], len(doc)]
-        return pa.table({id_col: pa.array(doc[cuts], pa.int64()), "keys": pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
-
     def meet(table: pa.Table) -> pa.Table:
         docs_of, keys_of, done_of = [], [], []
         for least, ids, counts, keys, done in zip(*(table.column(c).to_pylist() for c in ("least", "ids", "counts", "keys", "settled")), strict=True):
@@ -162,16 +154,32 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cuts = np.flatnonzero(new)
         least = np.repeat(np.minimum.reduceat(open_doc, cuts), np.diff(np.r_[cuts, len(open_key)])) if len(cuts) else open_doc
         late = open_doc > least
-        return by_document(np.r_[open_doc[late], doc[done]], np.r_[open_key[late], key[done]])
+        doc, key = np.r_[open_doc[late], doc[done]], np.r_[open_key[late], key[done]]
+        # Back to the documents, packed again: one row for each bucket of documents.
+        names, index = np.unique(doc, return_inverse=True)
+        back = np.argsort(index, kind="stable")
+        dest = (_mixed(names.view(np.uint64)) % np.uint64(n_buckets)).astype(np.uint16)
+        rows = list(_packed(dest[index[back]], index[back], key[back], names))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["dest", "least", "ids", "counts", "keys"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        """All keys of each document of one bucket."""
+        pairs = [_unpacked(*row) for row in zip(*(table.column(c).to_pylist() for c in ("least", "ids", "counts", "keys")), strict=True)]
+        doc, key = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+        order = np.argsort(doc, kind="stable")
+        doc, key = doc[order], key[order]
+        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        return pa.table({id_col: pa.array(doc[cuts], pa.int64()), "keys": pa.array([key[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(doc)], strict=True)], pa.binary())})
 
-    return packed.groupBy("bucket").applyInArrow(meet, f"`{id_col}` long, keys binary")
+    met = packed.groupBy("bucket").applyInArrow(meet, "dest int, least long, ids binary, counts binary, keys binary")
+    return met.groupBy("dest").applyInArrow(gather, f"`{id_col}` long, keys binary")
 
 
-def spans_of(words: list[bytes], keys: list[bytes], width: int = WINDOW) -> list[tuple[int, int]]:
+def spans_of(words: list[bytes], keys: bytes, width: int = WINDOW) -> list[tuple[int, int]]:
     """The disjoint word ranges that the repeated edges of one document compact to."""
     hashes = _WordHashes()
     key, _ = edge_keys(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), width)
-    at = np.flatnonzero(np.isin(key, np.frombuffer(b"".join(keys), np.uint64)))
+    at = np.flatnonzero(np.isin(key, np.frombuffer(keys, np.uint64)))
     if not len(at):
         return []
     breaks = np.flatnonzero(np.diff(at) > width)
@@ -179,7 +187,7 @@ def spans_of(words: list[bytes], keys: list[bytes], width: int = WINDOW) -> list
 
 
 def _with_edges(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    found = repeated_edges(docs, id_col, text_col, width).groupBy(id_col).agg(F.collect_list("keys").alias("keys"))
+    found = repeated_edges(docs, id_col, text_col, width)
     return picked(docs, id_col, text_col).join(found.hint("shuffle_hash"), id_col, "left")
 
 
