@@ -73,9 +73,11 @@ def _edges(ids: list, texts: list, width: int):
 
 def _packed(bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, ids: np.ndarray):
     """(bucket, least id, ids above it, counts, keys) as one row per bucket, keys by document; a count is a byte, so long runs take several."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket, doc, key = bucket[order], doc[order], key[order]
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
         own = doc[a:b]
         heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
