@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import id_tokens
+from weftgraph.operators.components import ensure_checkpoint_dir
 from weftgraph.operators.facts import top_rows
 
 
@@ -48,8 +49,9 @@ def filing_scores(items: DataFrame, anchors: DataFrame, edges: DataFrame) -> Dat
 
     What a neighbour says of anchors is aggregated by neighbour before it meets the items, so a hub is expanded once.
     """
-    near = hood(edges)
-    anchor = anchors.select("anchor_id").distinct()
+    ensure_checkpoint_dir(edges.sparkSession)
+    near = hood(edges).checkpoint()  # read four times below
+    anchor = anchors.select("anchor_id").distinct().checkpoint()
     own = near.join(items.select(F.col("item_id").alias("a")), "a", "left_semi").select(F.col("a").alias("item_id"), "b")
     direct = own.join(anchor, own["b"] == anchor["anchor_id"]).select("item_id", "anchor_id", F.lit(2.0).alias("points"))
     others = near.select(F.col("a").alias("b")).distinct().join(anchor.withColumnRenamed("anchor_id", "b"), "b", "left_anti")

@@ -99,7 +99,7 @@ def transitive_blockers(unmet: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     Paths double in every round, so the rounds are the logarithm of the longest chain.
     """
-    closure = unmet.select("item_id", F.col("gate_id").alias("blocker_id")).checkpoint()
+    closure = unmet.select(F.concat("item_id", F.lit("")).alias("item_id"), F.concat("gate_id", F.lit("")).alias("blocker_id")).checkpoint()  # new columns: the optimiser's constraints on the old ones do not survive a checkpoint
     n = closure.count()
     for _ in range(most_rounds):
         near = closure.select(F.col("item_id").alias("near"), F.col("blocker_id").alias("mid"))

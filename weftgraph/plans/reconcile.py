@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from weftgraph.bind import Bound, uid
 from weftgraph.model import stable_id
 from weftgraph.operators import audit, scan
+from weftgraph.operators import frontier as fr
+from weftgraph.operators.components import ensure_checkpoint_dir
 from weftgraph.plans.base import query
 from weftgraph.plans.claims import active
 from weftgraph.plans.frontier import anchors, parts
-from weftgraph.operators import frontier as fr
 
 # Registers: hubs for three roles; each caches two thirds of its members and some subjects that once had its role.
 _N = uid("'Nation|'||n_nationkey")
@@ -34,7 +35,8 @@ def registers(g: Bound) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     kept = members.join(n.where("n_nationkey % 3 <> 0").select(me), "subject_id", "left_semi").select("value", "subject_id")
     left = historic.join(n.where("n_nationkey % 5 = 0").select(me), "subject_id", "left_semi").select("value", "subject_id").join(members, ["value", "subject_id"], "left_anti")
     hubs = g.spark.sql("SELECT explode(array('program','arc','reviewer')) AS value")
-    return members, historic, kept.union(left), hubs
+    ensure_checkpoint_dir(g.spark)
+    return members.checkpoint(), historic.checkpoint(), kept.union(left).checkpoint(), hubs
 
 
 @query(_REG + " SELECT h.value, (SELECT count(*) FROM mem m WHERE m.value = h.value) AS members, (SELECT count(*) FROM cached c WHERE c.value = h.value) AS cached, (SELECT count(*) FROM found f WHERE f.value = h.value AND finding = 'missing') AS missing_cache, (SELECT count(*) FROM found f WHERE f.value = h.value AND finding = 'stale') AS stale_cache FROM hubs h")
@@ -58,7 +60,7 @@ def hubless_roles(g: Bound) -> DataFrame:
     return audit.hubless(members, hubs)
 
 
-@query("SELECT anchor_id FROM anchor_ids", )
+@query("SELECT anchor_id FROM anchor_ids")
 def anchor_subjects(g: Bound) -> DataFrame:
     return anchors(g)
 
@@ -82,7 +84,8 @@ def filing(g: Bound) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = fr.work_items(states, checks).where("state <> 'done'").select("item_id")
     a = anchors(g)
     filed = g.edges.where("relation_type = 'PART_OF'").select(F.col("source_id").alias("item_id"), F.col("target_id").alias("anchor_id")).join(a, "anchor_id", "left_semi").join(items, "item_id", "left_semi").select("item_id", "anchor_id").distinct()
-    return audit.filing_scores(items, a, g.edges), filed, items
+    ensure_checkpoint_dir(g.spark)
+    return audit.filing_scores(items, a, g.edges).checkpoint(), filed.checkpoint(), items
 
 
 @query(_FILING + " SELECT item_id, anchor_id, score FROM score")
