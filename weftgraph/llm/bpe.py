@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 from array import array
 from pathlib import Path
 
 import ahocorasick
+import numpy as np
 import regex
-import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,9 @@ from weftgraph.llm.arrow import map_columns, picked
 SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 SPACES = regex.compile(SPACE)
 SEPARATORS = regex.compile("[\x1c-\x1f]")  # spaces to str.split(), but not to the tokenizer
-MOST_CHUNKS = 250_000  # kept encodings in a worker; they are dropped together
-MOST_WORDS = 150_000
+MOST_CHUNKS = 180_000  # kept encodings in a worker; they are dropped together
+MOST_WORDS = 100_000
+MOST_PAIRS = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -135,6 +137,8 @@ class Vocabulary:
                     i += 1
                 else:
                     j += 1
+            if len(self.compatible) >= MOST_PAIRS:
+                self.compatible.clear()
             self.compatible[a, b] = known
         return known
 
@@ -248,12 +252,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         v = loaded(source)
 
         def work(ids, texts):
-            found = [v.entries(t or "") for t in texts]
-            return [ids, [[int(i) for e in f for i in e[0].split(" ") if i] for f in found], [" ".join([e[1] for e in f]) for f in found]]
+            numbers, decoded = [], []
+            for text in texts:
+                found = v.entries(text or "")
+                numbers.append(np.fromstring(" ".join([e[0] for e in found]), np.int32, sep=" ") if found else np.empty(0, np.int32))
+                decoded.append(" ".join([e[1] for e in found]))
+            return [ids, numbers, decoded]
 
         return work
 
-    return map_columns(picked(docs, id_col, text_col), f"`{id_col}` {kind}, ids array<int>, decoded string", start)
+    return map_columns(picked(docs, id_col, text_col), f"`{id_col}` {kind}, ids array<int>, decoded string", start, size=1_000_000)
 
 
 def decode(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
