@@ -27,9 +27,9 @@ from weftgraph.llm.arrow import map_columns, picked
 SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 SPACES = regex.compile(SPACE)
 SEPARATORS = regex.compile("[\x1c-\x1f]")  # spaces to str.split(), but not to the tokenizer
-MOST_CHUNKS = 180_000  # kept encodings in a worker; they are dropped together
-MOST_WORDS = 100_000
-MOST_PAIRS = 150_000
+MOST_CHUNKS = 300_000  # kept encodings in a worker; they are dropped together
+MOST_WORDS = 250_000
+MOST_PAIRS = 400_000
 
 
 def byte_symbols() -> list[str]:
