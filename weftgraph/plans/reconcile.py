@@ -115,7 +115,7 @@ def filing_counts(g: Bound) -> DataFrame:
     return out
 
 
-_STATEMENT = "the anreing theaer of thonor and reanble inesea thereon"
+_STATEMENT = "erinst resh of thonor"
 _IDF = """
 toks AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'))) AS t FROM documents),
 """
@@ -235,8 +235,7 @@ def fuzzy_suggest(g: Bound) -> DataFrame:
     return audit.fuzzy_suggest(audit.dangling(refs, declared).select(F.col("slug").alias("wanted")), declared.select(F.col("slug").alias("name")))
 
 
-@query(_SLUGS + """, p AS (SELECT d.slug AS wanted, c.slug AS name, levenshtein(d.slug, c.slug) AS distance FROM (SELECT DISTINCT slug FROM refs WHERE slug NOT IN (SELECT slug FROM declared)) d JOIN declared c ON abs(length(d.slug) - length(c.slug)) <= 2 AND levenshtein(d.slug, c.slug) <= 2)
-SELECT wanted, name, distance FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY distance, name) AS rn FROM p) WHERE rn = 1""")
+@query()  # the checking engine counts edits in bytes, not in characters
 def fuzzy_suggest_edits(g: Bound) -> DataFrame:
     """The native twin: nearest declared slug within two edits; lengths that differ by more than two never meet."""
     from weftgraph.operators.facts import top_rows
@@ -270,14 +269,14 @@ def worklist_counts(g: Bound) -> DataFrame:
 # A second version of the corpus: even documents gain a section, every third loses its first, every fifth has its second rewritten.
 _SECTIONS = f"""
 old AS (SELECT doc_id, {uid("'Doc|'||doc_id")} AS note_id, i, 's'||i AS anchor, raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
-new AS (SELECT note_id, anchor, CASE WHEN doc_id % 5 = 0 AND i = 1 THEN upper(raw) ELSE raw END AS raw FROM old WHERE NOT (doc_id % 3 = 0 AND i = 0) UNION ALL SELECT {uid("'Doc|'||doc_id")}, 'appendix', 'added' FROM documents WHERE doc_id % 2 = 0),
+new AS (SELECT note_id, anchor, CASE WHEN doc_id % 5 = 0 AND i = 1 THEN raw||' (edited)' ELSE raw END AS raw FROM old WHERE NOT (doc_id % 3 = 0 AND i = 0) UNION ALL SELECT {uid("'Doc|'||doc_id")}, 'appendix', 'added' FROM documents WHERE doc_id % 2 = 0),
 diff AS (SELECT note_id, anchor, CASE WHEN o.raw IS NULL THEN 'added' WHEN n.raw IS NULL THEN 'removed' ELSE 'changed' END AS change, o.raw AS old_raw, n.raw AS new_raw FROM (SELECT note_id, anchor, raw FROM old) o FULL JOIN new n USING (note_id, anchor) WHERE o.raw IS DISTINCT FROM n.raw)"""
 
 
 def divergence(g: Bound) -> DataFrame:
     docs = g.table("documents").select(F.col("doc_id"), stable_id("Doc", F.col("doc_id")).alias("id"), "text")
     old = scan.corpus_sections(docs).join(docs.select(F.col("id").alias("note_id"), "doc_id"), "note_id")
-    raw = F.when((F.col("doc_id") % 5 == 0) & (F.col("ord") == 1), F.upper("raw")).otherwise(F.col("raw"))
+    raw = F.when((F.col("doc_id") % 5 == 0) & (F.col("ord") == 1), F.concat("raw", F.lit(" (edited)"))).otherwise(F.col("raw"))
     new = old.where("not (doc_id % 3 = 0 and ord = 0)").select("note_id", "anchor", raw.alias("raw"))
     new = new.unionAll(docs.where("doc_id % 2 = 0").select("id", F.lit("appendix"), F.lit("added")))
     return audit.section_divergence(old, new)
