@@ -161,13 +161,13 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def with_titles(rows: DataFrame, id_col: str, nodes: DataFrame, out: str) -> DataFrame:
-    """rows with the title of the node that id_col names, null if there is none.  Titles are made after the join, of the nodes that are met."""
+def with_titles(rows: DataFrame, id_col: str, nodes: DataFrame, out: str, missing: str = "_missing") -> DataFrame:
+    """rows with the title of the node that id_col names, null if there is none.  Titles are made after the join, of the nodes that are met; missing names a column that says whether there is none."""
     fields = nodes.select(F.col("id").alias(id_col), F.struct(*TITLE_FIELDS).alias("_node"))
     title = node_title(tuple(f"_node.{f}" for f in TITLE_FIELDS), ("_node.statement", "_node.value"), id_col)
-    return rows.join(fields, id_col, "left").withColumn(out, F.when(F.col("_node").isNotNull(), title)).drop("_node")
+    return rows.join(fields, id_col, "left").withColumn(missing, F.col("_node").isNull()).withColumn(out, F.when(F.col("_node").isNotNull(), title)).drop("_node")
 
 
 def label_ids(rows: DataFrame, id_col: str, nodes: DataFrame, out: str) -> DataFrame:
     """rows with the title of the node that id_col names, the id itself if there is none."""
-    return with_titles(rows, id_col, nodes, out).withColumn(out, F.coalesce(out, id_col))
+    return with_titles(rows, id_col, nodes, out).withColumn(out, F.coalesce(out, id_col)).drop("_missing")

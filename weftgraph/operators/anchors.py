@@ -37,7 +37,7 @@ def pins(lead: DataFrame, anchors: DataFrame, nodes: DataFrame) -> DataFrame:
     parts = text.pin_target(F.col("value"))
     rows = lead.where("kind = 'pin'").join(anchors.select(F.col("anchor_id").alias("subject_id")), "subject_id", "left_semi")
     rows = rows.select(F.col("subject_id").alias("anchor_id"), F.col("key").alias("role"), parts["target"].alias("id"), parts["pin_gloss"].alias("gloss"))
-    return text.with_titles(rows, "id", nodes, "title").select("anchor_id", "role", "id", "gloss", "title", F.col("title").isNull().alias("missing"))
+    return text.with_titles(rows, "id", nodes, "title", "missing").select("anchor_id", "role", "id", "gloss", "title", "missing")
 
 
 def registers(lead: DataFrame, pinned: DataFrame, nodes: DataFrame) -> DataFrame:

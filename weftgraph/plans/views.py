@@ -151,7 +151,7 @@ def lead(g: Bound) -> DataFrame:
 
 def with_hubs(g: Bound) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lead rows, front-door anchors and nodes, with the registers."""
-    base = lead(g)
+    base = lead(prepared(g)).checkpoint()  # read about ten times below
     door = anchors.doors(base)
     values = base.where("kind = 'role'").select("value").distinct()
     hubs = values.select(stable_id("Hub", F.col("value")).alias("id"), F.concat("value", F.lit("-register")).alias("slug"), F.lit("Note").alias("label"))
