@@ -192,13 +192,13 @@ SELECT d.anchor_id, d.role, t.title, coalesce(ready, 0) AS ready, coalesce(block
 FROM door d LEFT JOIN vital USING (anchor_id) LEFT JOIN last USING (anchor_id) JOIN title_of t ON t.id = d.anchor_id""")
 def portfolio(g: Bound) -> DataFrame:
     rows, door, nodes = with_hubs(g)
-    b = buckets(g)
+    b = buckets(g).checkpoint()
     filed = frontier.program_of(b, g.edges, work_anchors(g)).select("item_id", "anchor_id").join(b.where("bucket <> 'done'").select("item_id", "bucket"), "item_id")
     closable = frontier.closable(b, frontier.dod_summary(frontier.checks_of(g.edges), states(g))).select("item_id", F.lit(True).alias("closable"))
     said = g.nodes.select(F.col("id").alias("item_id"), F.col("statement").startswith("FINDING").alias("finding"))
     items = filed.join(closable, "item_id", "left").join(said, "item_id", "left").select("item_id", "anchor_id", "bucket", F.coalesce("closable", F.lit(False)).alias("closable"), F.coalesce("finding", F.lit(False)).alias("finding"))
     touch = g.claims.groupBy(F.col("subject_id").alias("ref")).agg(F.max("asserted_at").alias("last_ts"))
-    return anchors.portfolio(door, anchors.pins(rows, door, nodes), rows, items, touch, nodes)
+    return anchors.portfolio(door, anchors.pins(rows, door, nodes).checkpoint(), rows, items, touch, nodes)
 
 
 @query(_LEAD + " SELECT source_id, relation_type, target_id FROM edges WHERE source_id IN (SELECT anchor_id FROM door) AND target_id IN (SELECT anchor_id FROM door)")
