@@ -56,7 +56,7 @@ def definitions(engine: str, prefix: str = "") -> dict[str, str]:
         ),
         "calls_parts": f"""SELECT DISTINCT l_partkey AS a, b FROM (
             SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b
-            FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {t['lineitem']} WHERE l_orderkey % 50 = 0) x) y
+            FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {t['lineitem']}) x) y
             WHERE b IS NOT NULL AND b <> l_partkey""",
         "next_turns": f"""SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN turn - 2 ELSE lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS before
             FROM {t['conversations']} WHERE role <> 'system'""",
