@@ -124,7 +124,7 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         key, bucket, doc = key[order], bucket[order], doc[order]
         new = np.r_[True, key[1:] != key[:-1]]
         least = np.repeat(doc[new], np.diff(np.r_[np.flatnonzero(new), len(key)]))
-        settled = (doc > least) & (new | np.r_[True, doc[1:] != doc[:-1]])
+        settled = (own[doc] > own[least]) & (new | np.r_[True, doc[1:] != doc[:-1]])
         del least, order
         for keep, done in ((new, False), (settled, True)):
             b, d, k = bucket[keep], doc[keep], key[keep]
