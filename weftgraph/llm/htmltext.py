@@ -18,13 +18,19 @@ from weftgraph.llm.arrow import map_columns, picked
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*+"|'[^']*+'|[^"'>]++)*+)>|<[!?][^>]*+>""", re.S)
 _HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_MAIN_ROLE = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.I)
 # Elements and words of class names.
 _BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-_SKIPPED = frozenset("script style noscript template svg head iframe textarea select button object canvas".split())
+_SKIPPED = frozenset("script style noscript template svg iframe textarea select button object canvas".split())
+_RAW = frozenset("script style noscript iframe textarea title".split())  # what stands in them is no markup
+_HEAD = frozenset("title script style noscript template meta link base".split())  # any other start tag ends an open head
+_IN_SELECT = frozenset("option legend hr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUTSIDE = frozenset("nav footer aside header form menu dialog fieldset".split())
 _INSIDE = frozenset("article main".split())
+_UNNAMED = frozenset("html body main article".split())  # their names never put them outside
 _BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|side-?bar\w*|footer|header|masthead|breadcrumbs?|comments?\w*|repl(?:y|ies)|disqus|cookies?\w*|consent|notices?|alert|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|widget\w*|copyright|legal|pag(?:er|ination)|search\w*|form\w*|tags?|toolbar)(?:$|[\s_-])", re.I)
+_AFTER_NAME = re.compile(r"(?:^|[\s_-])(?:comments?\w*|repl(?:y|ies)|disqus|related|recommend\w*)(?:$|[\s_-])", re.I)  # these hold articles of their own
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|story|entry|text|body)(?:$|[\s_-])", re.I)
 FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "inside", "outside", "list_item")
 
@@ -97,10 +103,50 @@ def is_content(tree, row: tuple) -> bool:
     return tree >= 0.5
 
 
+def skipped_to(source: str, at: int, name: str, parents: set[str], missing: set[str]) -> int:
+    """Where a skipped element that starts before at ends: behind its end tag, or, if it has none, before the next tag that cannot be in it.
+
+    parents are the elements around it; missing collects the names that have no end tag in the rest of the source.
+    """
+    end = None if name in missing else re.compile(rf"</{name}\s*>", re.I).search(source, at)
+    if not end:
+        missing.add(name)
+    if name in _RAW and end and (name in ("script", "style") or not re.compile(rf"<{name}[\s>]", re.I).search(source, at, end.start())):
+        return end.end()
+    opened: dict[str, int] = {}
+    first, place = len(source), at
+    while m := _TAG.search(source, place):
+        place, tag = m.end(), (m[2] or "").lower()
+        if not tag:
+            continue
+        if m[1]:
+            if opened.get(tag):
+                opened[tag] -= 1
+            elif tag == name:
+                return place
+            elif tag in parents:
+                return min(first, m.start())
+        elif tag == name and (tag in _RAW or tag in ("button", "select")):
+            return min(first, m.start())
+        else:
+            if tag in _BLOCKS and not (name == "select" and tag in _IN_SELECT):
+                first = min(first, m.start())
+                if not end:
+                    break
+            if tag not in _VOID and not m[3].rstrip().endswith("/"):
+                opened[tag] = opened.get(tag, 0) + 1
+    return first
+
+
 def blocks_of(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, linked words, inside an article, outside the main text, list item) of each block in page order."""
     out: list[tuple] = []
     stack: list[tuple[str, int, int]] = []  # element, and by how much it changes inside and outside
+    names_of: list[tuple[int, str, int, bool]] = []  # open elements that are outside by name or are forms: depth, name, number, may hold later articles
+    cleared: set[int] = set()  # numbers of those that turned out to hold an article
+    missing: set[str] = set()
+    number = articles = 0
+    in_head = False
     inside = outside = in_link = 0
     parts: list[str] = []
     linked: list[str] = []
@@ -111,7 +157,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, len(text.split()), len("".join(linked).split()), inside > 0, outside > 0, item))
+                out.append((text, len(text.split()), len("".join(linked).split()), inside > 0, outside > 0, tuple(n[2] for n in names_of), item))
         parts, linked = [], []
 
     source, at = page or "", 0
@@ -120,6 +166,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
         stop = m.start() if m else len(source)
         if stop > at:
             text = html.unescape(source[at:stop])
+            in_head = in_head and text.isspace()
             parts.append(text)
             if in_link:
                 linked.append(text)
@@ -134,11 +181,15 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
                 close()
             if name == "a":
                 in_link = 0
+            if name == "head":
+                in_head = False
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     for _, a, b in stack[k:]:
                         inside, outside = inside - a, outside - b
                     del stack[k:]
+                    while names_of and names_of[-1][0] >= k:
+                        names_of.pop()
                     break
             item = any(s[0] == "li" for s in stack)
             continue
@@ -146,11 +197,13 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
             close()
         elif name == "br":
             parts.append(" ")
-        if name in _SKIPPED:
-            if m[3].rstrip().endswith("/"):
-                continue
-            end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+        if name == "head":
+            in_head = True
+            continue
+        in_head = in_head and name in _HEAD
+        if name in _SKIPPED or (in_head and name == "title"):
+            if not m[3].rstrip().endswith("/"):
+                at = skipped_to(source, at, name, {s[0] for s in stack} | {"head", "body", "html"}, missing)
             continue
         if name in _VOID:
             continue
@@ -162,14 +215,23 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
             if name in ("p", "li") and stack and stack[-1][0] == name:
                 _, a, b = stack.pop()
                 inside, outside = inside - a, outside - b
+                while names_of and names_of[-1][0] >= len(stack):
+                    names_of.pop()
             names = " ".join(" ".join(filter(None, h)) for h in _HINT.findall(m[3])) if m[3] else ""
-            bad = name in _OUTSIDE or bool(names and _BAD_NAME.search(names))
-            good = name in _INSIDE or bool(names and not bad and _GOOD_NAME.search(names))
+            named = bool(names and _BAD_NAME.search(names))
+            good = name in _INSIDE or bool(names and not named and name not in _OUTSIDE and _GOOD_NAME.search(names))
+            if name in _INSIDE or (names and _MAIN_ROLE.search(m[3])):
+                cleared.update(n[2] for n in names_of if not articles or name != "article" or n[3])
+                articles += 1
+            if (named and name not in _UNNAMED and name not in _OUTSIDE) or name == "form":
+                number += 1
+                names_of.append((len(stack), name, number, not _AFTER_NAME.search(names)))
+            bad = name in _OUTSIDE and name != "form"
             stack.append((name, int(good), int(bad)))
             inside, outside = inside + good, outside + bad
             item = item or name == "li"
     close()
-    return out
+    return [(*b[:4], b[4] or not cleared.issuperset(b[5]), b[6]) for b in out]
 
 
 def main_text(page: str | None, tree) -> str:
@@ -187,7 +249,9 @@ def main_text(page: str | None, tree) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for every row of pages: its main text, '' if there is none.
 
-    Null and empty pages have none; unclosed elements end with their parent or the page; repeated rows stay.
+    Null and empty pages have none; unclosed elements end with their parent or the page, unclosed skipped ones (script,
+    button, select, ...) before the next block; an element around an article is not outside because of its name, except
+    that comments and related links stay so unless they hold the page's first article; repeated rows stay.
     """
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, url_col))
 
