@@ -190,6 +190,38 @@ def fuzzy_suggest(wanted: DataFrame, names: DataFrame, cutoff: float = 0.6, top:
     return top_rows(scored, ["wanted"], [F.desc("ratio"), F.asc("name")], top).select("wanted", "name", F.round("ratio", 6).alias("ratio"))
 
 
+def mentions(wanted: DataFrame, bodies: DataFrame, most: int = 8) -> DataFrame:
+    """(wanted, name): every name whose body contains the wanted text.
+
+    A body that contains a text contains all its pieces of `most` characters (of its own length, if it is shorter), so
+    each text meets bodies by the piece that the fewest bodies hold, which is an equi-join; what is left is compared whole.
+    """
+    piece = lambda text, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+    w = wanted.select("wanted").where("wanted <> ''").distinct().withColumn("size", F.least(F.length("wanted"), F.lit(most)))
+    own = w.select("wanted", F.explode(piece(F.col("wanted"), F.col("size"))).alias("piece"))
+    sizes = F.broadcast(w.select("size").distinct())
+    b = bodies.select("name", "body").where("body is not null").distinct()
+    held = b.join(sizes, F.length("body") >= F.col("size")).select("name", "body", F.explode(piece(F.col("body"), F.col("size"))).alias("piece"))
+    often = held.join(own.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    rare = own.join(often, "piece", "left").groupBy("wanted").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    return rare.join(held, "piece").where(F.contains("body", "wanted")).select("wanted", "name").distinct()
+
+
+def orphan_proposals(wanted: DataFrame, names: DataFrame, bodies: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """(wanted, name, ratio, evidence): of the other names whose body contains the wanted one the most alike (the last of equals); only if there is none, the closest name."""
+    ensure_checkpoint_dir(wanted.sparkSession)
+    wanted, bodies = wanted.select("wanted").distinct().checkpoint(), bodies.select("name", "body").checkpoint()
+    found = mentions(wanted, bodies).where("name <> wanted").join(names.select("name").distinct(), "name", "left_semi")
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+
+    said = top_rows(found.withColumn("ratio", ratio("wanted", "name")), ["wanted"], [F.desc("ratio"), F.desc("name")], 1).select("wanted", "name", F.round("ratio", 6).alias("ratio"), F.lit("body-mention").alias("evidence")).checkpoint()
+    rest = wanted.join(said, "wanted", "left_anti")
+    return said.unionByName(fuzzy_suggest(rest, names, cutoff).withColumn("evidence", F.lit("name-similarity")))
+
+
 def dangling(references: DataFrame, declared: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """References (.., slug) that no declared slug or alias answers."""
     known = declared.select("slug") if aliases is None else declared.select("slug").unionAll(aliases.select("slug"))

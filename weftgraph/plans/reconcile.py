@@ -248,11 +248,13 @@ def fuzzy_suggest_edits(g: Bound) -> DataFrame:
 
 @query()
 def orphan_proposals(g: Bound) -> DataFrame:
-    """For parts that are gone the living part whose name is most like theirs with the key appended, as labels of the links."""
-    p = g.table("part").select("p_partkey", F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), "p_partkey").alias("name"))
+    """For parts that are gone the living part whose description names them, else the one whose name is most like theirs; names have the key appended, as labels of the links."""
+    p = g.table("part").select("p_partkey", stable_id("Part", F.col("p_partkey")).alias("id"), F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), "p_partkey").alias("name"))
     bad = orphans(g).where("target_missing").select(F.col("target_id").alias("id")).distinct()
-    wanted = bad.join(p.select(stable_id("Part", F.col("p_partkey")).alias("id"), F.col("name").alias("wanted")), "id").select("wanted")
-    return audit.fuzzy_suggest(wanted, p.where("p_partkey % 5 <> 0").select("name"), 0.6)
+    wanted = bad.join(p.select("id", F.col("name").alias("wanted")), "id").select("wanted")
+    living = p.where("p_partkey % 5 <> 0")
+    bodies = living.join(g.nodes.where("label = 'CodeSymbol'").select("id", F.col("description").alias("body")), "id").select("name", "body")
+    return audit.orphan_proposals(wanted, living.select("name"), bodies, 0.6)
 
 
 @query(_SLUGS + """ SELECT 'dangling' AS kind, count(DISTINCT slug) AS n FROM refs WHERE slug NOT IN (SELECT slug FROM declared)
