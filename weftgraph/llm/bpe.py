@@ -6,6 +6,9 @@ that starts at a position; the longest is taken if it is compatible with the tok
 the encoder goes back.  Two tokens are compatible if merging their symbols by rank gives back just these two; a
 sequence whose neighbours are all compatible is the one that the merges give, so the result is exact.  Positions
 that failed once are not tried again, which keeps the work linear in the word's length.
+
+Words of a slice of texts are told apart by Arrow's dictionary encoding, so Python sees each distinct word of a slice
+once.  Encodings are kept by an Encoder within bounds in bytes and go with the task that made it.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pathlib import Path
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +31,10 @@ from weftgraph.llm.arrow import map_columns, picked
 
 SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 SPACES = regex.compile(SPACE)
-SEPARATORS = regex.compile("[\x1c-\x1f]")  # spaces to str.split(), but not to the tokenizer
-MOST_CHUNKS = 300_000  # kept encodings in a worker; they are dropped together
-MOST_WORDS = 250_000
-MOST_PAIRS = 400_000
+CACHE_BYTES = 80_000_000  # of encodings that a task keeps
+PAIR_BYTES = 24_000_000  # of compatible pairs that a worker keeps
+PIECE = 1 << 20  # characters of a long text that are cut into words at once
+MOST_WORDS = 1 << 19  # words told apart at once
 
 
 def byte_symbols() -> list[str]:
@@ -78,9 +83,16 @@ class Vocabulary:
                 if last:
                     self.halves[t] = last
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, str, int]] = {}
-        self.known_words: dict[str, list[int]] = {}
+        # The longest token that begins each token, if there is one.
+        self.shorter: list[tuple[int, int] | None] = [None] * (max(names) + 1)
+        for t, i in tokens.items():
+            if t in self.automaton:
+                at = next((k for k in range(len(t) - 1, 0, -1) if t[:k] in self.automaton), 0)
+                self.shorter[i] = self.automaton.get(t[:at]) if at else None
+        self.compatible: dict[int, bool] = {}
+        # The decimal and the decoded form of every id.
+        self.decimals = pa.array([str(i) for i in range(len(self.offset) - 1)])
+        self.names = pa.array([names.get(i, "") for i in range(len(self.offset) - 1)])
 
     def _internal(self, token: str) -> str:
         if self.end and token.endswith(self.end):
@@ -122,7 +134,7 @@ class Vocabulary:
         Over time the boundary lies between growing parts of a and b.  A pair of them is merged if its rank comes
         before either part is taken up; at equal ranks the left pair goes first.
         """
-        known = self.compatible.get((a, b))
+        known = self.compatible.get(a << 32 | b)
         if known is None:
             left, right, i, j, known = self._spine(a, 1), self._spine(b, 0), 0, 0, True
             while True:
@@ -137,9 +149,9 @@ class Vocabulary:
                     i += 1
                 else:
                     j += 1
-            if len(self.compatible) >= MOST_PAIRS:
+            if len(self.compatible) * 120 >= PAIR_BYTES:  # a number, its hash entry and their share of the table
                 self.compatible.clear()
-            self.compatible[a, b] = known
+            self.compatible[a << 32 | b] = known
         return known
 
     def encode_word(self, word: str) -> list[int]:
@@ -147,87 +159,140 @@ class Vocabulary:
         n = len(text)
         if self.end:
             text = text[:-1] + chr(ord(text[-1]) + 0x10000)
-        starts: list[list[tuple[int, int]]] = [[] for _ in text]  # shortest token first
-        for last, found in self.automaton.iter(text):
-            starts[last - found[0] + 1].append(found)
-        path: list[int] = []
-        at, tried, begun = 0, [len(starts[0])], [0]
-        compatible, failed = self.compatible.get, set()
-        while at < n:
-            options, i = starts[at], tried[-1] - 1
-            while i >= 0:
-                length, token = options[i]
-                if not path or ((ok := compatible((path[-1], token))) is None and self.fits(path[-1], token)) or ok:
+        longest: list[tuple[int, int] | None] = [None] * n
+        for last, found in self.automaton.iter(text):  # by their ends, so the longest token at a place comes last
+            longest[last - found[0] + 1] = found
+        path: list[tuple[int, int]] = []
+        compatible, shorter, failed = self.compatible.get, self.shorter, set()
+        at, before, option = 0, -1, longest[0]
+        while True:
+            while option is not None:
+                length, token = option
+                if before < 0 or ((ok := compatible(before << 32 | token)) is None and self.fits(before, token)) or ok:
                     if not failed or (at, token) not in failed:
                         break
-                i -= 1
-            if i >= 0:
-                tried[-1] = i
-                path.append(token)
+                option = shorter[token]
+            if option is not None:
+                path.append(option)
                 at += length
-                if at < n:
-                    begun.append(at)
-                    tried.append(len(starts[at]))
+                if at == n:
+                    return [t for _, t in path]
+                before, option = token, longest[at]
             elif path:
-                begun.pop()
-                tried.pop()
-                at = begun[-1]
-                failed.add((at, path.pop()))
+                length, token = path.pop()
+                at -= length
+                failed.add((at, token))
+                before, option = path[-1][1] if path else -1, shorter[token]
             else:
                 raise ValueError(f"the vocabulary has no encoding of {word!r}")
-        return path
-
-    def word(self, word: str) -> list[int]:
-        found = self.known_words.get(word)
-        if found is None:
-            if len(self.known_words) >= MOST_WORDS:
-                self.known_words.clear()
-            found = self.known_words[word] = self.encode_word(word)
-        return found
-
-    def entry(self, chunk: str) -> tuple[str, str, int]:
-        """The ids and the decoded text of a run of non-space characters, both joined by spaces, and the number of ids."""
-        if len(self.known) >= MOST_CHUNKS:
-            self.known.clear()
-        ids = [i for word in self.words.findall(chunk) for i in self.word(word)]
-        found = self.known[chunk] = " ".join(map(str, ids)), self.decode(ids), len(ids)
-        return found
 
     def normalise(self, text: str) -> str:
         if text.isascii():
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma: characters are lowered one by one
 
-    def entries(self, text: str) -> list[tuple[str, str, int]]:
+    def words_of(self, text: str) -> list[str]:
+        """The words of a text in order; a special token is a word of its own with a space before it, which no other word has."""
         if self.split and "<|" in text:
             out = []
             for part in self.split.split(text):
-                out += [(str(self.special[part]), part, 1)] if part in self.special else self.entries_of(part)
+                out += [" " + part] if part in self.special else self.words.findall(self.normalise(part))
             return out
-        return self.entries_of(text)
-
-    def entries_of(self, text: str) -> list[tuple[str, str, int]]:
-        """Of every run between spaces; the word pattern never crosses a space."""
-        known, entry, text = self.known.get, self.entry, self.normalise(text)
-        chunks = [c for c in SPACES.split(text) if c] if SEPARATORS.search(text) else text.split()
-        return [known(c) or entry(c) for c in chunks]
+        return self.words.findall(self.normalise(text))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for e in self.entries(text) for i in e[0].split(" ") if i]
-
-    def count(self, text: str) -> int:
-        return sum([e[2] for e in self.entries(text)])
+        return Encoder(self).ids([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         buffer, offset = self.buffer, self.offset
         return b" ".join([buffer[offset[i] : offset[i + 1]] for i in ids]).decode()
 
 
+class Encoder:
+    """Encodes slices of texts for one task.
+
+    Encodings of words are kept in two generations: a word found in the older one moves to the younger, and when the
+    younger holds half of CACHE_BYTES it becomes the older and the one before goes.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def word(self, word: str) -> bytes:
+        """The ids of a word as 4-byte numbers."""
+        found = self.young.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is None:
+                v = self.vocabulary
+                found = array("i", [v.special[word[1:]]] if word[0] == " " else v.encode_word(word)).tobytes()
+            self.held += 220 + 4 * len(word) + len(found)
+            if self.held > CACHE_BYTES // 2:
+                self.young, self.old, self.held = {}, self.young, 0
+            self.young[word] = found
+        return found
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in order, and how many each word has."""
+        index = pa.array(words, pa.large_string()).dictionary_encode()
+        found = [self.word(w) for w in index.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = index.indices.to_numpy()
+        lists = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(sizes)], np.frombuffer(b"".join(found), np.int32))
+        return lists.take(pa.array(at)).flatten().to_numpy(), sizes[at]
+
+    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin (one place more than texts)."""
+        values, sizes, words, ends, n = [], [], [], [], 0
+
+        def flush() -> None:
+            if words:
+                ids, count = self._encoded(words)
+                values.append(ids)
+                sizes.append(count)
+                words.clear()
+
+        for text in texts:
+            for piece in pieces(text or ""):
+                found = self.vocabulary.words_of(piece)
+                n += len(found)
+                words.extend(found)
+                if len(words) >= MOST_WORDS:
+                    flush()
+            ends.append(n)
+        flush()
+        total = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]))
+        return np.concatenate([np.empty(0, np.int32), *values]), total[np.array([0, *ends], np.int64)]
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        values, at = self.flat(texts)
+        return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def joined(self, values: np.ndarray, at: np.ndarray, forms: pa.Array) -> pa.Array:
+        """The forms of each text's ids, joined by spaces."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), forms.take(pa.array(values))), " ")
+
+
+def pieces(text: str) -> list[str]:
+    """A long text in parts that end at a space, which no word or special token crosses."""
+    out, at = [], 0
+    while len(text) - at > PIECE:
+        m = SPACES.search(text, at + PIECE)
+        if m is None:
+            break
+        out.append(text[at : m.end()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
 _LOADED: dict[int, Vocabulary] = {}
 
 
 def loaded(source) -> Vocabulary:
-    """The broadcast vocabulary's tables, built once in each Python worker."""
+    """The broadcast vocabulary's tables, built once in each Python worker; they do not grow with the data."""
     key = source.id if hasattr(source, "id") else hash(source.value)
     if key not in _LOADED:
         _LOADED.clear()
@@ -249,15 +314,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     source, kind = broadcast_vocabulary(docs, path), docs.schema[id_col].dataType.simpleString()
 
     def start():
-        v = loaded(source)
+        coder = Encoder(loaded(source))
 
         def work(ids, texts):
-            numbers, decoded = [], []
-            for text in texts:
-                found = v.entries(text or "")
-                numbers.append(np.fromstring(" ".join([e[0] for e in found]), np.int32, sep=" ") if found else np.empty(0, np.int32))
-                decoded.append(" ".join([e[1] for e in found]))
-            return [ids, numbers, decoded]
+            values, at = coder.flat(texts)
+            return [ids, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values)), coder.joined(values, at, coder.vocabulary.names)]
 
         return work
 
@@ -265,7 +326,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, decoded) for rows of token ids.  Null ids decode to null, an unknown id to nothing."""
+    """(id, decoded) for rows of token ids.  Null ids decode to null, an unknown id or a null one to nothing."""
     source, kind = broadcast_vocabulary(ids, path), ids.schema[id_col].dataType.simpleString()
 
     def start():
@@ -281,17 +342,12 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     source, kind = broadcast_vocabulary(docs, path), docs.schema[id_col].dataType.simpleString()
 
     def start():
-        v, sha = loaded(source), hashlib.sha256
+        coder, sha = Encoder(loaded(source)), hashlib.sha256
 
         def work(ids, texts):
-            n, first, second = [], [], []
-            for text in texts:
-                found = v.entries(text or "")
-                joined = " ".join([e[0] for e in found])
-                n.append(sum([e[2] for e in found]))
-                first.append(sha(joined.encode()).hexdigest())
-                second.append(sha(" ".join([e[1] for e in found]).encode()).hexdigest())
-            return [ids, n, first, second]
+            values, at = coder.flat(texts)
+            digests = [[sha(x.as_buffer()).hexdigest() for x in coder.joined(values, at, forms)] for forms in (coder.vocabulary.decimals, coder.vocabulary.names)]
+            return [ids, np.diff(at), *digests]
 
         return work
 
@@ -303,7 +359,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     source, kind = broadcast_vocabulary(docs, path), docs.schema[id_col].dataType.simpleString()
 
     def start():
-        v = loaded(source)
-        return lambda ids, texts: [ids, [v.count(t or "") for t in texts]]
+        coder = Encoder(loaded(source))
+        return lambda ids, texts: [ids, np.diff(coder.flat(texts)[1])]
 
     return map_columns(picked(docs, id_col, text_col), f"`{id_col}` {kind}, n_tokens long", start)
