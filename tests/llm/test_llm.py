@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, htmltext, langid, lengths, linededup, quality, secrets, simhash, substring
+from weftgraph.llm import bpe, decontam, htmltext, langid, lengths, linededup, neargroups, quality, secrets, simhash, substring
 from weftgraph.llm.queries import QUERIES, tokenizer_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -252,10 +252,11 @@ def test_pipeline(spark, sf_dir):
             kept = out.checkpoint()
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids == {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()}
-    lines = linededup.remove_boilerplate(docs)
-    comp = simhash.near_duplicates(lines).where("doc_id = component_id").select("doc_id")
+    known = langid.identify(docs).where("not ambiguous").select("doc_id")
+    lines = linededup.remove_boilerplate(docs.join(known, "doc_id", "left_semi"))
+    first = neargroups.similar_groups(lines).where("kept").select("doc_id")
     clean = decontam.contamination(lines, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select("doc_id")
-    assert ids == {r.doc_id for r in comp.intersect(clean).collect()}
+    assert ids == {r.doc_id for r in first.intersect(clean).collect()}
 
 
 def test_queries_are_named():

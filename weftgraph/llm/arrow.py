@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,8 +14,10 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Leave the cluster's shared checkpoint folder as it is; choose one only where none is set (tests)."""
+    """Leave the cluster's shared checkpoint folder as it is; choose one only where none is set in a local session (tests)."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 

@@ -37,42 +37,47 @@ def spread_lines(keys: DataFrame, sites: int = SITES) -> DataFrame:
     estimated = estimated.where(F.col("n_sites") >= sites * (1 - MARGIN)).checkpoint()
     clear = estimated.where(F.col("n_sites") >= sites * (1 + MARGIN))
     near = estimated.where(F.col("n_sites") < sites * (1 + MARGIN)).select("h1", "h2")
-    exact = keys.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_sites"))
+    # So near the threshold a line's sites are few: they are gathered in the tasks that read them, and one row a task and line is sent on.
+    exact = keys.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.size(F.collect_set("site")).cast("long").alias("n_sites"))
     return clear.unionByName(exact.where(F.col("n_sites") >= sites))
 
 
 def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
-    """docs plus `_lines` (its lines) and `_gone` (places of boilerplate lines, null if none)."""
+    """(doc, gone): every row of docs as one struct, so that no column can clash, and the places of its boilerplate lines, null if it has none."""
     use_checkpoints(docs.sparkSession)
     keys = line_keys(docs, id_col, text_col, site_col)
     found = spread_lines(keys, sites).select("h1", "h2")
-    gone = keys.join(found, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("_gone"))
-    rows = docs.withColumn("_row", _row_key(id_col, text_col))
-    return rows.join(gone.select(F.col("row").alias("_row"), "_gone").hint("shuffle_hash"), "_row", "left").drop("_row")
+    gone = keys.join(found, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("gone"))
+    rows = docs.select(_row_key(id_col, text_col).alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    return rows.join(gone.hint("shuffle_hash"), "row", "left").select("doc", "gone")
 
 
-def _kept_lines(text_col: str):
-    return F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda _, i: F.coalesce(~F.array_contains("_gone", i), F.lit(True)))
+def _kept_text(text):
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("gone", i))
+    return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
     """docs with the same columns and rows, without the lines that occur on at least `sites` distinct sites.
 
     Lines are compared without white space around them; lines without a word stay.  Rows with a null site count for
-    no site but lose boilerplate lines; null texts stay null; a text of boilerplate lines only becomes ''; repeated
-    rows stay and are treated alike.
+    no site but lose boilerplate lines; null texts stay null; a text of boilerplate lines only becomes ''; rows with
+    a null id and repeated rows stay and are treated alike; columns may have any names; an empty table stays empty.
     """
-    marked = mark_lines(docs, id_col, text_col, site_col, sites)
-    text = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(_kept_lines(text_col), "\n"))
-    return marked.withColumn(text_col, text).select(*(F.col(f"`{c}`") for c in docs.columns))
+    marked, doc = mark_lines(docs, id_col, text_col, site_col, sites), F.col("doc")
+    return marked.select(*((_kept_text(doc.getField(c)) if c == text_col else doc.getField(c)).alias(c) for c in docs.columns))
 
 
 def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
     """(id, n_lines, n_removed, kept_sha256) for every row of docs; a null text has no lines and counts as empty."""
     marked = mark_lines(picked(docs, id_col, text_col, site_col), id_col, text_col, site_col, sites)
-    text = F.when(F.col("_gone").isNull(), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).otherwise(F.array_join(_kept_lines(text_col), "\n"))
-    n_lines = F.coalesce(F.size(F.split(F.col(f"`{text_col}`"), "\n", -1)), F.lit(0))
-    return marked.select(F.col(f"`{id_col}`"), F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(text, 256).alias("kept_sha256")).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
+    text = F.col("doc").getField(text_col)
+    return marked.select(
+        F.col("doc").getField(id_col).alias(id_col),
+        F.greatest(F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
+        F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(_kept_text(text), F.lit("")), 256).alias("kept_sha256"),
+    )
 
 
 ORACLE_SQL = f"""

@@ -156,9 +156,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = roots.select(F.col("node").alias("fp"), F.col("component").alias("root")).join(smallest, "root").select("fp", "component_id")
     by_print = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")).checkpoint()  # both sides of the last join are then plain shuffles, whose hot fingerprints Spark splits
     return prints.join(by_print, "fp").select(F.col(f"`{id_col}`"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the smallest id of each near-duplicate component; all columns stay."""
-    gone = near_duplicates(docs, id_col, text_col).where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`"))
-    return docs.join(gone, id_col, "left_anti")
