@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.arrow import map_columns, picked
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*+"|'[^']*+'|[^"'>]++)*+)>|<[!?][^>]*+>""", re.S)
+#: Attributes: a value in quotes begins behind an equals sign only; quotes elsewhere are plain characters.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)>|<[!?][^>]*+>""", re.S)
 _HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _MAIN_ROLE = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.I)
 # Elements and words of class names.
@@ -72,6 +73,57 @@ LABELLED = (
     ((3, 0.00, 1, 1.00, 0, 0.00, 0, 0, 0), 0),
     ((22, 0.80, 18, 0.90, 25, 0.70, 0, 0, 0), 0),
     ((8, 0.50, 3, 1.00, 6, 0.60, 0, 0, 0), 0),
+    # Articles: linked paragraphs, what stands beside them, lists of links, captions, single words.
+    ((20, 1.00, 60, 0.00, 40, 0.00, 1, 0, 0), 1),
+    ((12, 1.00, 50, 0.00, 0, 0.00, 1, 0, 0), 1),
+    ((40, 0.00, 25, 1.00, 0, 0.00, 1, 0, 0), 1),
+    ((30, 0.00, 12, 0.80, 60, 0.00, 1, 0, 0), 1),
+    ((55, 0.60, 20, 0.90, 30, 0.70, 1, 0, 0), 1),
+    ((3, 1.00, 2, 1.00, 4, 1.00, 1, 0, 1), 1),
+    ((1, 1.00, 1, 1.00, 1, 1.00, 1, 0, 1), 1),
+    ((9, 0.50, 3, 1.00, 2, 1.00, 1, 0, 1), 1),
+    ((4, 0.00, 3, 1.00, 2, 1.00, 1, 0, 0), 1),
+    ((1, 0.00, 80, 0.00, 90, 0.00, 1, 0, 0), 1),
+    ((1, 1.00, 70, 0.00, 0, 0.00, 1, 0, 0), 1),
+    ((5, 0.00, 0, 0.00, 1, 1.00, 1, 0, 0), 1),
+    ((200, 0.00, 5, 1.00, 180, 0.00, 1, 0, 0), 1),
+    ((15, 0.70, 0, 0.00, 20, 0.00, 1, 0, 0), 1),
+    # No article around: paragraphs and their headings.
+    ((110, 0.00, 95, 0.00, 130, 0.00, 0, 0, 0), 1),
+    ((65, 0.10, 3, 1.00, 2, 1.00, 0, 0, 0), 1),
+    ((48, 0.00, 1, 1.00, 55, 0.00, 0, 0, 0), 1),
+    ((75, 0.00, 80, 0.00, 1, 1.00, 0, 0, 0), 1),
+    ((30, 0.00, 45, 0.00, 0, 0.00, 0, 0, 0), 1),
+    ((28, 0.20, 33, 0.00, 41, 0.10, 0, 0, 0), 1),
+    ((8, 0.00, 0, 0.00, 60, 0.00, 0, 0, 0), 1),
+    ((4, 0.00, 2, 1.00, 75, 0.00, 0, 0, 0), 1),
+    ((6, 0.00, 50, 0.00, 44, 0.00, 0, 0, 0), 1),
+    ((3, 0.00, 85, 0.00, 66, 0.00, 0, 0, 0), 1),
+    ((22, 0.00, 6, 0.00, 58, 0.00, 0, 0, 0), 1),
+    ((18, 0.10, 40, 0.00, 35, 0.00, 0, 0, 1), 1),
+    ((24, 0.00, 26, 0.00, 21, 0.00, 0, 0, 1), 1),
+    ((90, 0.30, 70, 0.00, 60, 0.20, 0, 0, 0), 1),
+    # No article around: links and short lines beside paragraphs or other links.
+    ((1, 1.00, 60, 0.00, 0, 0.00, 0, 0, 0), 0),
+    ((1, 1.00, 45, 0.00, 1, 1.00, 0, 0, 0), 0),
+    ((2, 1.00, 70, 0.00, 55, 0.00, 0, 0, 0), 0),
+    ((3, 1.00, 0, 0.00, 80, 0.00, 0, 0, 0), 0),
+    ((5, 1.00, 90, 0.00, 3, 0.00, 0, 0, 0), 0),
+    ((2, 1.00, 1, 1.00, 65, 0.00, 0, 0, 1), 0),
+    ((12, 1.00, 50, 0.00, 10, 1.00, 0, 0, 0), 0),
+    ((9, 0.80, 12, 0.90, 48, 0.00, 0, 0, 0), 0),
+    ((2, 0.00, 60, 0.00, 1, 1.00, 0, 0, 0), 0),
+    ((4, 0.00, 1, 1.00, 2, 1.00, 0, 0, 0), 0),
+    ((5, 0.00, 3, 1.00, 0, 0.00, 0, 0, 0), 0),
+    ((7, 0.40, 60, 0.00, 2, 1.00, 0, 0, 0), 0),
+    ((14, 0.90, 4, 1.00, 3, 1.00, 0, 0, 0), 0),
+    ((2, 0.00, 2, 0.00, 1, 1.00, 0, 0, 1), 0),
+    # Beside the main text: of any length and without links.
+    ((70, 0.00, 60, 0.00, 50, 0.00, 0, 1, 0), 0),
+    ((120, 0.00, 0, 0.00, 90, 0.00, 0, 1, 0), 0),
+    ((35, 0.00, 40, 0.00, 30, 0.00, 1, 1, 0), 0),
+    ((8, 0.00, 12, 0.00, 9, 0.00, 1, 1, 0), 0),
+    ((15, 1.00, 70, 0.00, 2, 1.00, 1, 1, 1), 0),
 )
 
 
@@ -226,7 +278,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
             if (named and name not in _UNNAMED and name not in _OUTSIDE) or name == "form":
                 number += 1
                 names_of.append((len(stack), name, number, not _AFTER_NAME.search(names)))
-            bad = name in _OUTSIDE and name != "form"
+            bad = name in _OUTSIDE and name != "form" and not (name == "header" and inside and not named)  # an article's own header holds its title
             stack.append((name, int(good), int(bad)))
             inside, outside = inside + good, outside + bad
             item = item or name == "li"
@@ -249,7 +301,7 @@ def main_text(page: str | None, tree) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for every row of pages: its main text, '' if there is none.
 
-    Null and empty pages have none; unclosed elements end with their parent or the page, unclosed skipped ones (script,
+    Null and empty pages have none; blocks of any length and number are judged, whole; unclosed elements end with their parent or the page, unclosed skipped ones (script,
     button, select, ...) before the next block; an element around an article is not outside because of its name, except
     that comments and related links stay so unless they hold the page's first article; repeated rows stay.
     """
