@@ -15,6 +15,7 @@ from weftgraph.llm.arrow import picked, use_checkpoints
 SITES = 10
 SKETCH_BITS = 9
 MARGIN = 0.25  # over five standard errors of a sketch of 2^9 registers
+SMALL = 1_000_000  # lines that may be broadcast
 SPACES = " \t\x0b\x0c\r"
 
 
@@ -30,24 +31,28 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return trimmed.select("row", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
+def _among(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """keys of these lines.  Up to SMALL lines (16 bytes each) are broadcast, so that a frequent line's rows stay where they are read."""
+    return keys.join(F.broadcast(lines) if lines.count() <= SMALL else lines, ["h1", "h2"], "left_semi")
+
+
 def spread_lines(keys: DataFrame, sites: int = SITES) -> DataFrame:
-    """(h1, h2, n_sites): keys on at least this many distinct sites; n_sites is exact near the threshold, else an estimate."""
+    """(h1, h2): keys on at least this many distinct sites."""
     keys = keys.where("site is not null")
     estimated = keys.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch")).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("n_sites"))
     estimated = estimated.where(F.col("n_sites") >= sites * (1 - MARGIN)).checkpoint()
-    clear = estimated.where(F.col("n_sites") >= sites * (1 + MARGIN))
-    near = estimated.where(F.col("n_sites") < sites * (1 + MARGIN)).select("h1", "h2")
+    clear = estimated.where(F.col("n_sites") >= sites * (1 + MARGIN)).select("h1", "h2")
+    near = estimated.where(F.col("n_sites") < sites * (1 + MARGIN)).select("h1", "h2").checkpoint()
     # So near the threshold a line's sites are few: they are gathered in the tasks that read them, and one row a task and line is sent on.
-    exact = keys.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.size(F.collect_set("site")).cast("long").alias("n_sites"))
-    return clear.unionByName(exact.where(F.col("n_sites") >= sites))
+    exact = _among(keys.select("h1", "h2", "site"), near).groupBy("h1", "h2").agg(F.size(F.collect_set("site")).alias("n_sites"))
+    return clear.unionByName(exact.where(F.col("n_sites") >= sites).select("h1", "h2")).checkpoint()
 
 
 def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
     """(doc, gone): every row of docs as one struct, so that no column can clash, and the places of its boilerplate lines, null if it has none."""
     use_checkpoints(docs.sparkSession)
     keys = line_keys(docs, id_col, text_col, site_col)
-    found = spread_lines(keys, sites).select("h1", "h2")
-    gone = keys.join(found, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("gone"))
+    gone = _among(keys.select("row", "at", "h1", "h2"), spread_lines(keys, sites)).groupBy("row").agg(F.collect_set("at").alias("gone"))
     rows = docs.select(_row_key(id_col, text_col).alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     return rows.join(gone.hint("shuffle_hash"), "row", "left").select("doc", "gone")
 

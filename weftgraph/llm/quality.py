@@ -1,11 +1,13 @@
 """Quality rules: fixed base rules, then robust multivariate outliers of each language and source.
 
-Every text gives a vector of transformed statistics.  For each (language, source) group the minimum-covariance-
-determinant estimate is found by concentration steps over all rows of the group: distances to the current centre,
-the nearer share of the rows, their mean and covariance, again.  A step is one grouped aggregation: rows are counted
-and summed by (group, distance bin) before the shuffle, so a group of any size becomes at most BINS rows, and the
-bin in which the share is reached bounds the next subset.  Rows whose squared Mahalanobis distance to the final
-estimate exceeds the limit are rejected.
+Every text gives a vector of transformed statistics.  For each (language, source) group, each language and all rows
+the minimum-covariance-determinant estimate is found by concentration steps from two starts (means and variances;
+medians and quartiles): distances to the current centre, the nearest SHARE of the rows, their mean and covariance,
+again.  A step is one grouped aggregation: rows are counted and summed by (group, start, distance bin) before the
+shuffle, so a group of any size becomes at most BINS rows, and the bin in which the share is reached bounds the next
+subset.  The start with the smaller determinant wins.  An estimate then leans on that of the level above it by the
+weight of PRIOR rows, so a small group is judged by its language and a small language by all rows, without a switch.
+Rows whose squared Mahalanobis distance exceeds FACTOR times the median of all rows' distances are rejected.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ SYMBOLS = "#*$%&|<>"
 BINS = 400
 STEPS = 5
 SHARE = 0.75  # of a group's rows that the estimate rests on
-LEAST_ROWS = 30  # groups of fewer passing rows have no estimate of their own: their rows are kept
-RIDGE = 0.1  # added to every variance: one repeated window in a group where hardly any text has one is no outlier
-LIMIT = 60.0  # squared distance; in clean text the five transformed statistics have heavier tails than a normal's
+PRIOR = 50.0  # rows that the estimate of the level above counts for
+#: What is added to the variance of each statistic: differences below this root are never unlikely, even if all other texts agree.
+FLOORS = (0.3**2, 0.03**2, 0.35**2, 0.5**2, 0.8**2)
+FACTOR = 22.0  # of the median squared distance; the labelled clean texts of sf0.1 reach 20.5, 97.7 % of the junk lies beyond 23
+SMALL = 100_000  # rows of estimates that may be broadcast
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
 _PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
 
@@ -89,76 +93,128 @@ def vectors(stats: DataFrame) -> DataFrame:
     )
 
 
-def _distance(scale: float = 1.0):
+def _distance():
     """Squared Mahalanobis distance of x0..x4 to the joined centre m0..m4 and inverse w0_0..w4_4, as a column."""
     centred = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(FEATURES)]
     terms = [(1.0 if i == j else 2.0) * centred[i] * centred[j] * F.col(f"w{i}_{j}") for i, j in _PAIRS]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
-    return F.greatest(total / scale, F.lit(0.0))
+    return F.greatest(total, F.lit(0.0))
 
 
-#: Squared distances by bin, evenly spaced in the logarithm: bin b holds those up to _edge(b).
+#: Squared distances by bin, evenly spaced in the logarithm.
 def _bin(distance):
     return F.least(F.lit(BINS - 1), F.floor(F.log1p(distance * 50.0) * 25.0)).cast("int")
 
 
-def _fit(rows: pd.DataFrame, keys: list, first: bool) -> pd.DataFrame:
-    """Centre and inverse covariance from at most BINS rows of counts, sums and products: the nearest bins that hold the share."""
+_MEANS = [f"m{i}" for i in range(len(FEATURES))]
+_COVS, _INVERSE = ([f"{c}{i}_{j}" for i, j in _PAIRS] for c in "cw")
+
+
+def _square(values: np.ndarray) -> np.ndarray:
+    """Symmetric matrices from rows of their lower halves."""
+    out = np.empty((len(values), len(FEATURES), len(FEATURES)))
+    for at, (i, j) in enumerate(_PAIRS):
+        out[:, i, j] = out[:, j, i] = values[:, at]
+    return out
+
+
+def _lower(matrices: np.ndarray) -> list[np.ndarray]:
+    return [matrices[:, i, j] for i, j in _PAIRS]
+
+
+def _fit(rows: pd.DataFrame) -> list:
+    """n, determinant, mean, covariance and inverse from at most BINS rows of counts, sums and products: the nearest bins that hold the share."""
     rows = rows.sort_values("bin")
     n = rows["n"].to_numpy(float)
-    take = slice(None) if first else slice(0, int(np.searchsorted(np.cumsum(n), SHARE * n.sum() - 1e-9)) + 1)
-    k = len(FEATURES)
+    take = slice(0, int(np.searchsorted(np.cumsum(n), SHARE * n.sum() - 1e-9)) + 1)
     count = n[take].sum()
-    mean = np.array([rows[f"s{i}"].to_numpy()[take].sum() for i in range(k)]) / count
-    cov = np.zeros((k, k))
-    for i, j in _PAIRS:
-        cov[i, j] = cov[j, i] = rows[f"p{i}_{j}"].to_numpy()[take].sum() / count - mean[i] * mean[j]
-    if first:
-        cov = np.diag(np.diag(cov))
-    cov += RIDGE * np.eye(k)
-    inverse = np.linalg.inv(cov)
-    kept = count / n.sum()
-    return pd.DataFrame([[*keys, int(n.sum()), float(np.linalg.det(cov)), kept, *mean, *(inverse[i, j] for i, j in _PAIRS)]])
-
-
-def _estimate(rows: DataFrame, groups: tuple[str, ...], first: bool) -> DataFrame:
-    """One concentration step over rows with a bin: sums by (group, bin), then the fit of each group."""
-    sums = rows.groupBy(*groups, "bin").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)), *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i, j in _PAIRS))
-    names = [*groups, "n_rows", "det", "used", *(f"m{i}" for i in range(len(FEATURES))), *(f"w{i}_{j}" for i, j in _PAIRS)]
-    kinds = [rows.schema[g].dataType.simpleString() for g in groups] + ["long", "double", "double"] + ["double"] * (len(names) - len(groups) - 3)
+    mean = np.array([rows[f"s{i}"].to_numpy()[take].sum() for i in range(len(FEATURES))]) / count
+    cov = _square(np.array([[rows[f"p{i}_{j}"].to_numpy()[take].sum() / count - mean[i] * mean[j] for i, j in _PAIRS]]))
+    cov += np.diag(FLOORS)
+    return [int(n.sum()), float(np.linalg.det(cov[0])), *mean, *(x[0] for x in _lower(cov)), *(x[0] for x in _lower(np.linalg.inv(cov)))]
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _fit(pdf, [pdf[g].iloc[0] for g in groups], first)
-        out.columns = names
-        return out
 
-    return sums.groupBy(*groups).applyInPandas(fit, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+def _with_keys(rows: DataFrame, groups: tuple[str, ...], level: int | None = None) -> DataFrame:
+    """rows with `key`, one row for each level (or the one asked for): how many of the groups it tells apart, and their values."""
 
+    def key(depth: int):
+        return F.struct(F.lit(depth).alias("level"), *((F.col(f"`{g}`") if i < depth else F.lit(None).cast(rows.schema[g].dataType)).alias(f"k{i}") for i, g in enumerate(groups)))
 
-def _joined(rows: DataFrame, params: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """rows with the parameters of their group; null groups are groups of their own."""
-    params = params.select(*(F.col(g).alias(f"_{g}") for g in groups), *(c for c in params.columns if c not in groups))
-    on = [rows[g].eqNullSafe(params[f"_{g}"]) for g in groups]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    return rows.join(params, condition, "left").drop(*(f"_{g}" for g in groups))
+    return rows.withColumn("key", F.explode(F.array(*map(key, range(len(groups) + 1)))) if level is None else key(level))
 
 
-def robust_outliers(passing: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """passing (with x0..x4) plus distance: squared Mahalanobis distance by the group's MCD estimate, null in groups too small for one.
+def _joined(rows: DataFrame, params: DataFrame, small: bool) -> DataFrame:
+    params = params.withColumnRenamed("key", "_key")
+    return rows.join(F.broadcast(params) if small else params, rows["key"].eqNullSafe(params["_key"])).drop("_key")
 
-    The first fit takes all rows of a group and their variances only; every following step takes the nearest SHARE of
-    them by the fit before, which lowers the determinant step by step.
-    """
-    params = _estimate(passing.withColumn("bin", F.lit(0)), groups, first=True)
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(key, start, means, inverse): first centres and variances of each key, by moments (0) and by quartiles (1)."""
+    found = rows.groupBy("key").agg(*(x for f in FEATURES for x in (F.avg(f).alias(f"a{f}"), F.var_pop(f).alias(f"v{f}"), F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q{f}"))))
+    kinds = []
+    for start in (0, 1):
+        centre = [F.col(f"a{f}") if start == 0 else F.col(f"q{f}")[1] for f in FEATURES]
+        spread = [F.col(f"v{f}") if start == 0 else F.pow((F.col(f"q{f}")[2] - F.col(f"q{f}")[0]) / 1.349, 2) for f in FEATURES]
+        inverse = [(1.0 / (spread[i] + FLOORS[i])) if i == j else F.lit(0.0) for i, j in _PAIRS]
+        kinds.append(F.struct(F.lit(start).alias("start"), *(c.alias(n) for c, n in zip(centre, _MEANS, strict=True)), *(c.alias(n) for c, n in zip(inverse, _INVERSE, strict=True))))
+    return found.select("key", F.explode(F.array(*kinds)).alias("s")).select("key", "s.*")
+
+
+def _step(rows: DataFrame, params: DataFrame, small: bool) -> DataFrame:
+    """One concentration step: sums by (key, start, bin) of the distances to the estimates before, then new estimates."""
+    binned = _joined(rows, params, small).withColumn("bin", _bin(_distance()))
+    sums = binned.groupBy("key", "start", "bin").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)), *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i, j in _PAIRS))
+    names = ["n", "det", *_MEANS, *_COVS, *_INVERSE]
+    out = "name string, start int, n long, " + ", ".join(f"{c} double" for c in names[1:])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[pdf["name"].iloc[0], pdf["start"].iloc[0], *_fit(pdf)]], columns=["name", "start", *names])
+
+    # The key travels as JSON through pandas, in which its numbers and nulls would change their types.
+    kind = rows.schema["key"].dataType
+    fitted = sums.withColumn("name", F.to_json("key", {"ignoreNullFields": "false"})).drop("key").groupBy("name", "start").applyInPandas(fit, out)
+    return fitted.select(F.from_json("name", kind).alias("key"), "start", *names).checkpoint()
+
+
+def _leaning(params: DataFrame, levels: int) -> DataFrame:
+    """(key, means, inverse) of the deepest level: each level's estimate drawn to that of the level above by PRIOR rows."""
+    above = None
+    for level in range(levels):
+        own = params.where(F.col("key.level") == level)
+        if above is not None:
+            up = above.select(F.col("key").alias("_up"), *(F.col(c).alias(f"_{c}") for c in (*_MEANS, *_COVS)))
+            parent = F.struct(F.lit(level - 1).alias("level"), *((F.col(f"key.k{i}") if i < level - 1 else F.lit(None).cast(params.schema["key"].dataType[f"k{i}"].dataType)).alias(f"k{i}") for i in range(levels - 1)))
+            joined = own.withColumn("_parent", parent).join(up, F.col("_parent").eqNullSafe(F.col("_up")))
+            a = F.col("n") / (F.col("n") + PRIOR)
+            gap = [F.col(m) - F.col(f"_{m}") for m in _MEANS]
+            means = [(a * F.col(m) + (1 - a) * F.col(f"_{m}")).alias(m) for m in _MEANS]
+            covs = [(a * F.col(c) + (1 - a) * F.col(f"_{c}") + a * (1 - a) * gap[i] * gap[j]).alias(c) for c, (i, j) in zip(_COVS, _PAIRS, strict=True)]
+            own = joined.select("key", "n", *means, *covs)
+        above = own.select("key", "n", *_MEANS, *_COVS)
+
+    def invert():
+        return lambda names, *columns: [names, *columns[: len(_MEANS)], *_lower(np.linalg.inv(_square(np.array(columns[len(_MEANS) :], float).T)))]
+
+    rows = above.select(F.to_json("key", {"ignoreNullFields": "false"}).alias("name"), *_MEANS, *_COVS)
+    done = map_columns(rows, "name string, " + ", ".join(f"{c} double" for c in (*_MEANS, *_INVERSE)), invert)
+    return done.select(F.from_json("name", params.schema["key"].dataType).alias("key"), *_MEANS, *_INVERSE).checkpoint()
+
+
+def robust_outliers(passing: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """passing (with x0..x4) plus distance (squared, by the estimate of its group) and outlier."""
+    rows = _with_keys(passing, groups).select("key", *FEATURES)
+    params = _starts(rows).checkpoint()
+    small = params.count() <= SMALL
     for _ in range(STEPS):
-        params = _estimate(_joined(passing, params, groups).withColumn("bin", _bin(_distance())), groups, first=False).checkpoint()
-    # The nearer three quarters of normal vectors of five statistics have about 1 / 1.6 of the full variance.
-    found = _joined(passing, params, groups).withColumn("distance", F.when(F.col("n_rows") >= LEAST_ROWS, _distance(1.6)))
-    return found.select(*passing.columns, "distance")
+        params = _step(rows, params, small)
+    fields = ["n", *_MEANS, *_COVS]
+    best = params.groupBy("key").agg(F.min_by(F.struct(*fields), F.struct("det", "start")).alias("b")).select("key", "b.*")
+    final = _leaning(best, len(groups) + 1)
+    judged = _joined(_with_keys(passing, groups, len(groups)), final, small).withColumn("distance", _distance()).select(*passing.columns, "distance").checkpoint()
+    limit = judged.agg((FACTOR * F.percentile_approx("distance", 0.5, 10_000)).alias("limit"))  # one row
+    return judged.join(F.broadcast(limit), how="cross").select(*passing.columns, "distance", (F.col("distance") > F.col("limit")).alias("outlier"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -166,11 +222,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
 
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows that occur twice or more.  kept:
     false if base_failed, else false for a robust outlier of its language and source.  A null text has no words and
-    fails; rows with a null language or source form groups of their own; groups with fewer than LEAST_ROWS passing
-    rows keep all of these; equal rows get equal verdicts.
+    fails; rows with a null language or source form groups of their own; a group of any size is judged, a small one
+    mostly by the estimate of its language; equal rows get equal verdicts; an empty table gives an empty one.
     """
     use_checkpoints(docs.sparkSession)
     stats = statistics(docs, id_col, text_col, groups).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).checkpoint()
     passing = vectors(stats.where("not base_failed"))
-    judged = robust_outliers(passing, groups).select(*stats.columns, "distance", (F.coalesce("distance", F.lit(0.0)) <= LIMIT).alias("kept"))
+    judged = robust_outliers(passing, groups).select(*stats.columns, "distance", (~F.col("outlier")).alias("kept"))
     return judged.unionByName(stats.where("base_failed").select("*", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))

@@ -52,7 +52,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "line_no", "word_no", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret")
+    return found.select("doc_id", "line_no", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
