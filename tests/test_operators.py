@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text
-from weftgraph.operators import audit, codegraph, facts, frontier, log, scan, search
+from weftgraph.operators import audit, codegraph, facts, frontier, log, scan, search, traverse
 from weftgraph.operators.components import connected_components
 
 
@@ -46,7 +46,9 @@ def test_log_latest_retire_revive_and_fold(spark):
     links = spark.createDataFrame([(1, "link", "a", "R", "b"), (2, "unlink", "a", "R", "b"), (3, "link", "a", "R", "c")], "seq long, verb string, source_id string, relation_type string, target_id string")
     once = log.replay_edges(links)
     assert [tuple(r) for r in once.collect()] == [("a", "R", "c")]
-    assert log.replay_edges(links.unionAll(links)).count() in (1, 2)
+    again = links.withColumn("seq", F.col("seq") + 3)
+    assert [tuple(r) for r in log.replay_edges(links.unionAll(again)).collect()] == [("a", "R", "c")]
+    assert [tuple(r) for r in log.replay_edges(links.unionAll(links)).where("target_id = 'c'").collect()] == [("a", "R", "c")]
 
 
 def test_session_windows_last_registration_wins(spark):
@@ -57,6 +59,56 @@ def test_session_windows_last_registration_wins(spark):
     assert {(r.seq, r.window_key) for r in log.session_ops(rows, log.session_windows(ops), width=4.0).collect()} == {(1, "w1"), (2, "w2"), (3, "w2")}
 
 
+def test_sessions_of_equal_starts_and_quiet_slots(spark):
+    import random
+
+    r = random.Random(1)
+    starts = [(k, f"w{k % 17}", float(r.choice([5, 900, 905, 4000, 4000, 9000, 90000]))) for k in range(40)]
+    ops = [(k, float(r.choice([0, 4, 5, 899, 900, 3999, 4000, 4001, 50000, 90001, 200000])), r.choice([None, "w1", "w2"])) for k in range(120)]
+    last = {key: at for _, key, at in starts}
+    ends = {at: min((x for x in last.values() if x > at), default=None) for at in last.values()}
+    windows = log.session_windows(spark.createDataFrame(starts, "seq long, key string, started_at double"))
+    assert {tuple(x) for x in windows.collect()} == {(k, at, ends[at]) for k, at in last.items()}
+    want = sorted([(s, tag) for s, _, tag in ops if tag] + [(s, k) for s, ts, tag in ops for k, at in last.items() if at <= ts and (ends[at] is None or ts < ends[at]) and tag != k])
+    rows = spark.createDataFrame(ops, "seq long, ts double, session string")
+    for width in (log.SLOT, 10.0):
+        assert sorted((x.seq, x.window_key) for x in log.session_ops(rows, windows, width).collect()) == want
+    assert log.session_ops(rows.where("false"), windows).count() == log.session_windows(windows.selectExpr("1L as seq", "key", "started_at").where("false")).count() == 0
+
+
+def test_descendants_of_a_deep_chain_with_a_loop(spark):
+    edges = spark.range(40).selectExpr("'n' || id as source_id", "'R' as relation_type", "'n' || (id + 1) as target_id").unionAll(spark.createDataFrame([("n40", "R", "n3"), ("n1", "S", "x")], "a string, b string, c string"))
+    got = traverse.descendants(spark.createDataFrame([("n0",), ("n0",), ("lone",)], "id string"), edges, "R").collect()
+    assert sorted(r.id for r in got) == sorted([f"n{i}" for i in range(41)] + ["lone"])
+
+
+def test_versions_of_any_length(spark):
+    texts = ["1.2", "1.10", "01.2", "20240101123456", "20240101123456.1", "9" * 60, "v1", None]
+    parts = {r.t: r.p for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.semver(F.col("t")).alias("p")).collect()}
+    assert parts["v1"] is None and parts[None] is None and parts["1.2"] == parts["01.2"]
+    numbers = sorted(texts[:6], key=lambda t: [int(x) for x in t.split(".")])
+    for a, b in zip(numbers, numbers[1:]):
+        assert [tuple(x) for x in parts[a]] <= [tuple(x) for x in parts[b]]
+    claims = lambda rows: spark.createDataFrame(rows, "assertion_id string, slot_id string, predicate string, value string")
+    registry = spark.createDataFrame([("version", "semver"), ("task_state", "task")], "predicate string, ordered string")
+    old = claims([("o1", "s", "version", "20240101123455"), ("o2", "s", "version", "3"), ("o3", "t", "task_state", "open")])
+    new = claims([("n1", "s", "version", "20240101123456"), ("n3", "t", "task_state", "done")])
+    assert {tuple(r) for r in facts.auto_supersede(old, new, registry).collect()} == {("n1", "o1"), ("n1", "o2"), ("n3", "o3")}
+
+
+def test_store_prunes_and_follows_its_sources(spark, tmp_path):
+    from weftgraph.sources import store
+
+    source = f"{tmp_path}/t.parquet"
+    read = lambda: store.stored(spark, "t", spark.read.parquet(source).selectExpr("id % 3 as k", "cast(id as string) as v"), "k", [source])
+    spark.range(9).coalesce(1).write.parquet(source)
+    assert read().where("k = 1").count() == 3
+    plan = read().where("k = 1").select("v")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(k" in plan and "ReadSchema: struct<v:string>" in plan
+    spark.range(30).coalesce(1).write.mode("overwrite").parquet(source)
+    assert read().count() == 30
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(200).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
     got = connected_components(links, "x", "y").collect()
@@ -74,6 +126,15 @@ def test_contradictions_by_registry(spark):
 def test_fuzzy_ratio_is_exact(spark):
     import difflib
 
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeé_1") for _ in range(r.randint(1, 9)))
+    many, asked = sorted({word() for _ in range(150)}), sorted({word() for _ in range(60)})
+    ratio = lambda w, n: difflib.SequenceMatcher(None, n, w).ratio()
+    want = {w: min((-round(ratio(w, n), 12), n) for n in many if ratio(w, n) >= 0.6)[1] for w in asked if any(ratio(w, n) >= 0.6 for n in many)}
+    found = audit.fuzzy_suggest(spark.createDataFrame([(w,) for w in asked], "wanted string"), spark.createDataFrame([(n,) for n in many], "name string")).collect()
+    assert {x.wanted: x.name for x in found} == want
     names = ["authoring", "authors", "journal", "journals"]
     got = {r.wanted: (r.name, r.ratio) for r in audit.fuzzy_suggest(spark.createDataFrame([("authorin",), ("zzz",)], "wanted string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     assert got == {"authorin": ("authoring", round(difflib.SequenceMatcher(None, "authoring", "authorin").ratio(), 6))}

@@ -19,6 +19,8 @@ def test_lens_specs_are_checked_bound_and_filled():
     good = {"params": [{"name": "t", "type": "timestamp", "required": True}], "selection": [{"verb": "grep", "args": {"term": "{t}"}}]}
     assert lens.errors_of(good) == []
     assert len(lens.errors_of({"selection": [{"verb": "draw"}], "expand": {"hops": -1}, "more": 1})) == 3
+    for spec, where in ((None, "spec"), ({}, "selection"), ({"selection": []}, "selection"), ({"selection": [{"verb": "list", "args": []}]}, "args"), ({"selection": [{"verb": "list"}], "params": [{"name": "a"}, {"name": "a"}]}, "params"), ({"selection": [{"verb": "list"}], "expand": {"relations": ["R", 1]}}, "relations[1]"), ({"selection": [{"verb": "list"}], "params": [{"type": "string"}]}, "name")):
+        assert len(lens.errors_of(spec)) == 1 and where in lens.errors_of(spec)[0]
     assert lens.bind(good, {"t": "1970-01-02"}) == {"t": 86400.0}
     for given in ({}, {"t": 1, "u": 2}, {"t": "soon"}):
         with pytest.raises(ValueError):

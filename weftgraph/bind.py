@@ -8,13 +8,16 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.model import NODE_FIELDS
+from weftgraph.sources import store
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
+#: The column that each part's files are dealt by.
+STORED_BY = {"nodes": "label", "edges": "relation_type", "claims": "predicate", "supersedes": None, "journal": "verb"}
+
 
 def uid(key: str) -> str:
     m = f"md5({key})"
@@ -60,19 +63,21 @@ def definitions(engine: str, prefix: str = "") -> dict[str, str]:
             WHERE b IS NOT NULL AND b <> l_partkey""",
         "next_turns": f"""SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN turn - 2 ELSE lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS before
             FROM {t['conversations']} WHERE role <> 'system'""",
-        "edges": " UNION ".join(
+        # Relations or the labels of their ends tell the parts apart, so only parts with repeats of their own are made distinct,
+        # and a filter on the relation leaves the parts that have it.
+        "edges": " UNION ALL ".join(
             [
                 f"SELECT {nation_id('n_nationkey')} AS source_id, 'PART_OF' AS relation_type, {uid(chr(39) + 'Region|' + chr(39) + '||n_regionkey')} AS target_id FROM {t['nation']}",
                 f"SELECT {order_id('o_orderkey')}, 'PART_OF', {nation_id('c_nationkey')} FROM {t['orders']} JOIN {t['customer']} ON o_custkey = c_custkey, {prio} p WHERE o_orderpriority IN (lo, hi)",
                 f"SELECT {uid(chr(39) + 'Msg|' + chr(39) + '||conv_id||' + chr(39) + '|' + chr(39) + '||turn')}, 'PART_OF', {uid(chr(39) + 'Conv|' + chr(39) + '||conv_id')} FROM {t['conversations']}",
                 f"SELECT {order_id('o_orderkey')}, 'ABOUT', {customer_id('o_custkey')} FROM {t['orders']}",
                 f"SELECT {order_id('o_orderkey')}, 'GATED_BY', {order_id('prev')} FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM {t['orders']}) g WHERE prev IS NOT NULL",
-                f"SELECT {uid(chr(39) + 'Check|' + chr(39) + '||l_orderkey||' + chr(39) + '|' + chr(39) + '||l_linenumber')}, 'CHECKS', {order_id('l_orderkey')} FROM {t['lineitem']}",
-                f"SELECT {order_id('l_orderkey')}, 'REFERENCES', {supplier_id('l_suppkey')} FROM {t['lineitem']} WHERE l_quantity > 45",
+                f"SELECT {uid(chr(39) + 'Check|' + chr(39) + '||l_orderkey||' + chr(39) + '|' + chr(39) + '||l_linenumber')}, 'CHECKS', {order_id('l_orderkey')} FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM {t['lineitem']}) c",
+                f"SELECT {order_id('l_orderkey')}, 'REFERENCES', {supplier_id('l_suppkey')} FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM {t['lineitem']} WHERE l_quantity > 45) r",
                 f"SELECT {supplier_id('s_suppkey')}, 'REFERENCES', {nation_id('s_nationkey')} FROM {t['supplier']}",
                 f"SELECT {part_id('a')}, 'CALLS', {part_id('b')} FROM calls_parts",
                 f"SELECT DISTINCT {uid(chr(39) + 'Module|' + chr(39) + '||pa.p_brand||' + chr(39) + '/' + chr(39) + '||pa.p_type')}, 'IMPORTS', {uid(chr(39) + 'Module|' + chr(39) + '||pb.p_brand||' + chr(39) + '/' + chr(39) + '||pb.p_type')} FROM calls_parts JOIN {t['part']} pa ON a = pa.p_partkey JOIN {t['part']} pb ON b = pb.p_partkey WHERE pa.p_brand <> pb.p_brand OR pa.p_type <> pb.p_type",
-                f"SELECT {supplier_id('l_suppkey')}, CASE WHEN l_linenumber = 1 THEN 'DOCUMENTS' ELSE 'TESTS' END, {part_id('l_partkey')} FROM {t['lineitem']} WHERE l_linenumber IN (1, 2)",
+                *(f"SELECT {supplier_id('l_suppkey')}, '{relation}', {part_id('l_partkey')} FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {t['lineitem']} WHERE l_linenumber = {line}) d" for line, relation in ((1, "DOCUMENTS"), (2, "TESTS"))),
                 f"SELECT {uid(chr(39) + 'Msg|' + chr(39) + '||conv_id||' + chr(39) + '|' + chr(39) + '||before')}, 'NEXT', {uid(chr(39) + 'Msg|' + chr(39) + '||conv_id||' + chr(39) + '|' + chr(39) + '||turn')} FROM next_turns WHERE before IS NOT NULL",
                 f"SELECT {uid(chr(39) + 'Conv|' + chr(39) + '||conv_id')}, 'STARTS_WITH', {uid(chr(39) + 'Msg|' + chr(39) + '||conv_id||' + chr(39) + '|' + chr(39) + '||turn')} FROM next_turns WHERE before IS NULL",
                 f"SELECT {order_id('o_orderkey')}, 'SUPERSEDES', {order_id('(o_orderkey - 100)')} FROM {t['orders']} WHERE o_orderkey % 100 = 50 AND o_orderkey >= 100",
@@ -113,8 +118,8 @@ def definitions(engine: str, prefix: str = "") -> dict[str, str]:
     return defs
 
 
-def duckdb_prefix() -> str:
-    """All definitions as common table expressions for the checking SQL."""
+def duckdb_definitions() -> dict[str, str]:
+    """All definitions for the checking SQL, each after those that it refers to."""
     d = definitions("duckdb")
     order = ["calls_parts", "next_turns", "nodes", "facts", "claims", "supersedes", "edges", "registry", "journal"]
     extra = {
@@ -130,7 +135,23 @@ def duckdb_prefix() -> str:
         "anchor_ids": "SELECT DISTINCT subject_id AS anchor_id FROM active WHERE predicate = 'role' AND value IN ('program','arc','north-star')",
         "touched": "SELECT subject_id, max(asserted_at) AS last_touch FROM claims WHERE predicate = 'task_state' GROUP BY subject_id",
     }
-    return ",\n".join(f"{n} AS ({(d | extra)[n]})" for n in [*order, *extra])
+    return {n: (d | extra)[n] for n in [*order, *extra]}
+
+
+def with_definitions(sql: str, known: dict[str, str]) -> str:
+    """A query with the definitions that it needs as common table expressions before its own."""
+    named = lambda text: set(re.findall(r"\w+", text))
+    needed, words = [], named(sql)
+    for name in reversed(known):
+        if name in words:
+            needed.append(name)
+            words |= named(known[name])
+    text = sql.strip()
+    first = ",\n".join(f"{n} AS ({known[n]})" for n in reversed(needed))
+    own = text.upper().startswith("SELECT")
+    if not first:
+        return text if own else f"WITH RECURSIVE {text}"
+    return f"WITH RECURSIVE {first}{' ' if own else ', '}{text}"
 
 
 class Bound:
@@ -151,36 +172,37 @@ class Bound:
             text = re.sub(rf"(\b(?:FROM|JOIN)\s+){w}\b", rf"\1{{{w}}}", text)
         return self.spark.sql(text, **frames)
 
-    def _kept(self, name: str) -> DataFrame:
-        """A part as it is read again and again: kept by Spark where there is room, recomputed where an executor is lost."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _KEPT:
-            _KEPT[key] = self._sql(name).persist(StorageLevel.MEMORY_AND_DISK)
-        return _KEPT[key]
-
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._kept("nodes")
+        return self.part("nodes")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._kept("edges")
+        return self.part("edges")
 
     @cached_property
     def claims(self) -> DataFrame:
-        return self._kept("claims")
+        return self.part("claims")
 
     @cached_property
     def supersedes(self) -> DataFrame:
-        return self._kept("supersedes")
+        return self.part("supersedes")
 
     @cached_property
     def journal(self) -> DataFrame:
-        return self._kept("journal")
+        return self.part("journal")
+
+    def part(self, name: str) -> DataFrame:
+        """A part of the graph from its store: written once, then read with only the labels, relations and columns that are asked for."""
+        return store.stored(self.spark, name, self._sql(name), STORED_BY[name], [f"{self.sf_dir}/{t}.parquet" for t in self._tables(name)])
+
+    def _tables(self, name: str) -> list[str]:
+        """The tables that a definition reads, through others too."""
+        found = set()
+        for w in set(re.findall(r"\w+", self._defs[name])) - {name}:
+            found |= {w} if w in TABLES else set(self._tables(w)) if w in self._defs else set()
+        return sorted(found)
 
     @cached_property
     def registry(self) -> DataFrame:
         return self._sql("registry")
-
-
-_KEPT: dict[tuple, DataFrame] = {}

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.model import NAME_STOPWORDS, STOPWORDS, TEXT_FIELDS, TITLE_FIELDS
+from weftgraph.model import NAME_STOPWORDS, NAME_TOKEN, STOPWORDS, TEXT_FIELDS, TITLE_FIELDS
 
 
 def flat(text: Column) -> Column:
@@ -83,7 +83,7 @@ def terms_of(text: str) -> list[str]:
 
 def name_tokens(name: Column) -> Column:
     """Lower-case parts of snake_case and camelCase names without generic words."""
-    parts = F.regexp_extract_all(name, F.lit("[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), F.lit(0))
+    parts = F.regexp_extract_all(name, F.lit(NAME_TOKEN), F.lit(0))
     lower = F.transform(parts, F.lower)
     return F.array_except(F.array_distinct(lower), F.array(*map(F.lit, NAME_STOPWORDS)))
 
@@ -139,8 +139,15 @@ def recency_factor(updated_at: Column, as_of: Column) -> Column:
 
 
 def semver(text: Column) -> Column:
-    """Version numbers as an array that compares in order; null if the text is no version."""
-    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)*$"), F.transform(F.split(text, r"\."), lambda x: x.cast("int")))
+    """Version numbers as an array that compares in order; null if the text is no version.
+
+    A part is (number of digits, digits) without leading zeros, so parts of any length compare as numbers.
+    """
+    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)*$"), F.transform(F.split(text, r"\."), lambda x: version_part(F.regexp_replace(x, "^0+(?=.)", ""))))
+
+
+def version_part(digits: Column) -> Column:
+    return F.struct(F.length(digits).alias("n"), digits.alias("digits"))
 
 
 def member_flags(qualname: Column) -> dict[str, Column]:

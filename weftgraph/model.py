@@ -20,8 +20,12 @@ LOCATE_FIELDS = ("name", "title", "slug", "key", "module_path", "import_name", "
 EDGE_WEIGHTS = {"SUPERSEDES": 3.0, "CONTRADICTS": 3.0, "SUPPORTED_BY": 3.0, "DERIVED_FROM": 2.0, "DEPENDS_ON": 2.0, "ABOUT": 2.0, "PRODUCED": 2.0, "DECIDED_IN": 1.5, "PRODUCED_IN": 1.5, "EVIDENCED_BY": 1.5, "LANDS_AT": 1.5}
 HOP_DECAY = 0.5
 SUPERSEDED_FACTOR = 0.3
-STOPWORDS = "the and for with this that from into are was were has have had not but all any its our their what which when how why who via per out".split()
-NAME_STOPWORDS = "get set to from of run make build create the a an and or for with new init".split()
+STOPWORDS = (
+    "the", "and", "for", "with", "this", "that", "from", "into", "are", "was", "were", "has", "have", "had", "not", "but", "all", "any",
+    "its", "our", "their", "what", "which", "when", "how", "why", "who", "via", "per", "out",
+)
+NAME_STOPWORDS = ("get", "set", "to", "from", "of", "run", "make", "build", "create", "the", "a", "an", "and", "or", "for", "with", "new", "init")
+NAME_TOKEN = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 ANCHOR_ROLES = ("program", "arc", "north-star")
 FRONT_DOOR_ROLES = ("portfolio", "program")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import id_tokens
@@ -96,6 +96,18 @@ def near_duplicates(statement: str, corpus: DataFrame, id_col: str, text_col: st
     return both.join(F.broadcast(q_norm), how="cross").select("id", score.alias("score")).where(F.col("score") >= least).select("id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(top)
 
 
+def _token_sets(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tokens): the sorted distinct tokens of texts that have any."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9_]{3,}"), F.lit(0))))
+    return texts.select(F.col(id_col).alias("id"), found.alias("tokens")).where(F.size("tokens") > 0)
+
+
+def near_duplicate_classes(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, class_id): which class of near_duplicate_pairs() each text with a token belongs to: the smallest id with the same tokens."""
+    rows = _token_sets(texts, id_col, text_col).select("id", F.sha2(F.array_join("tokens", " "), 256).alias("key"))
+    return rows.join(rows.groupBy("key").agg(F.min("id").alias("class_id")), "key").select(F.col("id").alias(id_col), "class_id")
+
+
 def near_duplicate_pairs(texts: DataFrame, id_col: str, text_col: str, least: float = 0.8) -> DataFrame:
     """(class_a, class_b, score): classes of texts with the same tokens, by their smallest id, whose cosine reaches `least`.
 
@@ -103,8 +115,7 @@ def near_duplicate_pairs(texts: DataFrame, id_col: str, text_col: str, least: fl
     than least² of its squared norm, so two texts as near as that share an indexed token.  Copies are classes of one
     representative, so a group of equal texts makes no pairs among itself.
     """
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9_]{3,}"), F.lit(0))))
-    classes = texts.select(F.col(id_col).alias("id"), found.alias("tokens")).where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    classes = _token_sets(texts, id_col, text_col).groupBy("tokens").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     total = texts.count()
     rows = classes.select("id", "copies", F.explode("tokens").alias("token"))
     df = rows.groupBy("token").agg(F.sum("copies").alias("df"))
@@ -167,16 +178,39 @@ def orphan_healed(orphans: DataFrame, proposals: DataFrame, edges: DataFrame) ->
     return judged.where("not healed").select("source_id", "relation_type", "target_id")
 
 
+#: Letters of names from rare to frequent; all others are rarer.  Only the speed depends on the order.
+RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate_-"
+
+
+def _letters(column: str) -> Column:
+    """The letters of a text as 'rank:letter:repeat', rarest first; two texts have as many in common as letters."""
+    each = F.filter(F.split(F.col(column), ""), lambda c: c != "")
+    counted = F.transform(F.array_distinct(each), lambda c: F.struct(F.lpad(F.instr(F.lit(RARE_FIRST), c).cast("string"), 2, "0").alias("rank"), c.alias("letter"), F.size(F.filter(each, lambda x: x == c)).alias("n")))
+    spread = F.flatten(F.transform(counted, lambda s: F.transform(F.sequence(F.lit(1), s["n"]), lambda k: F.concat_ws(":", s["rank"], s["letter"], k.cast("string")))))
+    return F.array_sort(spread)
+
+
 def fuzzy_suggest(wanted: DataFrame, names: DataFrame, cutoff: float = 0.6, top: int = 1) -> DataFrame:
     """(wanted, name, ratio): the best names by the matching-blocks ratio, at least the cutoff.
 
     Lossless filters before any comparison: the ratio is at most 2·min/(a+b) of the lengths, and at most
-    2·common/(a+b) of the letters in common.  Names meet by every length that the cutoff allows, which is an
-    equi-join; the exact ratio is computed on Arrow batches of what is left.
+    2·common/(a+b) of the letters in common.  Two strings of a ratio of 0.6 need not share any two letters in a row, so
+    no key of several letters would be lossless.  Names meet by every length that the cutoff allows and by one of their
+    letters: of the letters of a text, rarest first and repeats numbered, all but the ones that a partner may lack must
+    be among its first.  That is an equi-join; letters in common are counted natively, and the exact ratio is computed on
+    Arrow batches of what is left.
     """
-    w = wanted.select("wanted").distinct().withColumn("la", F.length("wanted"))
-    spans = F.sequence(F.ceil(F.col("la") * cutoff / (2 - cutoff)).cast("int"), F.floor(F.col("la") * (2 - cutoff) / cutoff).cast("int"))
-    rows = w.withColumn("lb", F.explode(spans)).join(names.select("name").distinct().withColumn("lb", F.length("name")), "lb")
+    w = wanted.select("wanted").distinct().select("wanted", F.length("wanted").alias("la"), _letters("wanted").alias("ca"))
+    n = names.select("name").distinct().select("name", F.length("name").alias("lb"), _letters("name").alias("cb"))
+    spans = F.sequence(F.ceil(F.col("la") * (cutoff / (2 - cutoff)) - 1e-9).cast("int"), F.floor(F.col("la") * ((2 - cutoff) / cutoff) + 1e-9).cast("int"))
+    # A pair shares `least` letters, so one of the first la - least + 1 of the one is among the first lb - least + 1 of the other.
+    least = F.ceil((F.col("la") + F.col("lb")) * (cutoff / 2) - 1e-9).cast("int")
+    shortest = F.ceil(F.col("lb") * (cutoff / (2 - cutoff)) - 1e-9).cast("int")
+    least_of_any = F.ceil((F.col("lb") + shortest) * (cutoff / 2) - 1e-9).cast("int")
+    first = lambda tokens, size, common: F.slice(tokens, F.lit(1), F.greatest(size - common + 1, F.lit(0)))
+    w = w.withColumn("lb", F.explode(spans)).withColumn("key", F.explode(first(F.col("ca"), F.col("la"), least)))
+    n = n.withColumn("key", F.explode(first(F.col("cb"), F.col("lb"), least_of_any)))
+    rows = w.join(n, ["lb", "key"]).where(2 * F.size(F.array_intersect("ca", "cb")) >= cutoff * (F.col("la") + F.col("lb")) - 1e-9).select("wanted", "name").distinct()
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:

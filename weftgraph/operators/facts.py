@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import semver, term_slug
+from weftgraph.functions.text import semver, term_slug, version_part
 from weftgraph.model import stable_id
 
 
@@ -16,7 +16,7 @@ def canonical(value: Column) -> Column:
 
 def rank(ordered: Column, value: Column) -> Column:
     """Comparable rank of a value of an ordered predicate: versions by their numbers, open before done."""
-    task = F.when(value == "done", F.array(F.lit(1))).when(value == "open", F.array(F.lit(0)))
+    task = F.when(value == "done", F.array(version_part(F.lit("1")))).when(value == "open", F.array(version_part(F.lit("0"))))
     return F.when(ordered == "semver", semver(value)).when(ordered == "task", task)
 
 

@@ -59,11 +59,38 @@ def touched_by_verb(verb: Column, args: dict[str, Column]) -> Column:
 def session_windows(ops: DataFrame) -> DataFrame:
     """(key, started_at, ended_at): the last registration of each key; a window ends at the next strictly later start, the last stays open.
 
-    ops: (seq, key, started_at).  The next start is found over the distinct starts, which are far fewer than the operations.
+    ops: (seq, key, started_at).  The next start is found within a slot of time, and for the last of a slot in the next
+    slot that has any: all slots together are one row for each SLOT seconds, whatever the number of sessions.
     """
     last = ops.groupBy("key").agg(F.max_by("started_at", "seq").alias("started_at"))
-    starts = last.select("started_at").distinct().withColumn("ended_at", F.lead("started_at").over(Window.orderBy("started_at")))
-    return last.join(starts, "started_at").select("key", "started_at", "ended_at")
+    starts = last.select("started_at").distinct().withColumn("slot", _slot("started_at"))
+    slots = starts.groupBy("slot").agg(F.min("started_at").alias("first"))
+    slots = slots.select("slot", F.lead("first").over(Window.orderBy("slot")).alias("later"))
+    within = starts.withColumn("next", F.lead("started_at").over(Window.partitionBy("slot").orderBy("started_at")))
+    ends = within.join(slots, "slot").select("started_at", F.coalesce("next", "later").alias("ended_at"))
+    return last.join(ends, "started_at").select("key", "started_at", "ended_at")
+
+
+SLOT = 900.0  # seconds
+
+
+def _slot(column: str, width: float = SLOT) -> Column:
+    return F.floor(F.col(column) / width)
+
+
+def last_start(times: DataFrame, starts: DataFrame, width: float = SLOT) -> DataFrame:
+    """(ts, started_at): for each time the last start that is not after it; times before all starts are left out.
+
+    An as-of join: times and starts are ordered within slots of time, and a slot begins with the last start of the
+    slots before it.  Only distinct times are ordered, so many operations at one moment are one row here.
+    """
+    rows = times.select("ts").distinct().select("ts", F.lit(None).cast("double").alias("start"))
+    rows = rows.unionAll(starts.select("started_at").distinct().select(F.col("started_at").alias("ts"), F.col("started_at").alias("start"))).withColumn("slot", _slot("ts", width))
+    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = rows.groupBy("slot").agg(F.max("start").alias("latest")).select("slot", F.max("latest").over(before).alias("carried"))
+    running = Window.partitionBy("slot").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("here", F.max("start").over(running)).where("start is null").join(slots, "slot")
+    return found.select("ts", F.coalesce("here", "carried").alias("started_at")).where("started_at is not null")
 
 
 def in_window(ops: DataFrame, start: float | None = None, end: float | None = None, exclusive_start: bool = False) -> DataFrame:
@@ -76,18 +103,14 @@ def in_window(ops: DataFrame, start: float | None = None, end: float | None = No
     return ops.where(c)
 
 
-def session_ops(ops: DataFrame, windows: DataFrame, width: float = 86_400.0) -> DataFrame:
+def session_ops(ops: DataFrame, windows: DataFrame, width: float = SLOT) -> DataFrame:
     """ops with window_key: an operation belongs to a session by its tag, or by its time within the session's window.
 
-    The range join is an equi-join on slots of time: windows do not overlap, so dealing each to the slots that it
-    covers makes about one row per window and slot.
+    A window ends at the next start, so a time lies in the windows of the last start before it: an as-of join on time,
+    then an equi-join on the start.
     """
     tagged = ops.where("session is not null").withColumn("window_key", F.col("session"))
-    last = ops.agg(F.max("ts")).first()[0] or 0.0
-    slot = F.floor(F.col("ts") / width)
-    until = F.least(F.coalesce("ended_at", F.lit(float(last))), F.lit(float(last)))
-    dealt = windows.where(F.col("started_at") <= last).withColumn("slot", F.explode(F.sequence(F.floor(F.col("started_at") / width), F.floor(until / width))))
-    hits = ops.withColumn("slot", slot).join(dealt, "slot").where((F.col("ts") >= F.col("started_at")) & (F.col("ended_at").isNull() | (F.col("ts") < F.col("ended_at"))))
+    hits = ops.join(last_start(ops, windows, width), "ts").join(windows.select("key", "started_at"), "started_at")
     by_time = hits.where(F.col("session").isNull() | (F.col("session") != F.col("key"))).withColumn("window_key", F.col("key"))
     columns = [*ops.columns, "window_key"]
     return tagged.select(*columns).unionByName(by_time.select(*columns))

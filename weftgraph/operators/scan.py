@@ -77,16 +77,6 @@ def journal_scan(journal: DataFrame) -> DataFrame:
     return journal.orderBy("seq")
 
 
-def read_journal(spark, path: str) -> DataFrame:
-    """Operations from a folder of JSON-lines segments with (segment, seq): cold segments first, the live tail last.
-
-    Segments are ordered by name; the line's place within its file is its offset, which Spark's text source keeps.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("segment"), F.monotonically_increasing_id().alias("place"))
-    op = F.from_json("value", "verb string, ts double, session string, actor string, args string")
-    return lines.where(F.trim("value") != "").select("segment", "place", op.alias("op")).select("segment", F.row_number().over(Window.partitionBy("segment").orderBy("place")).alias("line"), "op.*")
-
-
 def export_nodes(nodes: DataFrame) -> DataFrame:
     """(id, label, title) of the whole graph by the cheap title cascade."""
     long_fields = ("statement", "value", "text", "source")

@@ -88,17 +88,17 @@ def facets(scored: DataFrame, nodes: DataFrame) -> DataFrame:
     return kinds.unionAll(scored.groupBy(F.col("seed_id").alias("value")).agg(F.count("*").alias("n")).select(F.lit("seed"), "value", "n"))
 
 
-def descendants(roots: DataFrame, edges: DataFrame, relation: str, most: int = 32) -> DataFrame:
-    """(id): the roots and everything below them along one relation."""
+def descendants(roots: DataFrame, edges: DataFrame, relation: str) -> DataFrame:
+    """(id): the roots and everything below them along one relation, however deep; a round of joins for each level."""
     ensure_checkpoint_dir(roots.sparkSession)
     down = edges.where(F.col("relation_type") == relation).select("source_id", "target_id")
     known = roots.select("id").distinct().checkpoint()
-    frontier = known
-    for _ in range(most):
+    frontier, levels = known, 0
+    while not frontier.isEmpty():
         frontier = frontier.join(down, frontier["id"] == down["source_id"]).select(F.col("target_id").alias("id")).distinct().join(known, "id", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
-        known = known.unionAll(frontier)
+        known, levels = known.unionAll(frontier), levels + 1
+        if levels % 16 == 0:
+            known = known.checkpoint()  # a plan of a few unions, whatever the depth
     return known
 
 

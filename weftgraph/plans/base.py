@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from weftgraph.bind import Bound, duckdb_prefix
+from weftgraph.bind import Bound, duckdb_definitions, with_definitions
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-_PREFIX = duckdb_prefix()
+_KNOWN = duckdb_definitions()
 
 
 def query(sql: str | None = None) -> Callable:
@@ -22,8 +22,7 @@ def query(sql: str | None = None) -> Callable:
     def register(f: Callable[[Bound], DataFrame]) -> Callable[[Bound], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Bound(spark, sf_dir))
         if sql:
-            text = sql.strip()
-            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {_PREFIX}{' ' if text.upper().startswith('SELECT') else ', '}{text}"
+            ORACLE_SQL[f.__name__] = with_definitions(sql, _KNOWN)
         return f
 
     return register

@@ -141,10 +141,15 @@ def explore(g: Bound) -> DataFrame:
     return top.join(F.broadcast(rows.agg(F.count("*").alias("total"))), how="cross")
 
 
-@query(_SEEDS + ", best AS (SELECT id FROM seeds WHERE rank = 0) SELECT source_id AS id, 'out' AS direction, relation_type, target_id AS other FROM edges WHERE source_id IN (SELECT id FROM best) UNION ALL SELECT target_id, 'in', relation_type, source_id FROM edges WHERE target_id IN (SELECT id FROM best)")
+SUBJECT = "Supplier#000000007 its references"
+_SUBJECT_HITS = " + ".join(f"CAST(contains(h, '{t}') AS INT)" for t in ("supplier", "000000007", "references"))
+
+
+@query(f"best AS (SELECT id FROM (SELECT id, {_SUBJECT_HITS} AS hits FROM (SELECT id, {_HAY} AS h FROM nodes)) WHERE hits > 0 ORDER BY hits DESC, id LIMIT 1) SELECT source_id AS id, 'out' AS direction, relation_type, target_id AS other FROM edges WHERE source_id IN (SELECT id FROM best) UNION ALL SELECT target_id, 'in', relation_type, source_id FROM edges WHERE target_id IN (SELECT id FROM best)")
 def state_view(g: Bound) -> DataFrame:
     """A subject that is neither an id nor a prefix goes to its best seed, which is shown."""
-    return search.neighbours(seeds(g).where("rank = 0"), g.edges)
+    best = search.find_seeds(g.nodes, SUBJECT, 1)
+    return search.neighbours(best, g.edges)
 
 
 _LOCATED = "located AS (SELECT id, label, coalesce(nullif(trim(name),''), nullif(trim(slug),''), nullif(trim(key),''), id) AS title, path FROM nodes WHERE " + " OR ".join(f"contains(lower({f}), 'nation_1')" for f in LOCATE_FIELDS) + ")"
@@ -183,7 +188,7 @@ def list_relation(g: Bound) -> DataFrame:
     return search.list_relation(g.edges, g.nodes, "IMPORTS", 50)
 
 
-@query()
+@query("SELECT source_id, target_id, 'relation' AS mode FROM edges WHERE relation_type = 'IMPORTS'")
 def list_dispatch(g: Bound) -> DataFrame:
     """The listing chosen by its one option: here every relation of one kind."""
     mode = search.list_mode(relation="IMPORTS")
@@ -193,9 +198,9 @@ def list_dispatch(g: Bound) -> DataFrame:
 _ROOT = f"{uid(chr(39) + 'Part|' + chr(39) + '||p_partkey')}"
 
 
-@query(f"d AS (SELECT {_ROOT} AS id FROM part WHERE p_partkey % 200 = 0 UNION SELECT target_id FROM d JOIN edges ON source_id = d.id WHERE relation_type = 'CALLS') SELECT id FROM d")
+@query(f"d AS (SELECT {_ROOT} AS id FROM part WHERE p_partkey % 100 = 0 UNION SELECT target_id FROM d JOIN edges ON source_id = d.id WHERE relation_type = 'CALLS') SELECT id FROM d")
 def descendants(g: Bound) -> DataFrame:
-    roots = g.table("part").where("p_partkey % 200 = 0").select(stable_id("Part", F.col("p_partkey")).alias("id"))
+    roots = g.table("part").where("p_partkey % 100 = 0").select(stable_id("Part", F.col("p_partkey")).alias("id"))
     return traverse.descendants(roots, g.edges, "CALLS")
 
 

@@ -143,6 +143,12 @@ def near_duplicate_pairs(g: Bound) -> DataFrame:
     return audit.near_duplicate_pairs(g.table("documents"), "doc_id", "text")
 
 
+@query("""sets AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'))) AS ts FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY ts) AS class_id FROM sets WHERE len(ts) > 0""")
+def near_duplicate_classes(g: Bound) -> DataFrame:
+    return audit.near_duplicate_classes(g.table("documents"), "doc_id", "text")
+
+
 _PROSE = r"""
 texts AS (SELECT id AS source_id, statement AS text FROM nodes WHERE label = 'Decision' UNION ALL SELECT id, coalesce(description,'')||' '||text FROM nodes WHERE label = 'Note'),
 toks AS (SELECT DISTINCT source_id, unnest(list_filter(regexp_extract_all(text, '\b[0-9a-f]{8}\b'), lambda x: NOT regexp_matches(x, '^[0-9]{8}$'))) AS token FROM texts),
@@ -235,7 +241,13 @@ def fuzzy_suggest(g: Bound) -> DataFrame:
     return audit.fuzzy_suggest(audit.dangling(refs, declared).select(F.col("slug").alias("wanted")), declared.select(F.col("slug").alias("name")))
 
 
-@query()  # the checking engine counts edits in bytes, not in characters
+_LETTERS = "àâäáãçéèêëîïíôöóùûüúñßÀÁÄÇÉÈÊÍÑÓÖÜÚÔ"  # the checking engine counts edits in bytes: these become one byte each
+_ONE_BYTE = lambda c: f"translate({c}, '{_LETTERS}', '{(''.join(map(chr, range(1, 32))) + '<>[]{}')[: len(_LETTERS)]}')"
+
+
+@query(_SLUGS + f""", w AS (SELECT DISTINCT slug AS wanted FROM refs WHERE slug NOT IN (SELECT slug FROM declared)),
+near AS (SELECT wanted, slug AS name, levenshtein({_ONE_BYTE('wanted')}, {_ONE_BYTE('slug')}) AS distance FROM w, declared)
+SELECT wanted, name, distance FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY distance, name) AS place FROM near WHERE distance <= 2) WHERE place = 1""")
 def fuzzy_suggest_edits(g: Bound) -> DataFrame:
     """The native twin: nearest declared slug within two edits; lengths that differ by more than two never meet."""
     from weftgraph.operators.facts import top_rows

@@ -24,9 +24,9 @@ def load_label(g: Bound) -> DataFrame:
     return scan.load_label(g.nodes, "CodeModule", 100).select("id", "label", "name")
 
 
-@query("SELECT id, slug, note_type FROM nodes WHERE label = 'Note' AND note_type = 'fr' AND path = 'src1' ORDER BY id LIMIT 20 OFFSET 2")
+@query("SELECT id, slug, note_type FROM nodes WHERE label = 'Note' AND note_type = 'en' AND path = 'src7' ORDER BY id LIMIT 20 OFFSET 2")
 def load_label_where(g: Bound) -> DataFrame:
-    return scan.load_label_where(g.nodes, "Note", ["note_type=fr", "path = src1"], 20, 2).select("id", "slug", "note_type")
+    return scan.load_label_where(g.nodes, "Note", ["note_type=en", "path = src7"], 20, 2).select("id", "slug", "note_type")
 
 
 @query("SELECT id, name FROM nodes WHERE label = 'CodeSymbol' AND cell_key = '3' AND symbol_kind = 'function'")

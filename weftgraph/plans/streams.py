@@ -15,13 +15,13 @@ from weftgraph.streaming import log, runs
 
 
 class Streamed(Bound):
-    """The graph with tables that are read as streams; nothing of it is kept."""
+    """The graph with tables that are read as streams."""
 
     def table(self, name: str) -> DataFrame:
         schema = super().table(name).schema  # a pattern, as the stream's source takes a plain path for a folder
         return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
 
-    def _kept(self, name: str) -> DataFrame:
+    def part(self, name: str) -> DataFrame:
         return self._sql(name)
 
 

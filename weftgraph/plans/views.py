@@ -111,7 +111,7 @@ def lens_shelf(g: Bound) -> DataFrame:
     return lens.shelf(lens_ops(g))
 
 
-@query("SELECT seq, CASE WHEN seq % 4 = 0 THEN 'selection 0: unknown verb' ELSE '' END AS errors FROM journal WHERE verb = 'assert'")
+@query("SELECT seq, CASE WHEN seq % 4 = 0 THEN 'spec.selection[0].verb: unknown value' ELSE '' END AS errors FROM journal WHERE verb = 'assert'")
 def lens_validate(g: Bound) -> DataFrame:
     check = F.udf(lambda s: "; ".join(lens.errors_of(lens.read_spec(s))), "string", useArrow=True)
     return lens_ops(g).select("seq", check("spec").alias("errors"))

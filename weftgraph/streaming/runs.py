@@ -7,15 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.components import ensure_checkpoint_dir
+from weftgraph.sources.store import shared_folder
 
 
 def place(df: DataFrame) -> str:
     """A new folder in the cluster's shared checkpoint folder."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{root}/streams/{uuid.uuid4()}"
+    return f"{shared_folder(df.sparkSession)}/streams/{uuid.uuid4()}"
 
 
 def settle(stream: DataFrame, mode: str, folder: str) -> DataFrame:
