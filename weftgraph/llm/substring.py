@@ -1,13 +1,14 @@
 """Repeated passages: windows of 13 words as edges of a De Bruijn graph, compacted to long repeated spans.
 
-1. Every text's windows become edges with a 64-bit key; a second hash deals them to buckets, so two edges meet as
-   equal only if both hashes agree.  Within a chunk of texts an edge is kept once, with its smallest document; the
-   chunk's other documents that hold it are settled on the spot.  So an edge that a third of all texts hold leaves
-   each chunk once, and no bucket grows with the edge's frequency.
+1. Every text's windows become edges with a 56-bit key; a second hash deals them to buckets.  Within a chunk of texts
+   an edge is kept once, with its smallest document; the chunk's other documents that hold it are settled on the spot.
+   So an edge that a third of all texts hold leaves each chunk once, and no bucket grows with the edge's frequency.
 2. Edges travel packed, one row per chunk and bucket.  Each bucket finds, for every document, its edges that also
-   start in a smaller document: the repeated part of the graph.  They go back packed, by buckets of documents.
-3. Each document joins its repeated edges and walks its own path: neighbouring repeated edges overlap in 12 words, so
-   they are one nonbranching path and compact to one span of words, in the document's own coordinates.
+   start in a smaller document, and the smallest such document, the edge's source: the repeated part of the graph.
+3. A document joins its repeated edges.  Neighbouring ones overlap in 12 words, and as long as they have one source they
+   are a nonbranching path: it compacts to one span of words in the document's own coordinates.
+4. Each span joins its source document, in which its words must stand: as a whole, or window by window where the path
+   in the source is another one.  Keys only propose; what is removed has been found word for word in the source.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftgraph.llm.arrow import map_columns, picked
 
 WINDOW = 13
+KEY_BYTES = 7
 CHUNK_CHARS = 6_000_000  # of text hashed at once in a task; a longer text is a chunk of its own
+BUCKET_CHARS = 12_000_000  # of text whose edges meet in one task, about two million of them
 _SEEDS = np.random.default_rng(13).integers(0, 2**63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -40,7 +44,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def edge_keys(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every window of word hashes."""
+    """Two independent hashes of every window of word hashes: a key of KEY_BYTES and 64 bits."""
     n = len(words) - width + 1
     keys = []
     for seeds in _SEEDS:
@@ -48,7 +52,7 @@ def edge_keys(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         for i in range(width if n > 0 else 0):
             total += _mixed(words[i : i + n] + seeds[i]) * seeds[i + width]
         keys.append(_mixed(total))
-    return keys[0], keys[1]
+    return keys[0] & np.uint64((1 << 8 * KEY_BYTES) - 1), keys[1]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -88,14 +92,17 @@ def _packed(bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, ids: np.ndarra
         names = np.repeat(ids[own[heads]], pieces)
         least = int(names.min())
         above = names - least
-        yield int(bucket[a]), least, above.astype(np.uint32 if above.max() < 2**32 else np.int64).tobytes(), counts.tobytes(), key[a:b].tobytes()
+        raw = np.ascontiguousarray(key[a:b]).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+        yield int(bucket[a]), least, above.astype(np.uint32 if above.max() < 2**32 else np.int64).tobytes(), counts.tobytes(), raw.tobytes()
 
 
 def _unpacked(least: int, ids: bytes, counts: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(id, key) of every edge in a packed row."""
     n = np.frombuffer(counts, np.uint8)
     above = np.frombuffer(ids, np.uint32 if len(ids) == 4 * len(n) else np.int64)
-    return np.repeat(above.astype(np.int64) + least, n), np.frombuffer(keys, np.uint64)
+    key = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
+    key[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+    return np.repeat(above.astype(np.int64) + least, n), key.view(np.uint64).ravel()
 
 
 def _chunks(texts: list):
@@ -110,15 +117,17 @@ def _chunks(texts: list):
 
 
 def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(id, keys binary): packed keys of each document's windows that also start in a document with a smaller id."""
+    """(id, keys binary, sources binary): of each document's windows that also start in a document with a smaller id, and the smallest such id."""
     spark = docs.sparkSession
-    n_buckets = min(30_000, 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    chars = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
+    n_buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // BUCKET_CHARS)
+    kind = np.uint16 if n_buckets <= 1 << 16 else np.uint32
 
     def chunk(ids, texts):
         own, key, second, doc = _edges(ids, texts, width)
         if not len(key):
             return
-        bucket = (second % np.uint64(n_buckets)).astype(np.uint16)
+        bucket = (second % np.uint64(n_buckets)).astype(kind)
         del second
         order = np.argsort(key, kind="stable")
         key, bucket, doc = key[order], bucket[order], doc[order]
@@ -150,47 +159,140 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             done_of.append(np.full(len(key), done))
         doc, key, done = np.concatenate(docs_of), np.concatenate(keys_of), np.concatenate(done_of)
         open_key, open_doc = key[~done], doc[~done]
-        order = np.argsort(open_key)
+        order = np.lexsort((open_doc, open_key))
         open_key, open_doc = open_key[order], open_doc[order]
-        new = np.r_[True, open_key[1:] != open_key[:-1]] if len(open_key) else np.empty(0, bool)
-        cuts = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(open_doc, cuts), np.diff(np.r_[cuts, len(open_key)])) if len(cuts) else open_doc
-        late = open_doc > least
-        doc, key = np.r_[open_doc[late], doc[done]], np.r_[open_key[late], key[done]]
+        cuts = np.flatnonzero(np.r_[True, open_key[1:] != open_key[:-1]]) if len(open_key) else np.empty(0, np.int64)
+        heads, first = open_key[cuts], open_doc[cuts]
+        source = np.repeat(first, np.diff(np.r_[cuts, len(open_key)]))
+        late = open_doc > source
+        # An edge that was settled in its chunk left that chunk with its smallest document, so it is among the heads.
+        doc, key, source = np.r_[open_doc[late], doc[done]], np.r_[open_key[late], key[done]], np.r_[source[late], first[np.searchsorted(heads, key[done])]]
         # Back to the documents, packed again: one row for each bucket of documents.
         names, index = np.unique(doc, return_inverse=True)
-        back = np.argsort(index, kind="stable")
-        dest = (_mixed(names.view(np.uint64)) % np.uint64(n_buckets)).astype(np.uint16)
-        rows = list(_packed(dest[index[back]], index[back], key[back], names))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["dest", "least", "ids", "counts", "keys"])
+        dest = (_mixed(names.view(np.uint64)) % np.uint64(n_buckets)).astype(kind)[index]
+        order = np.lexsort((index, dest))  # the order in which _packed() writes
+        rows = []
+        at = 0
+        for row in _packed(dest[order], index[order], key[order], names):
+            n = len(row[4]) // KEY_BYTES
+            rows.append((*row, *_offsets(source[order[at : at + n]])))
+            at += n
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], ["dest", "least", "ids", "counts", "keys", "lowest", "sources"])
 
     def gather(table: pa.Table) -> pa.Table:
-        """All keys of each document of one bucket."""
-        pairs = [_unpacked(*row) for row in zip(*(table.column(c).to_pylist() for c in ("least", "ids", "counts", "keys")), strict=True)]
+        """All keys of each document of one bucket, with their sources."""
+        columns = [table.column(c).to_pylist() for c in ("least", "ids", "counts", "keys")]
+        pairs = [_unpacked(*row) for row in zip(*columns, strict=True)]
         doc, key = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+        raw = zip(table.column("lowest").to_pylist(), table.column("sources").to_pylist(), pairs, strict=True)
+        source = np.concatenate([lowest + np.frombuffer(x, np.uint32 if len(x) == 4 * len(p[1]) else np.int64).astype(np.int64) for lowest, x, p in raw])
         order = np.argsort(doc, kind="stable")
-        doc, key = doc[order], key[order]
+        doc, key, source = doc[order], key[order], source[order]
         cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        return pa.table({id_col: pa.array(doc[cuts], pa.int64()), "keys": pa.array([key[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(doc)], strict=True)], pa.binary())})
+        parts = list(zip(cuts, np.r_[cuts[1:], len(doc)], strict=True))
+        return pa.table({"to": pa.array(doc[cuts], pa.int64()), "keys": pa.array([key[a:b].tobytes() for a, b in parts], pa.binary()), "sources": pa.array([source[a:b].tobytes() for a, b in parts], pa.binary())})
 
-    met = packed.groupBy("bucket").applyInArrow(meet, "dest int, least long, ids binary, counts binary, keys binary")
-    return met.groupBy("dest").applyInArrow(gather, f"`{id_col}` long, keys binary")
+    met = packed.groupBy("bucket").applyInArrow(meet, "dest int, least long, ids binary, counts binary, keys binary, lowest long, sources binary")
+    return met.groupBy("dest").applyInArrow(gather, "to long, keys binary, sources binary")
 
 
-def spans_of(words: list[bytes], keys: bytes, width: int = WINDOW) -> list[tuple[int, int]]:
-    """The disjoint word ranges that the repeated edges of one document compact to."""
+def _offsets(values: np.ndarray) -> tuple[int, bytes]:
+    """The least of some ids and how far the others are above it, in four bytes if they fit."""
+    least = int(values.min())
+    above = values - least
+    return least, above.astype(np.uint32 if above.max() < 2**32 else np.int64).tobytes()
+
+
+def spans_of(words: list[bytes], keys: bytes, sources: bytes, width: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(from, to, source): the word ranges that the repeated edges of one document compact to: runs of neighbours with one source."""
     hashes = _WordHashes()
-    key, _ = edge_keys(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), width)
-    at = np.flatnonzero(np.isin(key, np.frombuffer(keys, np.uint64)))
+    own, _ = edge_keys(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), width)
+    key, source = np.frombuffer(keys, np.uint64), np.frombuffer(sources, np.int64)
+    if not len(own) or not len(key):
+        return []
+    order = np.argsort(key, kind="stable")
+    key, source = key[order], source[order]
+    near = np.minimum(np.searchsorted(key, own), len(key) - 1)
+    at = np.flatnonzero(key[near] == own)
     if not len(at):
         return []
-    breaks = np.flatnonzero(np.diff(at) > width)
-    return list(zip(at[np.r_[0, breaks + 1]].tolist(), (at[np.r_[breaks, len(at) - 1]] + width).tolist(), strict=True))
+    source = source[near[at]]
+    breaks = np.flatnonzero((np.diff(at) > 1) | (np.diff(source) != 0))
+    begin, end = np.r_[0, breaks + 1], np.r_[breaks, len(at) - 1]
+    return list(zip(at[begin].tolist(), (at[end] + width).tolist(), source[begin].tolist(), strict=True))
+
+
+def found_in(span: list[bytes], source: bytes, width: int) -> list[tuple[int, int]]:
+    """The ranges of a span's words whose windows stand in a source (its words with a space before, between and behind)."""
+    if b" " + b" ".join(span) + b" " in source:
+        return [(0, len(span))]
+    return [(i, i + width) for i in range(len(span) - width + 1) if b" " + b" ".join(span[i : i + width]) + b" " in source]
+
+
+def _text_hash(text: str | None) -> int:
+    """Tells rows that share an id apart."""
+    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "replace")) - (1 << 63)
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    """(id, spans array<struct<h, from, to>>): the verified word ranges of documents that have any; h is _text_hash() of the row."""
+    texts = picked(docs, id_col, text_col).where(F.col(f"`{id_col}`").isNotNull())
+    edges = repeated_edges(docs, id_col, text_col, width)
+
+    def compact():
+        def work(ids, own, keys, sources):
+            rows = []
+            for i, text, k, s in zip(ids, own, keys, sources, strict=True):
+                words = words_of(text)
+                rows += [(source, i, _text_hash(text), a, b" ".join(words[a:b])) for a, b, source in spans_of(words, k, s, width)]
+            return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5
+
+        return work
+
+    def verify():
+        def work(owners, hashes, begins, spans, sources):
+            rows = []
+            for i, h, begin, span, text in zip(owners, hashes, begins, spans, sources, strict=True):
+                source = b" " + b" ".join(words_of(text)) + b" "
+                rows += [(i, h, begin + a, begin + b) for a, b in found_in(span.split(b" "), source, width)]
+            return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4
+
+        return work
+
+    # Texts are never broadcast.  A source that very many spans have is no hot group in memory: the merge join streams the spans.
+    join = edges["to"] == texts[f"`{id_col}`"]
+    paths = map_columns(edges.hint("shuffle_hash").join(texts, join).select(F.col("to"), F.col(f"`{text_col}`"), "keys", "sources"), "source long, owner long, h long, begin int, span binary", compact)
+    asked = paths.hint("merge").join(texts, paths["source"] == texts[f"`{id_col}`"]).select("owner", "h", "begin", "span", F.col(f"`{text_col}`"))
+    verified = map_columns(asked, "owner long, h long, `from` int, `to` int", verify)
+    return verified.groupBy("owner").agg(F.collect_list(F.struct("h", "from", "to")).alias("spans"))
 
 
-def _with_edges(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    found = repeated_edges(docs, id_col, text_col, width)
-    return picked(docs, id_col, text_col).join(found.hint("shuffle_hash"), id_col, "left")
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, text, spans): every row of docs; spans are null where nothing is repeated.
+
+    Rows without an id take no part.  The others are read in the same way at every join, so that Spark deals the texts
+    once and uses that exchange three times.
+    """
+    rows = picked(docs, id_col, text_col)
+    found = repeated_spans(docs, id_col, text_col, width)
+    named = rows.where(F.col(f"`{id_col}`").isNotNull())
+    joined = named.join(found.hint("shuffle_hash"), named[f"`{id_col}`"] == found["owner"], "left").drop("owner")
+    apart = rows.where(F.col(f"`{id_col}`").isNull()).withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
+    return joined.unionByName(apart)
+
+
+def _merged(text: str | None, spans: list | None) -> list[tuple[int, int]]:
+    """The union of a row's own spans."""
+    out: list[tuple[int, int]] = []
+    if spans:
+        h = _text_hash(text)
+        for a, b in sorted((s["from"], s["to"]) for s in spans if s["h"] == h):
+            if out and a <= out[-1][1]:
+                out[-1] = out[-1][0], max(out[-1][1], b)
+            else:
+                out.append((a, b))
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
@@ -203,11 +305,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
 
     def start():
-        def work(ids, texts, keys):
+        def work(ids, texts, each):
             n, kept, spans = [], [], []
-            for text, k in zip(texts, keys, strict=True):
-                words = words_of(text)
-                found = spans_of(words, k, width) if k else []
+            for text, s in zip(texts, each, strict=True):
+                words, found = words_of(text), _merged(text, s)
                 n.append(len(words))
                 spans.append([{"from": a, "to": b} for a, b in found])
                 kept.append([w.decode() for w in _outside(words, found)])
@@ -216,7 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_columns(_with_edges(docs, id_col, text_col, width), f"`{id_col}` {kind}, n_words long, kept array<string>, spans array<struct<from:int,to:int>>", start)
+    return map_columns(_with_spans(docs, id_col, text_col, width), f"`{id_col}` {kind}, n_words long, kept array<string>, spans array<struct<from:int,to:int>>", start)
 
 
 def _outside(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
@@ -231,11 +332,11 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_words, n_removed, kept_sha256): remove_repeats() without shipping the words back to Spark."""
 
     def start():
-        def work(ids, texts, keys):
+        def work(ids, texts, each):
             n, removed, digests = [], [], []
-            for text, k in zip(texts, keys, strict=True):
+            for text, s in zip(texts, each, strict=True):
                 words = words_of(text)
-                kept = _outside(words, spans_of(words, k, width)) if k else words
+                kept = _outside(words, _merged(text, s)) if s else words
                 n.append(len(words))
                 removed.append(len(words) - len(kept))
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -244,4 +345,4 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_columns(_with_edges(docs, id_col, text_col, width), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string", start)
+    return map_columns(_with_spans(docs, id_col, text_col, width), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string", start)
