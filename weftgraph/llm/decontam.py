@@ -82,16 +82,16 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(len(raw[: at[a][0]].decode()), len(raw[: at[b - 1][1]].decode())) for a, b in ranges]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple]]:
-    """The items in blocks of bounded size.  Only test items reach the driver, never documents."""
-    blocks, room = [[]], BLOCK_CHARS
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
+    """(broadcast, last) of the items in blocks of bounded size, one block on the driver at a time; never documents."""
+    context, block, room = benchmark.sparkSession.sparkContext, [], BLOCK_CHARS
     for item, text in benchmark.select(F.col(f"`{item_col}`"), F.col(f"`{text_col}`")).where(F.col(f"`{text_col}`").isNotNull()).toLocalIterator():
-        if len(text) > room and blocks[-1]:
-            blocks.append([])
-            room = BLOCK_CHARS
-        blocks[-1].append((item, text))
+        if len(text) > room and block:
+            yield context.broadcast(block), False
+            block, room = [], BLOCK_CHARS
+        block.append((item, text))
         room -= len(text)
-    return blocks
+    yield context.broadcast(block), True
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -100,13 +100,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     items are sorted as strings; char_spans are places in the original text.  Null texts have no words; items with
     null or wordless text have no window; a null item id counts as an item of name 'null'; repeated rows stay.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = _blocks(benchmark, item_col, item_text_col)
-
-    def scanner(block: list[tuple], last: bool):
-        shared = spark.sparkContext.broadcast(block)
 
+    def scanner(shared, last: bool):
         def start():
             windows = Windows(shared.value)
 
@@ -130,9 +126,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
         return start
 
     found, spans = picked(docs, id_col, text_col), "array<struct<from:int,to:int>>"
-    for block in blocks[:-1]:
-        found = map_columns(found, f"`{id_col}` {kind}, `{text_col}` string, ranges {spans}, items array<string>", scanner(block, last=False))
-    return map_columns(found, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, char_spans {spans}", scanner(blocks[-1], last=True))
+    shapes = {False: f"`{text_col}` string, ranges {spans}, items array<string>", True: f"n_words long, n_hit long, items array<string>, char_spans {spans}"}
+    for shared, last in _blocks(benchmark, item_col, item_text_col):
+        found = map_columns(found, f"`{id_col}` {kind}, {shapes[last]}", scanner(shared, last))
+    return found
 
 
 def _structs(ranges: list[tuple[int, int]]) -> list[dict]:
@@ -146,14 +143,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a window of a test item; all columns stay and the text is scanned once, in place."""
-    spark, out = docs.sparkSession, docs.schema
-    blocks = _blocks(benchmark, "item_id", "text")
-    at = docs.columns.index(text_col)
+    """docs without the rows that hold a window of a test item; all columns stay and the text is scanned once, in place.
 
-    def keeper(block: list[tuple]):
-        shared = spark.sparkContext.broadcast(block)
+    Null and wordless texts stay, as rows with a null id do; equal texts stay or go together; without items all stay.
+    """
+    out, at = docs.schema, docs.columns.index(text_col)
 
+    def keeper(shared):
         def run(batches):
             windows = Windows(shared.value)
             for batch in (part for whole in batches for part in slices(whole, 3_000_000)):
@@ -161,6 +157,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         return run
 
-    for block in blocks:
-        docs = docs.mapInArrow(keeper(block), out)
+    for shared, _ in _blocks(benchmark, "item_id", "text"):
+        docs = docs.mapInArrow(keeper(shared), out)
     return docs
