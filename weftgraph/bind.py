@@ -75,6 +75,7 @@ def definitions(engine: str, prefix: str = "") -> dict[str, str]:
                 f"SELECT {uid(chr(39) + 'Check|' + chr(39) + '||l_orderkey||' + chr(39) + '|' + chr(39) + '||l_linenumber')}, 'CHECKS', {order_id('l_orderkey')} FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM {t['lineitem']}) c",
                 f"SELECT {order_id('l_orderkey')}, 'REFERENCES', {supplier_id('l_suppkey')} FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM {t['lineitem']} WHERE l_quantity > 45) r",
                 f"SELECT {supplier_id('s_suppkey')}, 'REFERENCES', {nation_id('s_nationkey')} FROM {t['supplier']}",
+                f"SELECT {nation_id('n_nationkey')}, 'SHAPES', {nation_id('(n_nationkey - 4)')} FROM {t['nation']} WHERE n_nationkey >= 4",
                 f"SELECT {part_id('a')}, 'CALLS', {part_id('b')} FROM calls_parts",
                 f"SELECT DISTINCT {uid(chr(39) + 'Module|' + chr(39) + '||pa.p_brand||' + chr(39) + '/' + chr(39) + '||pa.p_type')}, 'IMPORTS', {uid(chr(39) + 'Module|' + chr(39) + '||pb.p_brand||' + chr(39) + '/' + chr(39) + '||pb.p_type')} FROM calls_parts JOIN {t['part']} pa ON a = pa.p_partkey JOIN {t['part']} pb ON b = pb.p_partkey WHERE pa.p_brand <> pb.p_brand OR pa.p_type <> pb.p_type",
                 *(f"SELECT {supplier_id('l_suppkey')}, '{relation}', {part_id('l_partkey')} FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {t['lineitem']} WHERE l_linenumber = {line}) d" for line, relation in ((1, "DOCUMENTS"), (2, "TESTS"))),

@@ -58,10 +58,15 @@ def dod_drift(buckets: DataFrame, dod: DataFrame) -> DataFrame:
     return buckets.where("bucket = 'done'").join(dod.where("open > 0"), "item_id").select("item_id", "open", "total")
 
 
+def filed_under(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(item_id, anchor_id): the smallest anchor that anything is PART_OF, work item or not; enough where items are joined to it."""
+    filed = edges.where("relation_type = 'PART_OF'").select(F.col("source_id").alias("item_id"), F.col("target_id").alias("anchor_id")).join(anchors, "anchor_id", "left_semi")
+    return filed.groupBy("item_id").agg(F.min("anchor_id").alias("anchor_id"))
+
+
 def program_of(buckets: DataFrame, edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """(item_id, anchor_id): the item's anchor by PART_OF, the smallest if it has several."""
-    filed = edges.where("relation_type = 'PART_OF'").select(F.col("source_id").alias("item_id"), F.col("target_id").alias("anchor_id")).join(anchors, "anchor_id", "left_semi")
-    return filed.join(buckets.select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(F.min("anchor_id").alias("anchor_id"))
+    return filed_under(edges, anchors).join(buckets.select("item_id"), "item_id", "left_semi")
 
 
 def counts(buckets: DataFrame, filed: DataFrame) -> DataFrame:

@@ -33,10 +33,22 @@ def k_hop(seeds: DataFrame, edges: DataFrame, hops: int, relations: list[str] |
     return known
 
 
+def reach(seeds: DataFrame, edges: DataFrame, hops: int, relations: list[str] | None = None) -> DataFrame:
+    """(id, hop): nodes within some hops of any seed and the fewest hops to them.  One frontier for all seeds."""
+    ensure_checkpoint_dir(seeds.sparkSession)
+    both = undirected(edges, relations).select("a", "b")
+    known = seeds.select("id", F.lit(0).alias("hop")).distinct()
+    frontier = known
+    for h in range(1, hops + 1):
+        near = frontier.select(F.col("id").alias("a")).join(both, "a").select(F.col("b").alias("id")).distinct()
+        frontier = near.join(known.select("id"), "id", "left_anti").select("id", F.lit(h).alias("hop")).checkpoint()
+        known = known.unionAll(frontier)
+    return known
+
+
 def subgraph_members(seeds: DataFrame, edges: DataFrame, hops: int, relations: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """(id, expanded): the seeds and what they reach; a cap limits expanded nodes only, nearer ones first, then by id."""
-    ball = k_hop(seeds.select("id").distinct().select("id"), edges, hops, relations).groupBy("id").agg(F.min("hop").alias("hop"))
-    rows = ball.select("id", (F.col("hop") > 0).alias("expanded"), "hop")
+    rows = reach(seeds, edges, hops, relations).select("id", (F.col("hop") > 0).alias("expanded"), "hop")
     if cap is None:
         return rows.select("id", "expanded")
     allowed = rows.where("expanded").orderBy("hop", "id").limit(cap).select("id", "expanded")

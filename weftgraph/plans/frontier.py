@@ -68,8 +68,7 @@ def program_of(g: Bound) -> DataFrame:
 
 @query(_FILED + " SELECT bucket, count(*) AS n, count(*) FILTER (WHERE bucket <> 'done' AND anchor_id IS NULL) AS unfiled FROM ready LEFT JOIN filed USING (item_id) GROUP BY bucket")
 def readiness_counts(g: Bound) -> DataFrame:
-    b = buckets(g)
-    return frontier.counts(b, frontier.program_of(b, g.edges, anchors(g)))
+    return frontier.counts(buckets(g), frontier.filed_under(g.edges, anchors(g)))
 
 
 @query("SELECT item_id, bucket, last_touch FROM ready LEFT JOIN touched ON subject_id = item_id WHERE bucket = 'ready' ORDER BY last_touch DESC NULLS LAST, item_id LIMIT 15")
@@ -81,9 +80,8 @@ def readiness_page(g: Bound) -> DataFrame:
  FROM ready LEFT JOIN filed USING (item_id) LEFT JOIN touched ON subject_id = item_id WHERE bucket = 'ready')
 SELECT program, rank, item_id, item_id IN (SELECT subject_id FROM active WHERE predicate = 'priority' AND value = 'awaiting-user') AS awaiting FROM r WHERE rank <= 5""")
 def frontier_by_program(g: Bound) -> DataFrame:
-    b = buckets(g)
     awaiting = active(g).where("predicate = 'priority' and value = 'awaiting-user'").select("subject_id")
-    return frontier.frontier_by_program(b, frontier.program_of(b, g.edges, anchors(g)), facts.last_touch(g.claims), awaiting)
+    return frontier.frontier_by_program(buckets(g), frontier.filed_under(g.edges, anchors(g)), facts.last_touch(g.claims), awaiting)
 
 
 @query("""shown AS (SELECT item_id, bucket FROM ready WHERE bucket <> 'done'), ge AS (SELECT * FROM gates WHERE item_id IN (SELECT item_id FROM shown))
