@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.arrow import map_columns, picked, use_checkpoints
@@ -152,7 +152,7 @@ def _joined(rows: DataFrame, params: DataFrame, small: bool) -> DataFrame:
 
 def _starts(rows: DataFrame) -> DataFrame:
     """(key, start, means, inverse): first centres and variances of each key, by moments (0) and by quartiles (1)."""
-    found = rows.groupBy("key").agg(*(x for f in FEATURES for x in (F.avg(f).alias(f"a{f}"), F.var_pop(f).alias(f"v{f}"), F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q{f}"))))
+    found = rows.groupBy("key").agg(*(x for f in FEATURES for x in (F.avg(f).alias(f"a{f}"), F.var_pop(f).alias(f"v{f}"), F.percentile_approx(f, [0.25, 0.5, 0.75], 200).alias(f"q{f}"))))
     kinds = []
     for start in (0, 1):
         centre = [F.col(f"a{f}") if start == 0 else F.col(f"q{f}")[1] for f in FEATURES]
@@ -202,6 +202,14 @@ def _leaning(params: DataFrame, levels: int) -> DataFrame:
     return done.select(F.from_json("name", params.schema["key"].dataType).alias("key"), *_MEANS, *_INVERSE).checkpoint()
 
 
+def _limit(judged: DataFrame) -> DataFrame:
+    """(limit): FACTOR times the median distance, to a thousandth.  Distances are counted by logarithmic bins, which are some ten thousand at most."""
+    fine = judged.groupBy(F.floor(F.log1p(F.col("distance") * 50.0) * 1000.0).alias("bin")).agg(F.count("*").alias("n"))
+    so_far = fine.select("bin", F.sum("n").over(Window.orderBy("bin")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    middle = so_far.where(2 * F.col("upto") >= F.col("total")).agg(F.min("bin").alias("bin"))
+    return middle.select((FACTOR * F.expm1((F.col("bin") + 0.5) / 1000.0) / 50.0).alias("limit"))
+
+
 def robust_outliers(passing: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """passing (with x0..x4) plus distance (squared, by the estimate of its group) and outlier."""
     rows = _with_keys(passing, groups).select("key", *FEATURES)
@@ -213,8 +221,7 @@ def robust_outliers(passing: DataFrame, groups: tuple[str, ...] = ("lang", "sour
     best = params.groupBy("key").agg(F.min_by(F.struct(*fields), F.struct("det", "start")).alias("b")).select("key", "b.*")
     final = _leaning(best, len(groups) + 1)
     judged = _joined(_with_keys(passing, groups, len(groups)), final, small).withColumn("distance", _distance()).select(*passing.columns, "distance").checkpoint()
-    limit = judged.agg((FACTOR * F.percentile_approx("distance", 0.5, 10_000)).alias("limit"))  # one row
-    return judged.join(F.broadcast(limit), how="cross").select(*passing.columns, "distance", (F.col("distance") > F.col("limit")).alias("outlier"))
+    return judged.join(F.broadcast(_limit(judged)), how="cross").select(*passing.columns, "distance", (F.col("distance") > F.col("limit")).alias("outlier"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
