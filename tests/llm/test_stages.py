@@ -184,3 +184,22 @@ def test_pipeline_of_nulls_and_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     out = corpus_pipeline.run(spark, f"{tmp_path}/some")
     assert out.columns == ["doc_id", "ids", "decoded"] and 0 < out.count() < docs.count() and out.where("doc_id is null").count() == 0
+
+
+def test_simhash_of_null_and_repeated_ids_and_long_texts(spark):
+    from weftgraph.llm import simhash
+
+    long = " ".join(f"w{i}" for i in range(150_000))
+    df = rows(spark, [(None, "only one here"), (7, "same words in both rows"), (7, "same words in both rows"), (7, "other words in this row"), (9, "same words in both rows"), (None, "same words in both rows"), (1, long), (2, long), (5, None), (4, "")])
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.fingerprint) for r in simhash.near_duplicates(df).collect())
+    assert [(i, c) for i, c, _ in got] == [(0, 0), (0, 7), (1, 1), (2, 1), (4, 4), (5, 4), (7, 7), (7, 7), (7, 7), (9, 7)]
+    assert {f for i, _, f in got if i in (4, 5)} == {"0" * 16}
+
+
+def test_lengths_beyond_32_bits(spark):
+    from weftgraph.llm import lengths
+
+    values = [0, 1, 2**33, 2**33, 2**40 + 5]
+    got = {r.n_tokens: r for r in lengths.context_limits(lengths.histogram(spark.createDataFrame([(v,) for v in values], "n_tokens long"))).collect()}
+    for limit, r in got.items():
+        assert r.truncated_total == sum(min(v, limit) for v in values) and r.total_tokens == sum(values) and r.docs_longer == sum(v > limit for v in values)
