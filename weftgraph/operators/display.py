@@ -52,7 +52,8 @@ def rule_errors(template: str) -> str | None:
 def latest_rules(ops: DataFrame) -> DataFrame:
     """(label, template): the last rule of each label among those that parse; ops (seq, label, template).  Null templates never land."""
     good = F.udf(lambda t: rule_errors(t) is None, "boolean", useArrow=True)
-    return ops.where(good("template")).groupBy("label").agg(F.max_by("template", "seq").alias("template"))
+    parsed = ops.select("template").distinct().where(good("template"))  # each template is parsed once, however often it is written
+    return ops.join(parsed, "template", "left_semi").groupBy("label").agg(F.max_by("template", "seq").alias("template"))
 
 
 def annotate(nodes: DataFrame, edges: DataFrame, rules: dict[str, str]) -> DataFrame:
