@@ -121,7 +121,8 @@ def test_decoding_is_the_nearest_codeword(model):
         assert model.languages[int(np.argmin(each))] == name and abs(loss - best) < 1e-6 and abs(score - (second - best) / second) < 1e-5
 
 
-def test_language_training_learns_every_label_and_ignores_order(spark):
+def test_language_training_learns_every_label_and_ignores_order(spark, monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 2)
     data = [(i if i % 11 else None, f"{'xyzw'[i % 2]}a{i % 70} word{i % 70} " * 5, f"l{i % 70}", "s") for i in range(1400)]
     df = spark.createDataFrame(data + data[:50], "doc_id long, text string, lang string, source string")
     a, b = langid.train(df), langid.train(df.repartition(3, "text"))
