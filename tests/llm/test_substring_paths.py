@@ -63,4 +63,4 @@ def test_packed_rows_come_back():
     assert sorted(back) == sorted(zip(bucket.tolist(), ids[doc].tolist(), key.tolist(), strict=True))
     for values in (np.array([7, 7, 9]), np.array([-5, 2**60])):
         least, raw = substring._offsets(values)
-        assert (least + np.frombuffer(raw, np.uint32 if len(raw) == 4 * len(values) else np.int64).astype(np.int64)).tolist() == values.tolist()
+        assert (least + substring._wide(raw, len(values))).tolist() == values.tolist()

@@ -76,7 +76,7 @@ def _edges(ids: list, texts: list, width: int):
 
 
 def _packed(bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, ids: np.ndarray):
-    """(bucket, least id, ids above it, counts, keys) as one row per bucket, keys by document; a count is a byte, so long runs take several."""
+    """(bucket, least id, steps to the next id, counts, keys) as one row per bucket, keys by document, documents by id; a count is a byte, so long runs take several."""
     if not len(bucket):
         return
     order = np.argsort(bucket, kind="stable")
@@ -90,19 +90,32 @@ def _packed(bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, ids: np.ndarra
         counts = np.full(pieces.sum(), 255, np.uint8)
         counts[np.cumsum(pieces) - 1] = runs - (pieces - 1) * 255
         names = np.repeat(ids[own[heads]], pieces)
-        least = int(names.min())
-        above = names - least
-        raw = np.ascontiguousarray(key[a:b]).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-        yield int(bucket[a]), least, above.astype(np.uint32 if above.max() < 2**32 else np.int64).tobytes(), counts.tobytes(), raw.tobytes()
+        yield int(bucket[a]), int(names[0]), _narrow(np.diff(names, prepend=names[:1])), counts.tobytes(), _short(key[a:b])
 
 
 def _unpacked(least: int, ids: bytes, counts: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(id, key) of every edge in a packed row."""
     n = np.frombuffer(counts, np.uint8)
-    above = np.frombuffer(ids, np.uint32 if len(ids) == 4 * len(n) else np.int64)
-    key = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
-    key[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
-    return np.repeat(above.astype(np.int64) + least, n), key.view(np.uint64).ravel()
+    return np.repeat(np.cumsum(_wide(ids, len(n))) + least, n), _long(keys)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 in as many bytes as the largest needs."""
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if values.max() <= np.iinfo(t).max)).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // n]).astype(np.int64)
+
+
+def _short(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    key = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    key[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    return key.view(np.uint64).ravel()
 
 
 def _chunks(texts: list):
@@ -117,7 +130,7 @@ def _chunks(texts: list):
 
 
 def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(id, keys binary, sources binary): of each document's windows that also start in a document with a smaller id, and the smallest such id."""
+    """(to, keys binary, lowest long, sources binary): of each document's windows that also start in a document with a smaller id the keys, and the smallest such ids as steps above the lowest."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
     n_buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // BUCKET_CHARS)
@@ -170,7 +183,7 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # Back to the documents, packed again: one row for each bucket of documents.
         names, index = np.unique(doc, return_inverse=True)
         dest = (_mixed(names.view(np.uint64)) % np.uint64(n_buckets)).astype(kind)[index]
-        order = np.lexsort((index, dest))  # the order in which _packed() writes
+        order = np.lexsort((source, index, dest))  # the order in which _packed() writes; equal sources side by side compress
         rows = []
         at = 0
         for row in _packed(dest[order], index[order], key[order], names):
@@ -186,31 +199,32 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs = [_unpacked(*row) for row in zip(*columns, strict=True)]
         doc, key = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
         raw = zip(table.column("lowest").to_pylist(), table.column("sources").to_pylist(), pairs, strict=True)
-        source = np.concatenate([lowest + np.frombuffer(x, np.uint32 if len(x) == 4 * len(p[1]) else np.int64).astype(np.int64) for lowest, x, p in raw])
+        source = np.concatenate([lowest + _wide(x, len(p[1])) for lowest, x, p in raw])
         order = np.argsort(doc, kind="stable")
         doc, key, source = doc[order], key[order], source[order]
         cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         parts = list(zip(cuts, np.r_[cuts[1:], len(doc)], strict=True))
-        return pa.table({"to": pa.array(doc[cuts], pa.int64()), "keys": pa.array([key[a:b].tobytes() for a, b in parts], pa.binary()), "sources": pa.array([source[a:b].tobytes() for a, b in parts], pa.binary())})
+        lowest, sources = zip(*(_offsets(source[a:b]) for a, b in parts), strict=True)
+        return pa.table({"to": pa.array(doc[cuts], pa.int64()), "keys": pa.array([_short(key[a:b]) for a, b in parts], pa.binary()), "lowest": pa.array(lowest, pa.int64()), "sources": pa.array(sources, pa.binary())})
 
     met = packed.groupBy("bucket").applyInArrow(meet, "dest int, least long, ids binary, counts binary, keys binary, lowest long, sources binary")
-    return met.groupBy("dest").applyInArrow(gather, "to long, keys binary, sources binary")
+    return met.groupBy("dest").applyInArrow(gather, "to long, keys binary, lowest long, sources binary")
 
 
 def _offsets(values: np.ndarray) -> tuple[int, bytes]:
-    """The least of some ids and how far the others are above it, in four bytes if they fit."""
+    """The least of some ids and how far the others are above it."""
     least = int(values.min())
-    above = values - least
-    return least, above.astype(np.uint32 if above.max() < 2**32 else np.int64).tobytes()
+    return least, _narrow(values - least)
 
 
-def spans_of(words: list[bytes], keys: bytes, sources: bytes, width: int = WINDOW) -> list[tuple[int, int, int]]:
+def spans_of(words: list[bytes], keys: bytes, lowest: int, sources: bytes, width: int = WINDOW) -> list[tuple[int, int, int]]:
     """(from, to, source): the word ranges that the repeated edges of one document compact to: runs of neighbours with one source."""
     hashes = _WordHashes()
     own, _ = edge_keys(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), width)
-    key, source = np.frombuffer(keys, np.uint64), np.frombuffer(sources, np.int64)
-    if not len(own) or not len(key):
+    if not len(own) or not keys:
         return []
+    key = _long(keys)
+    source = lowest + _wide(sources, len(key))
     order = np.argsort(key, kind="stable")
     key, source = key[order], source[order]
     near = np.minimum(np.searchsorted(key, own), len(key) - 1)
@@ -241,11 +255,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edges = repeated_edges(docs, id_col, text_col, width)
 
     def compact():
-        def work(ids, own, keys, sources):
+        def work(ids, own, *packed):
             rows = []
-            for i, text, k, s in zip(ids, own, keys, sources, strict=True):
+            for i, text, *found in zip(ids, own, *packed, strict=True):
                 words = words_of(text)
-                rows += [(source, i, _text_hash(text), a, b" ".join(words[a:b])) for a, b, source in spans_of(words, k, s, width)]
+                rows += [(source, i, _text_hash(text), a, b" ".join(words[a:b])) for a, b, source in spans_of(words, *found, width)]
             return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5
 
         return work
@@ -262,7 +276,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Texts are never broadcast.  A source that very many spans have is no hot group in memory: the merge join streams the spans.
     join = edges["to"] == texts[f"`{id_col}`"]
-    paths = map_columns(edges.hint("shuffle_hash").join(texts, join).select(F.col("to"), F.col(f"`{text_col}`"), "keys", "sources"), "source long, owner long, h long, begin int, span binary", compact)
+    paths = map_columns(edges.hint("shuffle_hash").join(texts, join).select(F.col("to"), F.col(f"`{text_col}`"), "keys", "lowest", "sources"), "source long, owner long, h long, begin int, span binary", compact)
     asked = paths.hint("merge").join(texts, paths["source"] == texts[f"`{id_col}`"]).select("owner", "h", "begin", "span", F.col(f"`{text_col}`"))
     verified = map_columns(asked, "owner long, h long, `from` int, `to` int", verify)
     return verified.groupBy("owner").agg(F.collect_list(F.struct("h", "from", "to")).alias("spans"))
