@@ -25,7 +25,7 @@ from weftgraph.llm.arrow import map_columns, picked
 
 WINDOW = 13
 KEY_BYTES = 7
-CHUNK_CHARS = 6_000_000  # of text hashed at once in a task; a longer text is a chunk of its own
+CHUNK_CHARS = 4_000_000  # of text hashed at once in a task; a longer text is a chunk of its own
 BUCKET_CHARS = 12_000_000  # of text whose edges meet in one task, about two million of them
 _SEEDS = np.random.default_rng(13).integers(0, 2**63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
