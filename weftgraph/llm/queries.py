@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, htmltext, langid, lengths, linededup, quality, secrets, simhash, substring
+from weftgraph.llm import bpe, decontam, htmltext, langid, lengths, linededup, quality, secrets, simhash, substring, tokenfiles
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+END_ID = 2
 
 
 def tokenizer_path() -> str:
@@ -64,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_limits(lengths.histogram(counts))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.written_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), END_ID)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_html_extraction,
         op10_token_counts,
+        op12_token_files,
     )
 }
 
