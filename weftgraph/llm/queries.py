@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, htmltext, langid, lengths, linededup, quality, secrets, simhash, substring, tokenfiles
+from weftgraph.llm import bpe, decontam, htmltext, langid, lengths, linededup, prefixtrie, quality, secrets, simhash, substring, tokenfiles
 
 TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -70,6 +70,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.written_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), END_ID)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html_extraction,
         op10_token_counts,
         op12_token_files,
+        op13_prefix_trie,
     )
 }
 
