@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, htmltext, langid, lengths, linededup, prefixtrie, quality, secrets, simhash, substring, tokenfiles
+from weftgraph.llm import bpe, decontam, htmltext, langid, lengths, linededup, prefixtrie, quality, secrets, simhash, substring, tokenfiles, turnrepair
 
 TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -66,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_limits(lengths.histogram(counts))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.report(turnrepair.damage(_read(spark, sf_dir, "conversations")))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.written_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), END_ID)
 
@@ -87,10 +91,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_html_extraction,
         op10_token_counts,
+        op11_conversation_repair,
         op12_token_files,
         op13_prefix_trie,
     )
 }
 
-#: op1-op6 and op8-op10 are not SQL (XXH64, a tokenizer, trained models, automata); tests hold them against brute force.
+#: op1-op6 and op8-op13 are not SQL (XXH64, CRC-32, tokenizers, trained models, automata); tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": linededup.ORACLE_SQL}
