@@ -33,6 +33,51 @@ def seconds(engine: str, column: str) -> str:
     return f"epoch({column})" if engine == "duckdb" else f"unix_micros(CAST({column} AS TIMESTAMP)) / 1e6"
 
 
+#: Columns of the operation log of all verbs beside seq, verb and ts; items is a list joined by commas.
+OP_FIELDS = ("actor", "session", "key", "subject", "predicate", "value", "source_id", "target_id", "relation", "title", "text", "items")
+
+
+def _op(verb: str, seq: str, ts: str, table: str, /, **fields: str) -> str:
+    columns = ", ".join(f"CAST({fields.get(f, 'NULL')} AS STRING) AS {f}" for f in OP_FIELDS)
+    return f"SELECT CAST({seq} AS BIGINT) AS seq, '{verb}' AS verb, CAST({ts} AS DOUBLE) AS ts, {columns} FROM {table}"
+
+
+def _oplog(t: dict[str, str], seconds_of, k: str) -> str:
+    """A log of every verb: decisions, checks, claims, links and sessions from events, notes from documents, messages from conversations.
+
+    Notes' genesis comes last, as a late import; some edits precede what they edit, some checks are opened again when done.
+    """
+    e = f"(SELECT *, {k} AS k FROM {t['events']}) e"
+    of = lambda kind: f"(SELECT *, {k} AS k FROM {t['events']} WHERE event_type = '{kind}') e"
+    ts, decision, item = seconds_of("ts"), uid("'Decision|buy '||k"), uid("'Check|'||" + uid("'Decision|buy '||k") + "||'|verify '||k")
+    target = f"CASE event_id % 3 WHEN 0 THEN {uid(chr(39) + 'Note|doc-' + chr(39) + '||user_id')} WHEN 1 THEN {uid(chr(39) + 'Session|u' + chr(39) + '||user_id')} ELSE {uid(chr(39) + 'Decision|buy ' + chr(39) + '||(k + 1)')} END"
+    message = lambda turn: uid(f"'Message|'||conv_id||'|'||{turn}")
+    after = "CASE WHEN user_id % 4 = 0 THEN 'old part '||k ELSE 'part '||k END"
+    parts = [
+        _op("decide", "event_id * 8", ts, of("purchase"), text="'buy '||k", title="'title '||event_id", actor="'a'||(user_id % 3)", session="CASE WHEN event_id % 2 = 0 THEN 'u'||user_id END", items=f"CASE WHEN k % 5 = 0 THEN {uid(chr(39) + 'Decision|buy ' + chr(39) + '||(k + 2)')} ||','|| {uid(chr(39) + 'Decision|buy ' + chr(39) + '||(k + 3)')} END"),
+        _op("check", "event_id * 8 + 1", ts, of("purchase"), source_id=decision, text="'verify '||k", actor="'a'||(user_id % 3)"),
+        _op("assert", "event_id * 8 + 2", ts, f"({of('purchase')[1:-3]} AND event_id % 3 = 0) e", subject=item, predicate="'task_state'", value="'done'", actor="'a'||(user_id % 3)"),
+        _op("assert", "event_id * 8", ts, of("click"), subject=after, predicate="CASE WHEN event_id % 2 = 0 THEN 'version' ELSE 'note_flag' END", value="'1.'||(event_id % 10)||'.'||(event_id % 3)", actor="'a'||(user_id % 3)"),
+        _op("alias", "event_id * 8 + 1", ts, f"({of('click')[1:-3]} AND event_id % 10 = 4) e", key="'old part '||k", subject="'part '||k", actor="'a'||(user_id % 3)"),
+        _op("link", "event_id * 8", ts, of("view"), source_id=decision, target_id=target, relation="'REFERENCES'"),
+        _op("unlink", "event_id * 8", ts, of("error"), source_id=decision, target_id=target, relation="'REFERENCES'"),
+        _op("session", "event_id * 8", ts, of("signup"), key="'u'||user_id", title="CASE WHEN event_id % 3 = 0 THEN 'session '||event_id END", value="CASE WHEN event_id % 2 = 0 THEN event_id END"),
+        _op("retract-session", "event_id * 8 + 1", ts, f"({of('signup')[1:-3]} AND event_id % 5 = 0) e", key="'u'||user_id"),
+        _op("ping", "event_id * 8 + 7", ts, f"{e} WHERE event_id % 11 = 0"),
+        _op("new-note", "4000000000 + doc_id", "1.9e9 + doc_id", "corpus", key="slug", text="md"),
+        _op("section", "3000000000 + doc_id * 4", "1.8e9 + doc_id", "corpus WHERE doc_id % 2 = 0", key="slug", subject="CASE WHEN doc_id % 10 = 4 THEN 'none-such' WHEN doc_id % 6 = 0 THEN 'added' ELSE 'section' END", text="'edited '||doc_id"),
+        _op("section", "3000000000 + doc_id * 4 + 2", "1.8e9 + doc_id", "corpus WHERE doc_id % 4 = 0", key="slug", subject="'section'", text="'edited again '||doc_id"),
+        _op("add-section", "3000000000 + doc_id * 4 + 1", "1.8e9 + doc_id", "corpus WHERE doc_id % 3 = 0", key="slug", text="'## Added'||chr(10)||'to '||slug"),
+        _op("add-section", "3000000000 + doc_id * 4 + 3", "1.8e9 + doc_id", "corpus WHERE doc_id % 9 = 0", key="slug", text="'## Added'||chr(10)||'once more'"),
+        _op("display-rule", "-1000 + n_nationkey", "1.5e9 + n_nationkey", t["nation"], key="'Label'||n_regionkey", title="n_name"),
+        _op("set-lens", "-1000000000 + s_suppkey", "1.5e9 + s_suppkey", t["supplier"], key="'lens-'||s_nationkey", text="s_name"),
+        _op("pull-transcript", "1000000000 + conv_id * 1000 + turn", "1.7e9 + conv_id", f"(SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {t['conversations']}) c", key="'c'||conv_id", subject="conv_id||'|'||turn", value="conv_id||'|'||before", title="role", text="text"),
+        _op("edit-message", "CASE WHEN turn = 1 THEN 1000000000 ELSE 2000000000 END + conv_id * 1000 + turn * 2 - 4", "1.75e9 + conv_id", f"{t['conversations']} WHERE turn IN (1, 2, 4)", subject="conv_id||'|'||CASE WHEN turn = 4 THEN 2 ELSE turn END", text="'edit '||turn"),
+        _op("derive-message", "2500000000 + conv_id * 1000 + turn", "1.76e9 + conv_id", f"{t['conversations']} WHERE turn = 3", subject="conv_id||'|'||turn", items=f"{message(0)}||','||{message(2)}||','||{message(1)}"),
+    ]
+    return " UNION ALL ".join(parts)
+
+
 def definitions(engine: str, prefix: str = "") -> dict[str, str]:
     """Name → SELECT text; {prefix} stands before table names and definitions refer to each other by name."""
     t = {name: f"{prefix}{name}" for name in TABLES}
@@ -116,13 +161,18 @@ def definitions(engine: str, prefix: str = "") -> dict[str, str]:
             {uid("'Customer|'||user_id")} AS subject, {part_id("k")} AS object, value, event_type, user_id
             FROM (SELECT *, {"CAST(json_extract_string(props, '$.k') AS BIGINT)" if engine == "duckdb" else "CAST(get_json_object(props, '$.k') AS BIGINT)"} AS k FROM {t['events']}) e""",
     }
+    json_k = "CAST(json_extract_string(props, '$.k') AS BIGINT)" if engine == "duckdb" else "CAST(get_json_object(props, '$.k') AS BIGINT)"
+    # Documents as markdown: a short line is a heading between blank lines; every third names the next document, some by its former slug.
+    heading = "regexp_replace(text, '\\n([^\\n]{1,24})\\n', chr(10)||chr(10)||'## \\1'||chr(10)||chr(10), 'g')" if engine == "duckdb" else "regexp_replace(text, r'\\n([^\\n]{{1,24}})\\n', '\\n\\n## $1\\n\\n')"  # braces are doubled for Spark's formatter
+    defs["corpus"] = f"SELECT doc_id, 'doc-'||doc_id AS slug, lang AS topic, {heading}||CASE doc_id % 3 WHEN 0 THEN ' see [[doc-'||(doc_id + 1)||']] and [[doc-'||(doc_id + 1)||'|the next]]' WHEN 1 THEN ' see [[former-'||(doc_id + 2)||']] or [[no-such-'||doc_id||'|x]]' ELSE '' END AS md FROM {t['documents']}"
+    defs["oplog"] = _oplog(t, s, json_k)
     return defs
 
 
 def duckdb_definitions() -> dict[str, str]:
     """All definitions for the checking SQL, each after those that it refers to."""
     d = definitions("duckdb")
-    order = ["calls_parts", "next_turns", "nodes", "facts", "claims", "supersedes", "edges", "registry", "journal"]
+    order = ["calls_parts", "next_turns", "nodes", "facts", "claims", "supersedes", "edges", "registry", "journal", "corpus", "oplog"]
     extra = {
         "active": "SELECT * FROM claims WHERE assertion_id NOT IN (SELECT superseded FROM supersedes)",
         "title_of": "SELECT id, label, coalesce(nullif(trim(display_title),''), nullif(trim(title),''), nullif(trim(name),''), nullif(trim(slug),''), nullif(trim(key),''), nullif(trim(subject_label),''), nullif(trim(statement),''), nullif(trim(value),''), id) AS title FROM nodes",
@@ -167,7 +217,7 @@ class Bound:
 
     def _sql(self, name: str) -> DataFrame:
         text = self._defs[name]
-        used = {w for w in (*TABLES, "calls_parts", "next_turns", "facts", "supersedes") if w != name and re.search(rf"\b(?:FROM|JOIN)\s+{w}\b", text)}
+        used = {w for w in (*TABLES, "calls_parts", "next_turns", "facts", "supersedes", "corpus") if w != name and re.search(rf"\b(?:FROM|JOIN)\s+{w}\b", text)}
         frames = {w: (self.table(w) if w in TABLES else self._sql(w)) for w in used}
         for w in used:
             text = re.sub(rf"(\b(?:FROM|JOIN)\s+){w}\b", rf"\1{{{w}}}", text)
@@ -204,6 +254,16 @@ class Bound:
             found |= {w} if w in TABLES else set(self._tables(w)) if w in self._defs else set()
         return sorted(found)
 
+    @cached_property
+    def corpus(self) -> DataFrame:
+        """(doc_id, slug, topic, md): the documents as markdown."""
+        return self._sql("corpus")
+
+    @cached_property
+    def oplog(self) -> DataFrame:
+        """A log of operations of every verb; a filter on the verb leaves the tables that it comes from."""
+        return self._sql("oplog")
+
     @cached_property
     def registry(self) -> DataFrame:
         return self._sql("registry")
