@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import semver, term_slug, version_part
 from weftgraph.model import stable_id
+from weftgraph.operators.components import ensure_checkpoint_dir
 
 
 def canonical(value: Column) -> Column:
@@ -149,3 +150,68 @@ def latest_by(rows: DataFrame, key: str, order: Column, columns: list[str]) -> D
 def top_rows(rows: DataFrame, partition: list[str], order: list[Column], n: int, rank_col: str = "rank") -> DataFrame:
     """The first n rows of each partition, with their rank from 1."""
     return rows.withColumn(rank_col, F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col(rank_col) <= n)
+
+
+def write_batch(requests: DataFrame, nodes: DataFrame, aliases: DataFrame, claims: DataFrame, supersedes: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims that are new, rejected requests) of a batch of asserted values, in one pass over the slots that it meets.
+
+    requests: (n: the order of the batch, subject, predicate, value, actor, asserted_at, supersede: array of ids or values).
+    A subject that is ambiguous, or shaped like an id that leads nowhere, is rejected; a new name becomes a term.  A claim
+    that there is already, or that the batch repeats, adds nothing, so the same batch again gives no rows.
+
+    New claims: (assertion_id, slot_id, subject_id, predicate, value, actor, asserted_at, created_subject, born_superseded, superseder,
+    n_conflicts, contradicts, soft_conflict).  Claims of a slot are compared with the active ones before the batch and with
+    those that come earlier in the batch: born_superseded if one of them has a higher rank; superseder is a claim that
+    supersedes this one in the end, by rank or because a later request names it.  Conflicts are those of the slot after
+    the batch, counted against the claims before: n_conflicts with another value, and contradicts the first of them, where the
+    predicate is typed, unordered and single-valued; soft_conflict instead where no type is known of it.  No pairs of claims
+    are made: each comparison is a running value over the slot in order.
+    """
+    ensure_checkpoint_dir(requests.sparkSession)
+    found = resolve_subjects(requests, nodes, aliases).checkpoint()
+    good = found.where("id is not null").select("subject", F.col("id").alias("subject_id"), (F.col("outcome") == "minted").alias("created_subject"))
+    rejected = requests.join(found.where("id is null").select("subject", "outcome"), "subject").select("n", "subject", "predicate", "value", "outcome")
+    c = F.col
+    new = requests.join(good, "subject").select(
+        "n", "subject_id", "predicate", "value", "actor", "asserted_at", "supersede", "created_subject",
+        stable_id(c("subject_id"), c("predicate"), c("value"), c("actor")).alias("assertion_id"),
+        stable_id(c("subject_id"), c("predicate")).alias("slot_id"),
+    )
+    new = new.groupBy("assertion_id").agg(F.min_by(F.struct(*(x for x in new.columns if x != "assertion_id")), "n").alias("r")).select("assertion_id", "r.*")
+    new = new.join(claims.select("assertion_id"), "assertion_id", "left_anti").checkpoint()
+    slots = new.select("slot_id").distinct()
+    old = active_claims(claims.join(slots, "slot_id", "left_semi"), supersedes)
+    none = F.lit(None)
+    old = old.select("assertion_id", F.lit(-1).cast("long").alias("n"), "subject_id", "predicate", "value", "actor", "asserted_at", none.cast("array<string>").alias("supersede"), none.cast("boolean").alias("created_subject"), "slot_id")
+    rows = new.select(*old.columns).unionByName(old).join(F.broadcast(registry), "predicate", "left")
+    rows = rows.withColumns({"rank": rank(c("ordered"), c("value")), "canon": canonical(c("value"))}).checkpoint()
+    # What requests name themselves: an id of the slot, else a value of it, of a claim that was there before.
+    named = rows.where("supersede is not null").select("slot_id", F.col("n").alias("by_n"), F.col("assertion_id").alias("by"), F.explode("supersede").alias("token"))
+    ids = named.join(rows.select("slot_id", F.col("assertion_id").alias("token"), F.col("assertion_id").alias("hit"), "n"), ["slot_id", "token"], "left")
+    values = ids.where("hit is null").drop("hit", "n").withColumn("canon", canonical(c("token"))).join(rows.select("slot_id", "canon", F.col("assertion_id").alias("hit"), "n"), ["slot_id", "canon"])
+    told = ids.where("hit is not null").select("hit", "by", "by_n", "n").unionByName(values.select("hit", "by", "by_n", "n")).where("n < by_n").groupBy(F.col("hit").alias("assertion_id")).agg(F.min_by("by", F.struct("by_n", "by")).alias("told"))
+    rows = rows.join(told, "assertion_id", "left")
+    # By rank: the highest before, and the first claim of the next higher rank.
+    order = [c("n"), c("assertion_id")]
+    before = Window.partitionBy("slot_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.where("rank is not null").groupBy("slot_id", "rank").agg(F.min_by("assertion_id", F.struct("n", "assertion_id")).alias("head"))
+    heads = heads.select("slot_id", "rank", F.lead("head").over(Window.partitionBy("slot_id").orderBy("rank")).alias("higher"))
+    rows = rows.withColumn("highest", F.max("rank").over(before)).join(heads, ["slot_id", "rank"], "left")
+    rows = rows.withColumn("superseder", F.coalesce("higher", "told")).withColumn("born_superseded", F.coalesce(c("highest") > c("rank"), F.lit(False)))
+    # Conflicts among the claims that are left.
+    left = rows.where("superseder is null and (ordered is null) and not coalesce(multivalued, false)")
+    same = Window.partitionBy("slot_id", "canon").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    left = left.withColumns({"others": F.count("*").over(before) - F.count("*").over(same), "head": F.first("assertion_id").over(before), "head_canon": F.first("canon").over(before)})
+    left = left.withColumn("second", F.first(F.when(c("canon") != c("head_canon"), c("assertion_id")), ignorenulls=True).over(before))
+    typed = F.coalesce("typed", F.lit(False))
+    conflicts = left.where("others > 0").select(
+        "assertion_id",
+        F.when(typed, c("others")).otherwise(0).alias("n_conflicts"),
+        F.when(typed, F.when(c("head_canon") != c("canon"), c("head")).otherwise(c("second"))).alias("contradicts"),
+        (~typed).alias("soft_conflict"),
+    )
+    out = rows.where("n >= 0").join(conflicts, "assertion_id", "left").select(
+        "assertion_id", "slot_id", "subject_id", "predicate", "value", "actor", "asserted_at", "created_subject", "born_superseded", "superseder",
+        F.coalesce("n_conflicts", F.lit(0)).cast("long").alias("n_conflicts"), "contradicts", F.coalesce("soft_conflict", F.lit(False)).alias("soft_conflict"),
+    )
+    return out, rejected

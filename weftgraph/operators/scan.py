@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import first_clause, filled
+from weftgraph.functions.text import filled, first_clause, resolve_relative
 from weftgraph.model import EXPORT_TITLE_FIELDS, stable_id
 
 
@@ -138,6 +138,31 @@ def resolve_names(callers: DataFrame, targets: DataFrame, relation: str) -> Data
     return callers.select(F.col("id").alias("source_id"), "name").join(unique, "name").where("source_id <> target_id").select("source_id", F.lit(relation).alias("relation_type"), "target_id").distinct()
 
 
+def resolve_imports(modules: DataFrame) -> DataFrame:
+    """IMPORTS edges of modules (id, import_name, is_package, imports: array): each import is looked up by its absolute name.
+
+    A relative import ('.x', '..x') is resolved against the package of its module: the module itself if it is a package, else
+    its parent.  A name of several modules is that of the smallest id; imports of a module itself give no edge.
+    """
+    named = modules.where("import_name <> ''").groupBy(F.col("import_name").alias("name")).agg(F.min("id").alias("target_id"))
+    rows = modules.select(F.col("id").alias("source_id"), "import_name", "is_package", F.explode(F.array_distinct("imports")).alias("raw"))
+    level = F.length(F.regexp_extract("raw", r"^(\.*)", 1))
+    package = F.when(F.col("is_package"), F.col("import_name")).otherwise(F.regexp_replace("import_name", r"\.?[^.]*$", ""))
+    name = F.when(level == 0, F.col("raw")).otherwise(resolve_relative(package, level, F.regexp_replace("raw", r"^\.+", "")))
+    found = rows.select("source_id", name.alias("name")).distinct().join(named, "name").where("source_id <> target_id")
+    return found.select("source_id", F.lit("IMPORTS").alias("relation_type"), "target_id").distinct()
+
+
+def resolve_calls(symbols: DataFrame) -> DataFrame:
+    """CALLS edges of symbols (id, qualname, calls: array): a called name leads to the symbol with this bare name, if there is only one.
+
+    Calls are distinct names before the join, so a name that very many symbols call joins with one row.
+    """
+    bare = F.element_at(F.split("qualname", r"\."), -1)
+    targets = symbols.select("id", bare.alias("name")).where("name <> ''")
+    return resolve_names(symbols.select("id", F.explode(F.array_distinct("calls")).alias("name")), targets, "CALLS")
+
+
 def message_payload(messages: DataFrame) -> DataFrame:
     """messages (session, turn, id, ...) plus prev_id: the message before in the session."""
     return messages.withColumn("prev_id", F.lag("id").over(Window.partitionBy("session").orderBy("turn")))
@@ -160,6 +185,22 @@ def derived_edges(sent: DataFrame) -> DataFrame:
     return sent.select(F.col("id").alias("source_id"), F.posexplode("parts").alias("ord", "target_id")).select("source_id", F.lit("DERIVED_FROM").alias("relation_type"), "target_id", "ord")
 
 
+def mint_messages(messages: DataFrame, sent: DataFrame, nodes: DataFrame, edges: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, claims) that pulled messages add to a graph: only what it does not have, so minting again adds nothing.
+
+    messages: (id, session_id, prev_id, role, text, transcript): nodes, their chain, and a fact that pairs a session with its
+    transcript.  sent: (id, parts): DERIVED_FROM edges in order.  Of repeated messages the one of the smallest text counts.
+    """
+    once = messages.groupBy("id").agg(F.min(F.struct("session_id", "prev_id", "role", "text", "transcript")).alias("m")).select("id", "m.*")
+    made = once.select("id", F.lit("Message").alias("label"), "role", "text").unionByName(once.select(F.col("session_id").alias("id"), F.lit("Session").alias("label")).distinct(), allowMissingColumns=True)
+    triple = ["source_id", "relation_type", "target_id"]
+    chain = message_edges(once).withColumn("ord", F.lit(None).cast("int")).unionByName(derived_edges(sent))
+    chain = chain.groupBy(*triple).agg(F.min("ord").alias("ord"))
+    facts = once.where("transcript is not null").select(F.col("session_id").alias("subject_id"), F.lit("cc_session_uuid").alias("predicate"), F.col("transcript").alias("value")).distinct()
+    facts = facts.select(stable_id(F.col("subject_id"), F.col("predicate"), F.col("value")).alias("assertion_id"), "subject_id", "predicate", "value")
+    return delta(made, nodes), chain.join(edges.select(*triple), triple, "left_anti"), delta(facts, claims, "assertion_id")
+
+
 def reads_ledger(results: DataFrame, text_col: str = "body", keep: int = 500) -> DataFrame:
     """results plus ids (full ids in order, distinct, at most `keep`) and n (all of them)."""
     found = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"), F.lit(0)))

@@ -128,3 +128,33 @@ def reconstruct_text(sections: DataFrame, separator: str = "") -> DataFrame:
 
 def running_rank(rows: DataFrame, partition: list[str], order: list) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+
+
+AXES = {"seed": "seed_id", "kind": "label"}  # in the order in which a cluster is broken down
+
+
+def explore(scored: DataFrame, nodes: DataFrame, filters: list[tuple[str, str]], budget: int = 15) -> DataFrame:
+    """(part, value, score, n, total, complete): the best `budget` members of what passes all filters (axis, value), best first;
+    if there are more, also how they break down on the first axis that no filter uses.
+
+    part is 'member' (value: the node) or the axis of a sub-facet (value: what to filter it by next, n: its members; its handle is
+    the filters and this pair).  What passes is written once, then the members are taken from it by a distributed top-k, and
+    the sub-facets and the total by one aggregation.
+    """
+    unknown = {a for a, _ in filters} - set(AXES)
+    if unknown:
+        raise ValueError(f"no such axis: {', '.join(sorted(unknown))}")
+    ensure_checkpoint_dir(scored.sparkSession)
+    rows = scored.join(nodes.select("id", "label"), "id")
+    for axis, value in filters:
+        rows = rows.where(F.col(AXES[axis]) == value)
+    rows = rows.select("id", "score", *AXES.values()).checkpoint()
+    axis = next((a for a in AXES if a not in {f for f, _ in filters}), None)
+    by = rows.groupBy((F.col(AXES[axis]) if axis else F.lit(None).cast("string")).alias("value")).agg(F.count("*").alias("n"))
+    total = F.broadcast(by.agg(F.sum("n").alias("total")).withColumn("complete", F.col("total") <= budget))  # one row
+    best = rows.orderBy(F.desc("score"), "id").limit(budget)
+    members = best.select(F.lit("member").alias("part"), F.col("id").alias("value"), F.round("score", 3).alias("score"), F.lit(None).cast("long").alias("n")).join(total)
+    if axis is None:
+        return members
+    facets = by.select(F.lit(axis).alias("part"), "value", F.lit(None).cast("double").alias("score"), "n").join(total).where("not complete")
+    return members.unionByName(facets)
