@@ -115,3 +115,28 @@ def test_extract_of_odd_tables(spark):
     got = sorted((r.page_id or 0, r.n_chars) for r in htmltext.extract(df).collect())
     assert got == [(0, 0), (1, 30_000 * 29 - 2), (2, len(WANT)), (2, len(WANT))]
     assert htmltext.extract(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><h1>Title here</h1><p>Rain fell today.</p><p>All is well.</p></body>", ["Title here", "Rain fell today.", "All is well."]),
+        ("<p>Hi.</p>", ["Hi."]),
+        *((f'<div class="{names}"><p>Rain fell today.</p></div>', ["Rain fell today."]) for names in ("layout has-sidebar", "no-sidebar", "with-navigation", "main-content has-sidebar")),
+        ('<div class="post-header"><h1>My title</h1></div><p>Rain fell today.</p>', ["My title", "Rain fell today."]),
+        ('<article><div class="article-header"><h1>My title</h1></div><p>Rain fell.</p></article>', ["My title", "Rain fell."]),
+        ("<section><header><h1>My title</h1></header><p>Rain fell today.</p></section>", ["My title", "Rain fell today."]),
+        (f"<div><p>{FIRST}</p><p>The end.</p></div>", [FIRST.strip(), "The end."]),
+        ('<article><p>A b c.</p><div class="gdpr">We use things.</div><div class="author-bio">Ann writes.</div><div class="paywall-box">Pay now.</div></article><div class="more-stories"><article><p>Other one.</p></article></div>', ["A b c."]),
+        ('<div class="sidebar"><p>Rain fell today.</p></div><div class="page-header"><p>Site.</p></div>', []),
+        (f"<ul><li><a href=a>a</a></li><li><a href=b>b</a></li></ul><p>{FIRST}</p><p>Short.</p>", [FIRST.strip(), "Short."]),
+    ],
+)
+def test_pages_without_an_article_around_the_text(page, want):
+    assert htmltext.main_text(page, TREE) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("around", [("", ""), ("<body><p>x</p>", "</body></html>")])
+def test_open_quotes_take_no_square_time(around):
+    assert len(htmltext.blocks_of(around[0] + '<p a="b ' * 128_000 + around[1])) >= 1
+    assert htmltext.main_text("<p>Text stays <b and what follows it", TREE) == "Text stays <b and what follows it"

@@ -30,8 +30,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OUTSIDE = frozenset("nav footer aside header form menu dialog fieldset".split())
 _INSIDE = frozenset("article main".split())
 _UNNAMED = frozenset("html body main article".split())  # their names never put them outside
-_BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|side-?bar\w*|footer|header|masthead|breadcrumbs?|comments?\w*|repl(?:y|ies)|disqus|cookies?\w*|consent|notices?|alert|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|widget\w*|copyright|legal|pag(?:er|ination)|search\w*|form\w*|tags?|toolbar)(?:$|[\s_-])", re.I)
-_AFTER_NAME = re.compile(r"(?:^|[\s_-])(?:comments?\w*|repl(?:y|ies)|disqus|related|recommend\w*)(?:$|[\s_-])", re.I)  # these hold articles of their own
+_AFTER = "comments?\\w*|repl(?:y|ies)|disqus|related|recommend\\w*|more[-_](?:stories|articles|posts|news|from)"
+#: A name that only says that there is such a thing (has-sidebar), or whose header it is (post-header), is not meant.
+_BAD_NAME = re.compile(rf"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?<!\bshow[_-])(?:(?<!\bpost[_-])(?<!\barticle[_-])(?<!\bentry[_-])(?<!\bstory[_-])header|ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|side-?bar\w*|footer|masthead|breadcrumbs?|{_AFTER}|cookies?\w*|consent|gdpr\w*|paywall\w*|(?:author[-_])?bio|notices?|alert|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|widget\w*|copyright|legal|pag(?:er|ination)|search\w*|form\w*|tags?|toolbar)(?:$|[\s_-])", re.I)
+_AFTER_NAME = re.compile(rf"(?:^|[\s_-])(?:{_AFTER})(?:$|[\s_-])", re.I)  # these hold articles of their own
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|story|entry|text|body)(?:$|[\s_-])", re.I)
 FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "inside", "outside", "list_item")
 
@@ -118,6 +120,28 @@ LABELLED = (
     ((7, 0.40, 60, 0.00, 2, 1.00, 0, 0, 0), 0),
     ((14, 0.90, 4, 1.00, 3, 1.00, 0, 0, 0), 0),
     ((2, 0.00, 2, 0.00, 1, 1.00, 0, 0, 1), 0),
+    # Articles: blocks of any length between links.
+    ((11, 0.00, 3, 1.00, 0, 0.00, 1, 0, 0), 1),
+    ((7, 0.00, 1, 1.00, 9, 1.00, 1, 0, 1), 1),
+    ((2, 0.00, 8, 1.00, 1, 1.00, 1, 0, 0), 1),
+    ((19, 0.10, 2, 1.00, 12, 1.00, 1, 0, 0), 1),
+    ((5, 0.00, 40, 0.00, 6, 1.00, 1, 0, 0), 1),
+    ((33, 0.00, 4, 1.00, 2, 1.00, 1, 0, 0), 1),
+    ((14, 0.00, 30, 0.20, 3, 1.00, 1, 0, 1), 1),
+    ((8, 1.00, 16, 1.00, 22, 0.00, 1, 0, 0), 1),
+    ((2, 0.80, 5, 0.00, 3, 1.00, 1, 0, 1), 1),
+    ((26, 0.90, 7, 1.00, 7, 1.00, 1, 0, 0), 1),
+    # No article around: short blocks whose neighbours have no links either, and a short end of a long text.
+    ((1, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0), 1),
+    ((2, 0.00, 0, 0.00, 3, 0.00, 0, 0, 0), 1),
+    ((3, 0.00, 2, 0.00, 3, 0.00, 0, 0, 0), 1),
+    ((3, 0.00, 3, 0.00, 0, 0.00, 0, 0, 0), 1),
+    ((5, 0.00, 6, 0.00, 4, 0.00, 0, 0, 0), 1),
+    ((2, 0.00, 60, 0.00, 0, 0.00, 0, 0, 0), 1),
+    ((1, 0.00, 30, 0.00, 0, 0.00, 0, 0, 0), 1),
+    ((4, 0.00, 45, 0.00, 5, 0.00, 0, 0, 0), 1),
+    ((6, 0.00, 10, 0.00, 8, 0.00, 0, 0, 1), 1),
+    ((2, 0.00, 3, 0.00, 2, 0.00, 0, 0, 1), 1),
     # Beside the main text: of any length and without links.
     ((70, 0.00, 60, 0.00, 50, 0.00, 0, 1, 0), 0),
     ((120, 0.00, 0, 0.00, 90, 0.00, 0, 1, 0), 0),
@@ -127,7 +151,7 @@ LABELLED = (
 )
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 5):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 7):
     """A decision tree by Gini impurity: a share of ones, or (feature, threshold, tree up to it, tree beyond it)."""
     share = float(y.mean())
     best = None
@@ -166,8 +190,8 @@ def skipped_to(source: str, at: int, name: str, parents: set[str], missing: set[
     if name in _RAW and end and (name in ("script", "style") or not re.compile(rf"<{name}[\s>]", re.I).search(source, at, end.start())):
         return end.end()
     opened: dict[str, int] = {}
-    first, place = len(source), at
-    while m := _TAG.search(source, place):
+    first, place, last = len(source), at, last_tag(source)
+    while place <= last and (m := _TAG.search(source, place)):
         place, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
@@ -190,6 +214,11 @@ def skipped_to(source: str, at: int, name: str, parents: set[str], missing: set[
     return first
 
 
+def last_tag(source: str) -> int:
+    """The place behind which no tag ends and no comment begins: what follows is text, whatever it opens."""
+    return max(source.rfind(">"), source.rfind("<!--"))
+
+
 def blocks_of(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, linked words, inside an article, outside the main text, list item) of each block in page order."""
     out: list[tuple] = []
@@ -213,8 +242,9 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
         parts, linked = [], []
 
     source, at = page or "", 0
+    last = last_tag(source)
     while at < len(source):
-        m = _TAG.search(source, at)
+        m = _TAG.search(source, at) if at <= last else None
         stop = m.start() if m else len(source)
         if stop > at:
             text = html.unescape(source[at:stop])
@@ -278,7 +308,8 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
             if (named and name not in _UNNAMED and name not in _OUTSIDE) or name == "form":
                 number += 1
                 names_of.append((len(stack), name, number, not _AFTER_NAME.search(names)))
-            bad = name in _OUTSIDE and name != "form" and not (name == "header" and inside and not named)  # an article's own header holds its title
+            own = name == "header" and not named and (inside or any(e[0] == "section" for e in stack))  # an article's or a section's own header holds its title
+            bad = name in _OUTSIDE and name != "form" and not own
             stack.append((name, int(good), int(bad)))
             inside, outside = inside + good, outside + bad
             item = item or name == "li"
