@@ -156,3 +156,12 @@ def test_planted_secrets_of_the_documents(spark, model):
     found = {(r.doc_id, hashlib.sha256(r.candidate.encode()).hexdigest()) for r in secrets.scan(docs, model=model).where("is_secret").collect()}
     print(len(planted), len(found), len(found - planted))
     assert planted and planted <= found and len(found - planted) <= 0.02 * docs.count()
+
+
+def test_long_dotted_words_take_no_square_time(spark):
+    from weftgraph.llm import secrets
+
+    docs = spark.createDataFrame([(1, "key." * 250_000 + ' token = "Zx81-pQ77-Lm"', "a")], "doc_id long, text string, source string")
+    found = secrets.candidates(docs).collect()
+    assert [r.candidate for r in found] == ["Zx81-pQ77-Lm"]
+    assert [r.candidate for r in secrets.candidates(spark.createDataFrame([(1, "access_token_of_the_service[0].name-x = hunter2!", "a")], "doc_id long, text string, source string")).collect()] == ["hunter2!"]

@@ -25,9 +25,10 @@ HARMLESS = "commit|sha1|sha256|md5|checksum|digest|uuid|guid|revision|version|ha
 DICTIONARY = "the|and|for|you|your|here|test|example|sample|dummy|changeme|secret|password|token|key|api|user|name|admin|main|java|src|com|org|index|module|import|class|version|config|data|file|path|http|www|html|none|null|true|false|required|optional|string|value|default|abcdef|12345|xxxx|0000"
 QUIET_PATH = "test|spec|example|sample|docs|fixture|mock|vendor|node_modules|lock$"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur|ue|qu|ei|un|ge|do|la|lo|ta|us|ie|ns"
+KEY_PART = 64  # characters of a key behind its assigning word; at a longer one only a later assigning word of it leads on
 RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Groups: the assigning words, a quoted value, a bare value, a run.
-CANDIDATE = f"((?i:{ASSIGNING})[A-Za-z0-9_.\\[\\]-]*[\"'`]?\\s{{0,3}}(?:[:=]=?>?|\\sis\\s)\\s{{0,3}}(?:(?i:bearer|basic)\\s)?)(?:[\"'`]([^\"'`]{{6,}})(?=[\"'`])|([^\\s\"'`,;<>]{{6,}}))|({RUN})"
+CANDIDATE = f"((?i:{ASSIGNING})[A-Za-z0-9_.\\[\\]-]{{0,{KEY_PART}}}+[\"'`]?\\s{{0,3}}(?:[:=]=?>?|\\sis\\s)\\s{{0,3}}(?:(?i:bearer|basic)\\s)?)(?:[\"'`]([^\"'`]{{6,}})(?=[\"'`])|([^\\s\"'`,;<>]{{6,}}))|({RUN})"
 FEATURES = ("length", "transitions", "variety", "digits", "symbols", "hexadecimal", "vowels", "pairs", "coverage", "assigned", "operator", "quoted", "harmless", "harmless_after", "quiet_path")
 TREES, DEPTH, THRESHOLD = 32, 9, 0.5
 
