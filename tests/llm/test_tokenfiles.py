@@ -47,7 +47,7 @@ def test_shards_round_trip(bits):
 
 def test_words_are_encoded_as_whole_texts_are(library):
     rng = np.random.default_rng(5)
-    bits = ["a", "Wort", "l'été", "don't", "x.\nY", "42", "<|endoftext|>", "日本語", "🙂", " ", "　", "\x1c", "\t", "\n", " ", " ", " ", "  ", "\r\n", "'s", "é", "...", "á", " "]
+    bits = ["a", "\0", "a.", "é),", "x\u0301.", "ñ!?", "\n", "a", "Wort", "l'été", "don't", "x.\nY", "42", "<|endoftext|>", "日本語", "🙂", " ", "　", "\x1c", "\t", "\n", " ", " ", " ", "  ", "\r\n", "'s", "é", "...", "á", " "]
     texts = ["", " ", "  ", "\n", "a b", " a b ", "a  b", "a \n b", "end\n", "x <|endoftext|> y", None, "word " * 50, "a" * 3000, " b" * 40_000 + "  c"]
     texts += ["".join(rng.choice(bits, rng.integers(1, 30))) for _ in range(600)]
     coder = tokenfiles.LibraryEncoder(open(PATH, encoding="utf-8").read())

@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -37,7 +38,7 @@ from weftgraph.sources.store import shared_folder
 
 BLOCK = 1 << 16  # ids that are transposed together
 SHARD_IDS = 1 << 22  # a shard closes with the document that brings it to so many ids
-CACHE_WORDS = 400_000  # words whose ids a Python worker keeps, about 80 MB
+CACHE_PIECES = 600_000  # pieces whose ids a Python worker keeps, about 110 MB
 PIECE = 1 << 16  # characters of a text with unusual spacing that the library gets at once
 SLICE = 6_000_000  # bytes of texts that are encoded together
 LEVEL = 3
@@ -45,6 +46,8 @@ MAGIC = b"WGTP"
 HEAD = struct.Struct("<4sBBHI")  # magic, version, bits of a plane's elements (1 or 8), unused, ids of a block
 FOOT = struct.Struct("<QQQQQQ4s")  # place and size of the documents, place of the index, documents, ids, blocks, magic
 CUT = re.compile(r"(?<=\S) (?=\S)")
+CUTS = "\0"  # marks a cut; a text that has it is not cut
+STOPS = "([A-Za-z0-9À-ÖØ-öø-ÿ])([.,;:!?)]+)(\\x00|$)"
 
 
 # Blocks.
@@ -159,12 +162,14 @@ class Shard:
 
 
 class LibraryEncoder:
-    """Whole texts by the tokenizers library (byte-level BPE), each distinct word once.
-
-    Byte-level BPE splits a text before every single space between two characters that are not white space, and what is
-    between two such places is encoded the same in any text.  So words of a slice are told apart by Arrow and only new ones
-    go to the library, many in one text; there a token that begins with a space begins the next word.  Texts with any
-    other spacing go to the library as they are, cut at such places only where they are very long.
+    """Whole texts by the tokenizers library (byte-level BPE), each distinct piece once.
+
+    Byte-level BPE splits a text before every single space and around every single line break between two characters that are
+    not white space, and between a letter or digit and the stops behind it; what lies between such places is encoded the
+    same in any text.  Arrow cuts texts there and tells the pieces apart, so only new pieces go to the library, many in
+    one text: pieces behind a space one after another, where a token that begins with a space begins the next piece, others
+    on lines of their own.  Texts with any other spacing go to the library as they are, cut at such places only where they
+    are very long.
     """
 
     def __init__(self, source: str) -> None:
@@ -176,27 +181,39 @@ class LibraryEncoder:
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.spaced[i] = token.startswith("Ġ")
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.values: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+        self.known: dict[str, int] = {"": 0, "\n": 1}
+        self.values, self.sizes = np.array([self.line], np.uint32), np.array([0, 1])
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words behind a space, 256 in one text."""
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = np.concatenate(self._library([" " + " ".join(some[k : k + 256]) for k in range(0, len(some), 256)]))
-            begin = np.flatnonzero(self.spaced[ids])
-            if len(begin) != len(some):
-                raise ValueError("a token with a space inside a word: the vocabulary is not byte-level BPE")
-            self.values.append(ids)
-            self.sizes.append(np.diff(np.append(begin, len(ids))))
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+    def _learn(self, pieces: list[str]) -> None:
+        """The ids of new pieces without white space but for one space in front."""
+        behind = [x for x in pieces if x[0] == " "]
+        alone = [x for x in pieces if x[0] != " "]
+        values, sizes = [self.values], [self.sizes]
+        for some, between in ((behind, ""), (alone, "\n")):
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                texts = [between.join(part[k : k + 256]) + between for k in range(0, len(part), 256)]
+                ids = np.concatenate(self._library(texts))
+                if between:
+                    ends = np.flatnonzero(ids == self.line) - np.arange(len(part))
+                    ids = ids[ids != self.line]
+                    count = np.diff(ends, prepend=0)
+                else:
+                    count = np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids))
+                if len(count) != len(part):
+                    raise ValueError("a piece that is not encoded by itself: the vocabulary is not byte-level BPE")
+                values.append(ids)
+                sizes.append(count)
+        n = len(self.sizes)
+        self.known.update(zip(behind + alone, range(n, n + len(pieces)), strict=True))
+        self.values, self.sizes = np.concatenate(values), np.concatenate(sizes)
 
     def _whole(self, text: str) -> np.ndarray:
         parts, at = [], 0
@@ -207,36 +224,43 @@ class LibraryEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.sizes) > CACHE_PIECES:
             self.forget()
         n = len(texts)
         if not n:
             return []
-        split = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), " ")
-        words, count = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(count)
-        first, last = np.zeros(len(words), bool), np.zeros(len(words), bool)
-        first[ends - count] = last[ends - 1] = True
-        coded = words.dictionary_encode()
+        texts = texts.cast(pa.large_string()).fill_null("")
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", CUTS + " "), "\n", CUTS + "\n" + CUTS)
+        split = pc.split_pattern(pc.replace_substring_regex(cut, STOPS, "\\1" + CUTS + "\\2\\3"), CUTS)
+        pieces, count = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded, ends = pieces.dictionary_encode(), np.cumsum(count)
         distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        # Texts in which a space does not stand between two characters that are not white space.
-        head = np.fromiter((not w or w[0].isspace() for w in distinct), bool, len(distinct))[which]
-        tail = np.fromiter((not w or w[-1].isspace() for w in distinct), bool, len(distinct))[which]
-        odd = np.bitwise_or.reduceat((head & ~first) | (tail & ~last), ends - count)
-        plain = ~np.repeat(odd, count) & ~first
-        used = np.unique(which[plain])
-        asked = [distinct[k] for k in used.tolist()]
-        self._learn([w for w in asked if w not in self.known])
-        place = np.full(len(distinct), -1, np.int64)
-        place[used] = [self.known[w] for w in asked]
-        place = place[which[plain]]
-        self.values, self.sizes = [np.concatenate([np.empty(0, np.uint32), *self.values])], [np.concatenate([np.empty(0, np.int64), *self.sizes])]
-        known = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(self.sizes[0])], self.values[0])
+        place = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(place < 0)
+        other = np.zeros(len(distinct), bool)  # pieces with other white space than one space in front
+        new = []
+        for k in unknown.tolist():
+            x = distinct[k]
+            if x[-1].isspace() or x[x[0] == " "].isspace():
+                other[k] = True
+            else:
+                new.append(x)
+        place[unknown[~other[unknown]]] = self._placed(new)
+        place[other] = 0
+        # Texts that are cut at another place than the ones named: they have such a piece, or nothing between two cuts.
+        bad = other[which] | (place[which] == 0)
+        bad[ends - 1] &= other[which[ends - 1]]
+        bad[ends - count] &= other[which[ends - count]]
+        odd = np.bitwise_or.reduceat(bad, ends - count) | pc.match_substring(texts, CUTS).to_numpy(zero_copy_only=False)
+        place, sizes = place[which], self.sizes
+        total = np.r_[0, np.cumsum(sizes[place])][np.r_[ends - count, ends[-1]]]
+        known = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(sizes)], self.values)
         values = known.take(pa.array(place)).flatten().to_numpy()
-        behind = np.bincount(np.repeat(np.arange(n), count)[plain], weights=self.sizes[0][place], minlength=n).astype(np.int64)
-        at = np.r_[0, np.cumsum(behind)]
-        alone = self._library([distinct[k] for k in which[ends - count].tolist()])  # a first word stands behind no space
-        return [self._whole(texts[k].as_py()) if odd[k] else np.concatenate([alone[k], values[at[k] : at[k + 1]]]) for k in range(n)]
+        return [self._whole(texts[k].as_py()) if odd[k] else values[total[k] : total[k + 1]] for k in range(n)]
+
+    def _placed(self, new: list[str]) -> list[int]:
+        self._learn(new)
+        return [self.known[x] for x in new]
 
 
 _ENCODER: dict[int, LibraryEncoder] = {}
