@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.bind import Bound, uid
 from weftgraph.functions import text
-from weftgraph.model import TEXT_FIELDS, TITLE_FIELDS, stable_id
+from weftgraph.model import NAME_STOPWORDS, STOPWORDS, TEXT_FIELDS, TITLE_FIELDS, stable_id
 from weftgraph.operators import log, scan
 from weftgraph.plans.base import query
 
@@ -283,7 +283,7 @@ def haystack(g: Bound) -> DataFrame:
     return g.nodes.where("label in ('Decision', 'Anchor', 'CodeSymbol')").select("id", text.haystack().alias("haystack"))
 
 
-_STOP = "['" + "','".join("the and for with this that from into are was were has have had not but all any its our their what which when how why who via per out".split()) + "']"
+_STOP = "['" + "','".join(STOPWORDS) + "']"
 
 
 @query(f"SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x))), ' ') AS terms FROM conversations")
@@ -291,7 +291,7 @@ def query_terms(g: Bound) -> DataFrame:
     return g.table("conversations").select("conv_id", "turn", F.array_join(F.sort_array(text.query_terms(F.col("text"))), " ").alias("terms"))
 
 
-_NAME_STOP = "['" + "','".join("get set to from of run make build create the a an and or for with new init".split()) + "']"
+_NAME_STOP = "['" + "','".join(NAME_STOPWORDS) + "']"
 
 
 @query(f"SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(name, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x))), lambda x: NOT list_contains({_NAME_STOP}, x))), ' ') AS tokens FROM (SELECT p_partkey, replace(p_name,' ','_')||'GetValue'||p_size||'_of' AS name FROM part)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from weftgraph.plans.base import query
 from weftgraph.plans.claims import active
 from weftgraph.plans.frontier import _FILED, buckets, states
 from weftgraph.plans.frontier import anchors as work_anchors
-from weftgraph.plans.graph import prepared
+from weftgraph.plans.graph import _SCORED, TASK, prepared
 from weftgraph.plans.log import _TOUCH, touches
 
 RULES = {"Anchor": "{name|12} in {->PART_OF.name} with {#<-PART_OF} filed", "Entity": "{name}: {#<-ABOUT} orders {->REFERENCES}"}
@@ -42,6 +43,12 @@ def display_rule_validate(g: Bound) -> DataFrame:
 
 
 # Lenses.
+def _nation(k: int) -> str:
+    m = hashlib.md5(f"Nation|{k}".encode()).hexdigest()
+    return "-".join((m[:8], m[8:12], m[12:16], m[16:20], m[20:]))
+
+
+FRONT = [*map(_nation, range(25)), "00000000-0000-0000-0000-000000000000"]
 SPEC = {
     "params": [{"name": "since", "type": "timestamp", "required": True}, {"name": "kind", "default": "Anchor"}],
     "selection": [
@@ -94,6 +101,19 @@ def lens_edges(g: Bound) -> DataFrame:
     return traverse.subgraph_edges(members.join(g.nodes.select("id"), "id", "left_semi"), g.edges)
 
 
+#: What a search finds, and a fixed sub-graph: the nations of the bound graph by id, and one that is gone.
+SEARCH = {"params": [{"name": "task", "required": True}, {"name": "most", "default": 12}], "selection": [{"verb": "relevant", "args": {"task": "{task}", "k": "{most}"}}, {"verb": "subgraph", "args": {"refs": FRONT}}]}
+
+
+@query(_SCORED + f""", picked AS (SELECT 0 AS clause, 'relevant' AS verb, id AS ref FROM (SELECT id FROM scored ORDER BY round(score, 3) DESC, id LIMIT 12) UNION ALL SELECT 1, 'subgraph', unnest({FRONT!r}))
+SELECT ref, min(clause) AS clause, min(label) AS label FROM picked LEFT JOIN nodes ON id = ref GROUP BY ref""")
+def lens_search(g: Bound) -> DataFrame:
+    """A lens of the clauses that search and that name a sub-graph."""
+    found = lens.selections(SEARCH, {"task": TASK}, verbs(prepared(g)))
+    n = g.nodes.select(F.col("id").alias("ref"), "label")
+    return lens.union_refs(found).join(n, "ref", "left").select("ref", "clause", "label")
+
+
 @query(_LENS + " SELECT clause, verb, count(*) AS selected FROM picked GROUP BY clause, verb")
 def lens_clause_counts(g: Bound) -> DataFrame:
     return lens.clause_counts(selected(g))

@@ -19,12 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def version(spark: SparkSession, paths: list[str]) -> str:
-    """A digest of the names, sizes and times of the files at these paths."""
+    """A digest of the names, sizes and times of all files below these paths, however deep."""
     jvm, conf, seen = spark._jvm, spark._jsc.hadoopConfiguration(), hashlib.md5()
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
-        for f in at.getFileSystem(conf).listStatus(at):
-            seen.update(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}\n".encode())
+        files, found = at.getFileSystem(conf).listFiles(at, True), []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}\n")
+        seen.update("".join(sorted(found)).encode())
     return seen.hexdigest()
 
 
