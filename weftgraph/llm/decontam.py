@@ -2,8 +2,10 @@
 
 Texts are normalised byte by byte (A-Z lowered, every other ASCII non-word byte a space), then words are joined by
 one space, so the position of a match gives the words that it covers, and these have their places in the original.
-The automaton is built in each worker from the broadcast items.  Benchmarks are small, and this is checked: items
-are dealt into blocks of at most BLOCK_CHARS characters, each with its own automaton and its own pass.
+The automaton is built once in each worker from the broadcast items.  Benchmarks are small, and this is checked: items
+are dealt into blocks of at most BLOCK_CHARS characters, each with its own automaton and its own pass, and passes are cut
+from each other by a checkpoint, so that a worker holds one automaton.  A block of random words, whose windows share
+nothing, makes one of about 470 MB; real text shares beginnings and needs less.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.arrow import map_columns, picked, slices
+from weftgraph.llm.arrow import map_columns, picked, slices, use_checkpoints
 
 WINDOW = 10
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 1_000_000  # of items; their windows repeat each word up to WINDOW times in the automaton
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -61,6 +63,18 @@ class Windows:
         return len(words), spans, items
 
 
+_WINDOWS: dict[int, Windows] = {}
+
+
+def _windows(shared) -> Windows:
+    """The automaton of a broadcast block, built once in a worker; only the last one stays."""
+    key = shared.id if hasattr(shared, "id") else hash(tuple(shared.value))
+    if key not in _WINDOWS:
+        _WINDOWS.clear()
+        _WINDOWS[key] = Windows(shared.value)
+    return _WINDOWS[key]
+
+
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of ranges as sorted disjoint ranges."""
     out: list[list[int]] = []
@@ -104,7 +118,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
     def scanner(shared, last: bool):
         def start():
-            windows = Windows(shared.value)
+            windows = _windows(shared)
 
             def work(ids, texts, *before):
                 """before: the word ranges and items that earlier blocks found."""
@@ -129,6 +143,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     shapes = {False: f"`{text_col}` string, ranges {spans}, items array<string>", True: f"n_words long, n_hit long, items array<string>, char_spans {spans}"}
     for shared, last in _blocks(benchmark, item_col, item_text_col):
         found = map_columns(found, f"`{id_col}` {kind}, {shapes[last]}", scanner(shared, last))
+        if not last:
+            use_checkpoints(docs.sparkSession)
+            found = found.checkpoint()
     return found
 
 
@@ -137,13 +154,16 @@ def _structs(ranges: list[tuple[int, int]]) -> list[dict]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs."""
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs.
+
+    Null texts have no words and hold nothing; rows with a null id are judged and repeated rows stay, as in find_hits().
+    """
     found = find_hits(docs, benchmark, id_col, text_col)
     return found.select(F.col(f"`{id_col}`"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a window of a test item; all columns stay and the text is scanned once, in place.
+    """docs without the rows that hold a window of a test item; all columns stay and the text is scanned in place, once for each block of items.
 
     Null and wordless texts stay, as rows with a null id do; equal texts stay or go together; without items all stay.
     """
@@ -151,12 +171,15 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     def keeper(shared):
         def run(batches):
-            windows = Windows(shared.value)
+            windows = _windows(shared)
             for batch in (part for whole in batches for part in slices(whole, 3_000_000)):
                 yield batch.filter(pa.array([not windows.scan(t)[1] for t in batch.column(at).to_pylist()], pa.bool_()))
 
         return run
 
-    for shared, _ in _blocks(benchmark, "item_id", "text"):
+    for shared, last in _blocks(benchmark, "item_id", "text"):
         docs = docs.mapInArrow(keeper(shared), out)
+        if not last:
+            use_checkpoints(docs.sparkSession)
+            docs = docs.checkpoint()
     return docs
