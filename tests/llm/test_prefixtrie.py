@@ -110,3 +110,12 @@ def test_conversation_without_turns_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert prefixtrie.trie(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_sql_gives_the_same_rows(sf_dir):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
+    rows = db.execute(queries.ORACLE_SQL["op13_prefix_trie"]).fetchall()
+    assert sorted([tuple(-(10**9) if x is None else x for x in r) for r in rows]) == brute(db.execute("select conv_id, turn, role, text from conversations").fetchall())

@@ -153,3 +153,12 @@ def test_one_conversation_beyond_memory(spark, monkeypatch):
 @pytest.mark.parametrize("f", [turnrepair.report, turnrepair.repaired])
 def test_empty_table(spark, f):
     assert f(turnrepair.damage(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_sql_gives_the_same_rows(sf_dir):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
+    rows = db.execute(queries.ORACLE_SQL["op11_conversation_repair"]).fetchall()
+    assert sorted(rows, key=str) == brute(db.execute("select conv_id, turn, role, text from conversations").fetchall())

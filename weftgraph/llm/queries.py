@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, htmltext, langid, lengths, linededup, prefixtrie, quality, secrets, simhash, substring, tokenfiles, turnrepair
+from weftgraph.llm import bpe, conversation_sql, decontam, htmltext, langid, lengths, linededup, prefixtrie, quality, secrets, simhash, substring, tokenfiles, turnrepair
 
 TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -97,5 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: op1-op6 and op8-op13 are not SQL (XXH64, CRC-32, tokenizers, trained models, automata); tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": linededup.ORACLE_SQL}
+#: op1-op6, op8-op10 and op12 are not SQL (XXH64, tokenizers, trained models, automata); tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": linededup.ORACLE_SQL,
+    "op11_conversation_repair": conversation_sql.CONVERSATION_REPAIR,
+    "op13_prefix_trie": conversation_sql.PREFIX_TRIE,
+}
