@@ -9,7 +9,7 @@ OPERATION = "verb string, ts double, session string, actor string, args string"
 
 
 def write_journal(ops: DataFrame, folder: str, order: str = "seq", segments: int | None = None) -> None:
-    """Write (verb, ts, session, actor, args: a struct, map or JSON text) as segments whose names sort in the order of the log."""
+    """Write (verb, ts, session, actor, args: a struct, map or JSON text) as segments (below 100,000) whose names sort in the order of the log."""
     dealt = ops.repartitionByRange(segments, order) if segments else ops.repartitionByRange(order)
     fields = [c for c in ("verb", "ts", "session", "actor", "args") if c in ops.columns]
     dealt.sortWithinPartitions(order).select(F.to_json(F.struct(*fields)).alias("value")).write.text(folder)
