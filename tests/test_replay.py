@@ -214,6 +214,9 @@ def test_stored_state_is_continued_and_only_what_is_new_is_read(spark, tmp_path)
     assert replay.stored_offsets(spark, folder) == [120, 199]
     assert views(replay.advance(spark, folder, ops.where("seq > 5000"))) == interpret(log)  # nothing new
     assert views(replay.load(spark, folder, 120)) == interpret(log[:121])
+    (tmp_path / "state" / "offset=5").mkdir()  # what a lost job left
+    replay.prune(spark, folder, 1)
+    assert [p.name for p in (tmp_path / "state").iterdir()] == ["offset=199"]
 
 
 def test_check_opened_again_is_born_superseded_and_chains_are_linear(spark):

@@ -102,7 +102,8 @@ def gate_dag(buckets: DataFrame, gates: DataFrame) -> DataFrame:
 def transitive_blockers(unmet: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(item_id, blocker_id): every open item that an item waits for, directly or through others.
 
-    Paths double in every round, so the rounds are the logarithm of the longest chain.
+    Paths double in every round, so the rounds are the logarithm of the longest chain and most_rounds is out of reach.  The
+    closure itself has a row for every pair: a chain of n items gives n * n / 2 of them.
     """
     closure = unmet.select(F.concat("item_id", F.lit("")).alias("item_id"), F.concat("gate_id", F.lit("")).alias("blocker_id")).checkpoint()  # new columns: the optimiser's constraints on the old ones do not survive a checkpoint
     n = closure.count()

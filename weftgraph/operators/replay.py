@@ -294,3 +294,12 @@ def advance(spark: SparkSession, folder: str, ops: DataFrame, upto: int | None =
         getattr(state, k).write.mode("overwrite").parquet(f"{folder}/offset={end}/{k}")
     spark.range(1).write.mode("overwrite").parquet(f"{folder}/offset={end}/complete")
     return load(spark, folder, end)
+
+
+def prune(spark: SparkSession, folder: str, keep: int = 2) -> None:
+    """Delete all but the newest complete states in a folder, and unfinished ones older than these."""
+    jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs, kept = at.getFileSystem(spark._jsc.hadoopConfiguration()), stored_offsets(spark, folder)[-max(keep, 1) :]
+    for f in fs.listStatus(at) if kept else ():
+        if int(f.getPath().getName().split("=")[1]) < kept[0]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f.getPath().toString()), True)
