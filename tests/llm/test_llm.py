@@ -257,4 +257,4 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_queries_are_named():
-    assert [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES] == list(range(1, 14))
