@@ -279,3 +279,10 @@ def test_segments_in_append_order_for_any_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     r = journal.with_arguments(got, ("value", "actor")).where("seq = 3").first()
     assert (r.value, r.actor) == ("vvv", "inner")
+
+
+def test_a_text_of_very_many_sections(spark):
+    notes = spark.createDataFrame([("a", "x\n\n" * 20_000), ("b", "## H\n" * 5_000)], "id string, text string")
+    found = corpus.sections(notes)
+    assert found.where("note_id = 'a'").count() == 20_000 and found.where("anchor = 'section-20000' and ord = 19999").count() == 1
+    assert found.where("note_id = 'b' and anchor like 'h%'").count() == 5_000

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.model import stable_id
@@ -14,31 +14,37 @@ UNTITLED = "section"
 REFERENCE = "\\[\\[([^\\]|#\\n]+)[^\\]\\n]*\\]\\]"
 
 
-def sections_sql(text: str) -> str:
-    """As sections_of(), as the text of an SQL expression."""
-    raws = f"filter(split(coalesce({text}, ''), r'{BOUNDARY}'), x -> x <> '')"
-    slug = "trim('-' from regexp_replace(lower(regexp_extract(raw, r'^#{1,6} ([^\\n]*)', 1)), '[^a-z0-9]+', '-'))"
-    named = f"transform({raws}, raw -> named_struct('a', coalesce(nullif({slug}, ''), '{UNTITLED}'), 'raw', raw))"
-    # Each section takes the number of its anchor so far: seen counts the anchors, out collects the sections.
-    n = "coalesce(try_element_at(acc.seen, x.a), 0) + 1"
-    section = f"named_struct('ord', size(acc.out), 'anchor', if({n} = 1, x.a, concat(x.a, '-', {n})), 'raw', x.raw)"
-    start = "named_struct('seen', cast(map() as map<string,int>), 'out', cast(array() as array<struct<ord:int,anchor:string,raw:string>>))"
-    step = f"named_struct('seen', map_concat(map_filter(acc.seen, (k, v) -> k <> x.a), map(x.a, {n})), 'out', array_append(acc.out, {section}))"
-    return f"aggregate({named}, {start}, (acc, x) -> {step}, acc -> acc.out)"
+def _pieces(text: str) -> str:
+    """SQL text: the parts of a text, cut before headings and behind empty lines; together they are the text."""
+    return f"filter(split(coalesce({text}, ''), r'{BOUNDARY}'), x -> x <> '')"
 
 
-def sections_of(text: str) -> Column:
-    """array<struct<ord, anchor, raw>> of an SQL expression: its text cut before headings and behind empty lines; the raws together are the text.
+def _name(raw: str) -> str:
+    """SQL text: what a part is called by its heading."""
+    return f"coalesce(nullif(trim('-' from regexp_replace(lower(regexp_extract({raw}, r'^#{{1,6}} ([^\\n]*)', 1)), '[^a-z0-9]+', '-')), ''), '{UNTITLED}')"
+
+
+def first_anchor(text: str) -> str:
+    """SQL text: the anchor of the first section of a text, null if it has none."""
+    return f"if({text} <> '', {_name(f'get({_pieces(text)}, 0)')}, null)"
+
+
+def sectioned(rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    """rows, one for each section of their text, with ord, anchor and raw in place of the text.
 
     The anchor is that of the heading, or 'section' without one; the second of an anchor in a text gets -2, and so on.  A null
-    or empty text has no sections.
+    or empty text has no sections.  key tells texts apart; rows that are repeated give repeated sections.  Anchors are
+    numbered by a window over the sections, so a text of very many takes no longer than their sorting.
     """
-    return F.expr(sections_sql(text))
+    kept = [c for c in rows.columns if c != text_col]
+    parts = rows.select(*kept, F.posexplode(F.expr(_pieces(f"`{text_col}`"))).alias("ord", "raw")).withColumn("anchor", F.expr(_name("raw")))
+    nth = F.dense_rank().over(Window.partitionBy(key, "anchor").orderBy("ord"))
+    return parts.withColumn("_nth", nth).withColumn("anchor", F.when(F.col("_nth") == 1, F.col("anchor")).otherwise(F.concat_ws("-", "anchor", "_nth"))).drop("_nth")
 
 
 def sections(notes: DataFrame, text_col: str = "text") -> DataFrame:
-    """(note_id, ord, anchor, raw) of notes (id, text)."""
-    return notes.select(F.col("id").alias("note_id"), F.explode(sections_of(f"`{text_col}`")).alias("s")).select("note_id", "s.ord", "s.anchor", "s.raw")
+    """(note_id, ord, anchor, raw) of notes (id, text); the raws of a note in order are its text."""
+    return sectioned(notes.select(F.col("id").alias("note_id"), F.col(f"`{text_col}`").alias("text")), "note_id", "text").select("note_id", "ord", "anchor", "raw")
 
 
 def references(notes: DataFrame, aliases: DataFrame, text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import term_slug
 from weftgraph.model import stable_id
-from weftgraph.operators.corpus import sections_sql
+from weftgraph.operators.corpus import first_anchor, sectioned
 from weftgraph.operators.facts import rank
 
 GENESIS = 1 << 50
@@ -84,7 +84,12 @@ def _id_of(name: Column) -> Column:
     return F.when(name.rlike(FULL_ID), name).otherwise(stable_id("Entity", term_slug(name)))
 
 
-_ADDED = f"element_at({sections_sql('text')}, 1).anchor"
+_ADDED = first_anchor("text")
+
+
+def _note_sections(ops: DataFrame) -> DataFrame:
+    """(o, ts, key, ord, anchor, raw) of the sections of new notes."""
+    return sectioned(ops.where("verb = 'new-note'").select("o", "ts", "key", "text"), "o", "text")
 
 
 def _node_rows(ops: DataFrame, said: DataFrame) -> DataFrame:
@@ -93,9 +98,8 @@ def _node_rows(ops: DataFrame, said: DataFrame) -> DataFrame:
     once = {"title": "title", "title_at": "if(title is not null, -o, null)"}  # the first title stays
     section = lambda anchor: _uid("'Section'", "key", anchor)
     message = _uid("'Message'", "subject")
-    sections = f"transform({sections_sql('text')}, s -> {new(section('s.anchor'), 'Section', key=chr(96) + 'key' + chr(96) + ' || ' + repr('#') + ' || s.anchor', text='s.raw')})"
     by_verb = {
-        ("new-note",): f"concat(array({new(_uid(repr('Note'), 'key'), 'Note', key='key')}), {sections})",
+        ("new-note",): f"array({new(_uid(repr('Note'), 'key'), 'Note', key='key')})",
         ("decide",): f"array({new(_uid(repr('Decision'), 'text'), 'Decision', key='text', **once)})",
         ("check",): f"array({new(_uid(repr('Check'), 'source_id', 'text'), 'Check', text='text')})",
         ("section",): f"array({_row(_NODE, id=section('subject'), edited='o', edit='text')})",
@@ -105,8 +109,9 @@ def _node_rows(ops: DataFrame, said: DataFrame) -> DataFrame:
     }
     for verb, label in UPSERTS.items():
         by_verb[(verb,)] = f"array({new(_uid(repr(label), 'key'), label, key='key', edited='o', edit='text', **last)})"
+    sections = _note_sections(ops).selectExpr(f"inline(array({new(section('anchor'), 'Section', key='key || ' + repr('#') + ' || anchor', text='raw')}))")
     terms = said.where("term is not null").selectExpr(f"inline(array({_row(_NODE, id='subject_id', label=repr('Entity'), key='term', born='o', born_ts='ts')}))")
-    return _exploded(ops, by_verb).unionByName(terms)
+    return _exploded(ops, by_verb).unionByName(sections).unionByName(terms)
 
 
 def _session_rows(ops: DataFrame) -> DataFrame:
@@ -122,6 +127,7 @@ def _edge_rows(ops: DataFrame) -> DataFrame:
     section = lambda anchor: _uid("'Section'", "key", anchor)
     listed = "filter(split(coalesce(items, ''), ','), x -> x <> '')"
     decided = f"filter(array({mint(decision, repr('DECIDED_IN'), _uid(repr('Session'), 'session'))}), x -> session is not null)"
+    sections = _note_sections(ops).selectExpr(f"inline(array({mint(note, repr('HAS_SECTION'), section('anchor'), position='ord')}))")
     return _exploded(
         ops,
         {
@@ -129,12 +135,11 @@ def _edge_rows(ops: DataFrame) -> DataFrame:
             ("unlink",): f"array({_row(_EDGE, **given, unlinked='o')})",
             ("decide",): f"concat(transform({listed}, x -> {mint(decision, repr('SUPPORTED_BY'), 'x')}), {decided})",
             ("check",): f"array({mint(check, repr('CHECKS'), 'source_id')})",
-            ("new-note",): f"transform({sections_sql('text')}, s -> {mint(note, repr('HAS_SECTION'), section('s.anchor'), position='s.ord')})",
             ("add-section",): f"array({mint(note, repr('HAS_SECTION'), section(_ADDED))})",
             MESSAGE_VERBS: f"array({mint(message, repr('PART_OF'), session)}, {mint(f'if(value is null, {session}, {before})', 'if(value is null, ' + repr('STARTS_WITH') + ', ' + repr('NEXT') + ')', message)})",
             ("derive-message",): f"transform({listed}, (x, i) -> {mint(message, repr('DERIVED_FROM'), 'x', position='i')})",
         },
-    )
+    ).unionByName(sections)
 
 
 def _alias_rows(ops: DataFrame) -> DataFrame:
