@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.components import ensure_checkpoint_dir
 from weftgraph.operators.facts import top_rows
 
 
@@ -102,18 +103,26 @@ def gate_dag(buckets: DataFrame, gates: DataFrame) -> DataFrame:
 def transitive_blockers(unmet: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(item_id, blocker_id): every open item that an item waits for, directly or through others.
 
-    Paths double in every round, so the rounds are the logarithm of the longest chain and most_rounds is out of reach.  The
-    closure itself has a row for every pair: a chain of n items gives n * n / 2 of them.
+    A round knows all pairs by fewer than 2^k steps and those by exactly 2^k; going on from the second by the first finds
+    every pair of a chain once, not once for each item between.  The rounds are the logarithm of the longest chain, and
+    most_rounds is out of reach; they run on numbers of the items, which stand for the ids until the end.  The closure
+    itself has a row for every pair: a chain of n items gives n * n / 2 of them.
     """
-    closure = unmet.select(F.concat("item_id", F.lit("")).alias("item_id"), F.concat("gate_id", F.lit("")).alias("blocker_id")).checkpoint()  # new columns: the optimiser's constraints on the old ones do not survive a checkpoint
-    n = closure.count()
+    ensure_checkpoint_dir(unmet.sparkSession)
+    unmet = unmet.select("item_id", "gate_id").checkpoint()
+    number = unmet.select(F.col("item_id").alias("id")).unionAll(unmet.select("gate_id")).distinct().select("id", F.monotonically_increasing_id().alias("n")).checkpoint()  # the numbers hold from here on
+    item, gate = (number.select(F.col("id").alias(f"{k}_id"), F.col("n").alias(k)) for k in ("item", "gate"))
+    exact = unmet.join(item, "item_id").join(gate, unmet["gate_id"].eqNullSafe(gate["gate_id"])).select("item", "gate").distinct().checkpoint()
+    closure, n = exact, exact.count()
     for _ in range(most_rounds):
-        near = closure.select(F.col("item_id").alias("near"), F.col("blocker_id").alias("mid"))
-        far = closure.select(F.col("item_id").alias("mid"), F.col("blocker_id").alias("far"))
-        more = near.join(far, "mid").select("near", "far").unionAll(closure).distinct()
-        closure = more.toDF("item_id", "blocker_id").checkpoint()
+        far = exact.select(F.col("gate").alias("mid"), "item").join(exact.select(F.col("item").alias("mid"), "gate"), "mid").select("item", "gate").distinct().checkpoint()
+        if far.isEmpty():
+            break
+        on = far.select("item", F.col("gate").alias("mid")).join(closure.select(F.col("item").alias("mid"), "gate"), "mid").select("item", "gate")
+        closure, exact = closure.unionAll(far).unionAll(on).distinct().checkpoint(), far
         now = closure.count()
         if now == n:
             break
         n = now
-    return closure
+    blocker = gate.select("gate", F.col("gate_id").alias("blocker_id"))
+    return closure.join(item, "item").join(blocker, "gate").select("item_id", "blocker_id")
