@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import member_flags, name_tokens
-from weftgraph.operators.components import connected_components
+from weftgraph.operators.components import connected_components, ensure_checkpoint_dir
 
 
 def members_of(nodes: DataFrame) -> DataFrame:
@@ -108,13 +108,37 @@ def coupling_keys(members: DataFrame, call: DataFrame) -> DataFrame:
     return shared.unionAll(tokens).unionAll(direct).distinct()
 
 
+def _linked(rows: DataFrame, at: list[str]) -> DataFrame:
+    """(id, first): ids that share the columns `at`, linked through the smallest."""
+    first = rows.groupBy(*at).agg(F.min("id").alias("first"))
+    return rows.join(first, at).where("id <> first").select("id", "first").distinct()
+
+
 def coupling_components(members: DataFrame, call: DataFrame) -> DataFrame:
-    """(module_id, id, component): coupled members of a module; component is the smallest member id."""
-    keys = coupling_keys(members, call)
-    first = keys.groupBy("module_id", "key").agg(F.min("id").alias("first"))
-    links = keys.join(first, ["module_id", "key"]).where("id <> first").select("id", "first").distinct()
-    found = connected_components(links, "id", "first").select(F.col("node").alias("id"), "component")
-    return public_top(members).select("module_id", "id").join(found, "id", "left").select("module_id", "id", F.coalesce("component", "id").alias("component"))
+    """(module_id, id, component): coupled members of a module; component is the smallest member id.
+
+    Members of one name go as one, and names that share tokens form groups first; only the calls at modules of two or more
+    groups can couple any further, so only those are read.
+    """
+    ensure_checkpoint_dir(members.sparkSession)
+    p = public_top(members).select("module_id", "id", "name")
+    spoken = p.where(F.size(name_tokens(F.col("name"))) > 0).groupBy("module_id", "name").agg(F.min("id").alias("id")).where("module_id is not null").checkpoint()
+    words = spoken.select("module_id", "id", F.explode(name_tokens(F.col("name"))).alias("token"))
+    named = connected_components(_linked(words, ["module_id", "token"]), "id", "first").select(F.col("node").alias("id"), F.col("component").alias("joined"))
+    groups = spoken.join(named, "id", "left").select("module_id", "name", F.coalesce("joined", "id").alias("named"))
+    p = p.join(groups, ["module_id", "name"], "left").select("module_id", "id", F.coalesce("named", "id").alias("group")).checkpoint()
+    split = p.groupBy("module_id").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("module_id").checkpoint()
+    if split.isEmpty():
+        return p.select("module_id", "id", F.col("group").alias("component"))
+    open_members = p.join(split, "module_id", "left_semi")
+    for end in ("caller", "callee"):
+        call = call.join(split.select(F.col("module_id").alias(f"{end}_module"), F.lit(True).alias(f"{end}_open")), f"{end}_module", "left")
+    near = both_ways(call.where("caller_open or callee_open"))
+    rows = open_members.join(near, "id").select("module_id", F.col("group").alias("id"), "other").distinct().checkpoint()
+    other = open_members.select("module_id", F.col("id").alias("other"), F.col("group").alias("first"))
+    direct = rows.join(other, ["module_id", "other"]).where("id <> first").select("id", "first")
+    found = connected_components(_linked(rows, ["module_id", "other"]).unionAll(direct).distinct(), "id", "first").select(F.col("node").alias("group"), "component")
+    return p.join(found, "group", "left").select("module_id", "id", F.coalesce("component", "group").alias("component"))
 
 
 def under_split(components: DataFrame) -> DataFrame:
