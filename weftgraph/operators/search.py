@@ -47,11 +47,10 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def neighbours(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, direction, relation_type, other) of every edge at these nodes."""
-    ids = ids.select("id").distinct()
-    out = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(F.col("source_id").alias("id"), F.lit("out").alias("direction"), "relation_type", F.col("target_id").alias("other"))
-    into = edges.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(F.col("target_id").alias("id"), F.lit("in").alias("direction"), "relation_type", F.col("source_id").alias("other"))
-    return out.unionAll(into)
+    """(id, direction, relation_type, other) of every edge at these nodes; the edges are read once, each from both of its ends."""
+    end = lambda at, direction, other: F.struct(F.col(at).alias("id"), F.lit(direction).alias("direction"), F.col(other).alias("other"))
+    ends = edges.select("relation_type", F.explode(F.array(end("source_id", "out", "target_id"), end("target_id", "in", "source_id"))).alias("e"))
+    return ends.select("e.id", "e.direction", "relation_type", "e.other").join(ids.select("id"), "id", "left_semi")
 
 
 def locate(nodes: DataFrame, term: str, limit: int = 25) -> DataFrame:
