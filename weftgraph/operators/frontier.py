@@ -15,7 +15,8 @@ def gate_edges(edges: DataFrame) -> DataFrame:
 
 
 def checks_of(edges: DataFrame) -> DataFrame:
-    return edges.where("relation_type = 'CHECKS'").select(F.col("source_id").alias("check_id"), F.col("target_id").alias("item_id")).distinct()
+    """(check_id, item_id); repeats stay."""
+    return edges.where("relation_type = 'CHECKS'").select(F.col("source_id").alias("check_id"), F.col("target_id").alias("item_id"))
 
 
 def work_items(states: DataFrame, checks: DataFrame) -> DataFrame:
@@ -45,6 +46,7 @@ def classify(states: DataFrame, gates: DataFrame, checks: DataFrame) -> DataFram
 
 def dod_summary(checks: DataFrame, states: DataFrame) -> DataFrame:
     """(item_id, total, done, open): checks of each item; a check without a state is open."""
+    checks = checks.repartition("check_id").distinct()  # dealt once, for the repeats and for the join
     s = states.select(F.col("subject_id").alias("check_id"), (F.col("state") == "done").alias("ok"))
     return checks.join(s, "check_id", "left").groupBy("item_id").agg(F.count("*").alias("total"), F.count_if(F.coalesce("ok", F.lit(False))).alias("done"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("open"))
 
