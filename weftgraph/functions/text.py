@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.model import NAME_STOPWORDS, NAME_TOKEN, STOPWORDS, TEXT_FIELDS, TITLE_FIELDS
+from weftgraph.operators.components import ensure_checkpoint_dir
 
 
 def flat(text: Column) -> Column:
@@ -168,6 +169,16 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+SMALL = 100_000  # ids that may be broadcast
+
+
+def met(nodes: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """The nodes that id_col of rows names; ids that are few are sent to the nodes, so that not all nodes are dealt."""
+    ensure_checkpoint_dir(nodes.sparkSession)
+    ids = rows.select(F.col(id_col).alias("id")).distinct().checkpoint()
+    return nodes.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "id", "left_semi")
+
+
 def with_titles(rows: DataFrame, id_col: str, nodes: DataFrame, out: str, missing: str = "_missing") -> DataFrame:
     """rows with the title of the node that id_col names, null if there is none.  Titles are made after the join, of the nodes that are met; missing names a column that says whether there is none."""
     fields = nodes.select(F.col("id").alias(id_col), F.struct(*TITLE_FIELDS).alias("_node"))

@@ -16,7 +16,7 @@ def lead_structure(active: DataFrame, edges: DataFrame) -> DataFrame:
     are pins; a lock is the smallest node with the role 'lock' that is ABOUT the subject.
     """
     p = F.col("predicate")
-    single = active.where(p.isin("role", "priority") | (p.endswith("-status") & (F.length(p) > 7)))
+    single = active.where((p == "role") | (p == "priority") | p.endswith("-status")).where(p != "-status")  # in terms that are decided for a part of one predicate
     first = single.groupBy("subject_id", "predicate").agg(F.min_by("value", F.struct("asserted_at", "assertion_id")).alias("value"))
     status = p.endswith("-status")
     firsts = first.select(F.when(status, "status").otherwise(p).alias("kind"), "subject_id", F.when(status, p.substr(F.lit(1), F.length(p) - 7)).otherwise("").alias("key"), "value")
@@ -37,7 +37,7 @@ def pins(lead: DataFrame, anchors: DataFrame, nodes: DataFrame) -> DataFrame:
     parts = text.pin_target(F.col("value"))
     rows = lead.where("kind = 'pin'").join(anchors.select(F.col("anchor_id").alias("subject_id")), "subject_id", "left_semi")
     rows = rows.select(F.col("subject_id").alias("anchor_id"), F.col("key").alias("role"), parts["target"].alias("id"), parts["pin_gloss"].alias("gloss"))
-    return text.with_titles(rows, "id", nodes, "title", "missing").select("anchor_id", "role", "id", "gloss", "title", "missing")
+    return text.with_titles(rows, "id", text.met(nodes, rows, "id"), "title", "missing").select("anchor_id", "role", "id", "gloss", "title", "missing")
 
 
 def registers(lead: DataFrame, pinned: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -47,11 +47,11 @@ def registers(lead: DataFrame, pinned: DataFrame, nodes: DataFrame) -> DataFrame
     without members, or that does not resolve, gives one row without a member.
     """
     hubs = pinned.where("role = 'register'").select("anchor_id", F.col("id").alias("hub_id"), "missing")
-    slugs = nodes.where("slug is not null").select(F.col("id").alias("hub_id"), F.regexp_replace("slug", "-register$", "").alias("value"))
+    slugs = text.met(nodes, hubs, "hub_id").where("slug is not null").select(F.col("id").alias("hub_id"), F.regexp_replace("slug", "-register$", "").alias("value"))
     roles = lead.where("kind = 'role'").select("value", F.col("subject_id").alias("member_id"))
     status = lead.where("kind = 'status'").select(F.col("key").alias("value"), F.col("subject_id").alias("member_id"), F.col("value").alias("status"))
     rows = hubs.join(slugs, "hub_id", "left").join(roles, "value", "left").join(status, ["value", "member_id"], "left")
-    return text.label_ids(rows, "member_id", nodes, "member_title").select("anchor_id", "hub_id", "missing", "member_id", "member_title", "status")
+    return text.label_ids(rows, "member_id", text.met(nodes, roles, "member_id"), "member_title").select("anchor_id", "hub_id", "missing", "member_id", "member_title", "status")
 
 
 def portfolio(anchors: DataFrame, pinned: DataFrame, lead: DataFrame, filed: DataFrame, touch: DataFrame, nodes: DataFrame) -> DataFrame:

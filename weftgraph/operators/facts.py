@@ -27,9 +27,13 @@ def group_by_slot(claims: DataFrame) -> DataFrame:
 
 
 def active_claims(claims: DataFrame, supersedes: DataFrame) -> DataFrame:
-    """Claims that nothing supersedes, wherever the superseding claim is."""
-    gone = supersedes.select(F.col("superseded").alias("assertion_id")).distinct()
-    return claims.join(gone, "assertion_id", "left_anti").select(*claims.columns)
+    """Claims that nothing supersedes, wherever the superseding claim is.
+
+    A column predicate of the pairs is that of the superseded claim; a filter on it then leaves the pairs of other predicates unread.
+    """
+    gone = supersedes.withColumnRenamed("superseded", "assertion_id")
+    keys = [c for c in ("assertion_id", "predicate") if c in gone.columns]
+    return claims.join(gone.select(*keys), keys, "left_anti").select(*claims.columns)
 
 
 def active_values(active: DataFrame) -> DataFrame:
