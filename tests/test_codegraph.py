@@ -1,5 +1,8 @@
 """Components of coupled members against brute force; calls are read for modules of several groups only."""
 
+import collections
+import random
+
 from pyspark.sql import functions as F
 
 from weftgraph.operators import codegraph as cg
@@ -24,3 +27,18 @@ def test_modules_of_one_group_read_no_calls(spark):
     fails = F.raise_error(F.lit("calls were read")).cast("string")
     call = spark.range(3).select(*(fails.alias(c.split()[0]) for c in CALLS.split(", ")))
     assert {r.component for r in cg.coupling_components(members, call).collect()} == {"m0"}
+
+
+def test_pairs_of_a_module_in_many_blocks_come_once_and_unshuffled(spark):
+    rng = random.Random(3)
+    keys = {(m, f"{m}{i}", f"k{rng.randint(0, 25)}") for m in "ab" for i in range(40) for _ in range(4)}
+    keys |= {(None, "n1", "k"), (None, "n2", "k"), ("c", "c1", "one"), ("c", "c2", "other")}
+    of = collections.defaultdict(set)
+    for m, i, k in keys:
+        of[m, i].add(k)
+    want = sorted((m, a, b) for m, a in of for n, b in of if m and m == n and a < b and of[m, a] & of[n, b])
+    frame = spark.createDataFrame(sorted(keys, key=str), "module_id string, id string, key string")
+    for size in (3, 7, 512):
+        assert sorted(map(tuple, cg.coupling_pairs(frame, size).collect())) == want
+    plan = str(cg.coupling_pairs(frame)._jdf.queryExecution().executedPlan())
+    assert "hashpartitioning(a#" not in plan and "(module_id#" not in plan.split("FlatMapGroupsInArrow")[0]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import member_flags, name_tokens
@@ -100,12 +102,52 @@ def coupling_keys(members: DataFrame, call: DataFrame) -> DataFrame:
     Two members are coupled if they share a key; keys stand for pairs, so no pair of members is ever built.
     """
     p = public_top(members).select("id", "module_id", "name")
-    near = both_ways(call)
-    shared = p.join(near, "id").select("module_id", "id", F.concat(F.lit("n:"), "other").alias("key"))
+    ends = ("caller", "callee"), ("callee", "caller")
+    near = [call.where("caller <> callee").select(F.col(x).alias("id"), F.col(y).alias("other"), F.col(f"{x}_module").alias("module_id"), F.col(f"{y}_module").alias("m2")) for x, y in ends]
+    near = near[0].unionAll(near[1]).join(p.select("id"), "id", "left_semi")  # calls both ways may repeat a row; the keys are made distinct below
+    shared = near.select("module_id", "id", F.concat(F.lit("n:"), "other").alias("key"))
     tokens = p.select("module_id", "id", F.explode(name_tokens(F.col("name"))).alias("t")).select("module_id", "id", F.concat(F.lit("t:"), "t").alias("key"))
-    direct = p.join(near, "id").join(p.select(F.col("id").alias("other"), F.col("module_id").alias("m2")), "other").where("module_id = m2")
+    direct = near.where("module_id = m2").join(p.select(F.col("id").alias("other")), "other", "left_semi")
     direct = direct.select("module_id", "id", F.concat(F.lit("d:"), F.least("id", "other"), F.lit("|"), F.greatest("id", "other")).alias("key"))
-    return shared.unionAll(tokens).unionAll(direct).distinct()
+    return shared.unionAll(tokens).unionAll(direct).repartition("module_id", "key").distinct()  # dealt as the keys meet
+
+
+BLOCK = 512  # members of a module that meet as many others at once
+
+
+def _block_pairs(table: pa.Table) -> pa.Table:
+    """(module_id, a, b) of members that share a key: two blocks of one module, or one block with itself."""
+    ids, who = np.unique(np.array(table.column("id").to_pylist(), object), return_inverse=True)
+    _, key = np.unique(np.array(table.column("key").to_pylist(), object), return_inverse=True)
+    block = np.empty(len(ids), np.int64)
+    block[who] = table.column("block").to_numpy()
+    order = np.argsort(key, kind="stable")
+    coupled = np.zeros((len(ids), len(ids)), bool)
+    for group in np.split(who[order], np.flatnonzero(np.diff(key[order])) + 1):
+        if len(group) > 1:
+            coupled[np.ix_(group, group)] = True
+    if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
+        coupled &= block[:, None] != block[None, :]
+    a, b = np.nonzero(np.triu(coupled, 1))
+    names = pa.array(ids.tolist(), pa.string())
+    return pa.table({"module_id": pa.repeat(pa.scalar(table.column("module_id")[0].as_py(), pa.string()), len(a)), "a": names.take(pa.array(a)), "b": names.take(pa.array(b))})
+
+
+def coupling_pairs(keys: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(module_id, a, b), a < b: members that share a key (module_id, id, key), each pair once.
+
+    A module's members are dealt to blocks of about `size`, and every two blocks meet in one place, where a pair is found once
+    however many keys it shares: keys are shuffled, once for each block of their module, but pairs never are.
+    """
+    by_key = Window.partitionBy("module_id", "key")
+    shared = keys.where("module_id is not null").withColumn("n", F.count("*").over(by_key)).where("n > 1").drop("n")
+    ensure_checkpoint_dir(keys.sparkSession)
+    shared = shared.checkpoint()  # read for the sizes too
+    blocks = shared.select("module_id", "id").distinct().groupBy("module_id").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    rows = shared.join(blocks, "module_id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    met = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    met = met.select("module_id", "id", "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return met.groupBy("module_id", "lo", "hi").applyInArrow(_block_pairs, "module_id string, a string, b string")
 
 
 def _linked(rows: DataFrame, at: list[str]) -> DataFrame:
