@@ -95,10 +95,14 @@ def lens_apply(g: Bound) -> DataFrame:
 grown AS (SELECT id FROM known UNION SELECT n.id FROM edges e JOIN known k ON e.source_id = k.id JOIN nodes n ON n.id = e.target_id WHERE e.relation_type = 'PART_OF' UNION SELECT n.id FROM edges e JOIN known k ON e.target_id = k.id JOIN nodes n ON n.id = e.source_id WHERE e.relation_type = 'PART_OF')
 SELECT source_id, relation_type, target_id FROM edges WHERE source_id IN (SELECT id FROM grown) AND target_id IN (SELECT id FROM grown)""")
 def lens_edges(g: Bound) -> DataFrame:
-    refs = lens.union_refs(selected(g)).select(F.col("ref").alias("id"))
-    seeds = refs.join(g.nodes.select("id"), "id", "left_semi")
-    members = traverse.subgraph_members(seeds, g.edges, SPEC["expand"]["hops"], SPEC["expand"]["relations"])
-    return traverse.subgraph_edges(members.join(g.nodes.select("id"), "id", "left_semi"), g.edges)
+    refs = lens.union_refs(selected(g)).select(F.col("ref").alias("id")).checkpoint()  # read for the nodes twice
+    nodes = g.nodes.select("id", "label")
+    seeds = traverse.among(nodes, refs).checkpoint()
+    reached = traverse.subgraph_members(seeds, g.edges, SPEC["expand"]["hops"], SPEC["expand"]["relations"]).where("expanded")
+    members = seeds.unionAll(traverse.among(nodes, reached.select("id"))).checkpoint()
+    labels = [r.label for r in members.select("label").distinct().collect()]  # as many as there are kinds of nodes
+    edges = g.labelled_edges.where(F.col("source_label").isin(labels) & F.col("target_label").isin(labels))
+    return traverse.subgraph_edges(members, edges)
 
 
 #: What a search finds, and a fixed sub-graph: the nations of the bound graph by id, and one that is gone.
