@@ -8,13 +8,16 @@ in one of 32 tables with 0.98 (0.999 at 0.85).  Colliding pairs are deduplicated
 shingles before they count as links.
 
 As in simhash.py, variants are written out where they meet: a text goes, packed with others, to the buckets of the
-low bits of its variants.  Within a variant's group every member is linked to the group's head (the smallest hash,
-so heads agree across groups), or to the member before it if the head is too far, never to all.
+low bits of its variants.  In a first round every member of a variant meets its head (the smallest hash, so heads agree
+across groups), or the member before it if the head is too far.  Texts with a meeting left out meet again in a second
+round: there all pairs of a variant that the links of the first have not brought into one component are verified.  So
+the components are those of all pairs of all variants.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,13 +121,17 @@ def _prints(rows: DataFrame) -> DataFrame:
 
 
 def _packed(classes: DataFrame, k: int) -> DataFrame:
-    """(bucket, members binary): the keys, fingerprints and check words of a batch's texts for each table and low k bits of a variant."""
+    """(bucket, members binary): the keys, fingerprints and check words of a batch's texts for each table and low k bits of a variant.
+
+    Of classes with a column root, the roots stand between the check words and the fingerprints.
+    """
     low = np.uint32((1 << k) - 1)
     flips = np.array([0, *(1 << i for i in range(k))], np.uint32)
 
     def start():
-        def work(keys, prints):
+        def work(keys, prints, *roots):
             key = np.array(keys, np.int64)
+            root = [np.array(r, np.int64) for r in roots]
             bands = np.frombuffer(b"".join(prints), np.uint32).reshape(-1, TABLES)
             words = np.frombuffer(b"".join(prints), np.uint64).reshape(-1, _WORDS)
             buckets, members = [], []
@@ -138,12 +145,13 @@ def _packed(classes: DataFrame, k: int) -> DataFrame:
                 for a, b in zip(cuts, np.r_[cuts[1:], len(to)], strict=True):
                     own = who[a:b]
                     buckets.append(t << k | int(to[a]))
-                    members.append(key[own].tobytes() + check[own].tobytes() + bands[own, t].tobytes())
+                    members.append(b"".join(x.tobytes() for x in (key[own], check[own], *(r[own] for r in root), bands[own, t])))
             return [buckets, members]
 
         return work
 
-    return map_columns(classes.select("key", "print"), "bucket long, members binary", start, size=8_000_000)
+    columns = [c for c in ("key", "print", "root") if c in classes.columns]
+    return map_columns(classes.select(*columns), "bucket long, members binary", start, size=8_000_000)
 
 
 def _ball(band: np.ndarray, bucket: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +162,15 @@ def _ball(band: np.ndarray, bucket: int, k: int) -> tuple[np.ndarray, np.ndarray
     return np.r_[(band[own][:, None] ^ masks[None, :]).ravel(), band[one] ^ away[one]], np.r_[np.repeat(own, len(masks)), one]
 
 
-def _meetings(band: np.ndarray, check: np.ndarray, bucket: int, k: int, at: np.ndarray):
-    """Pairs (smaller, larger) of places that meet in a bucket and pass the check; a full bucket is halved."""
+def _meetings(band: np.ndarray, check: np.ndarray, bucket: int, k: int, at: np.ndarray, rest: list[np.ndarray] | None = None):
+    """Pairs (smaller, larger) of places that meet in a bucket and pass the check; a full bucket is halved.
+
+    rest takes the places of variants with pairs left out: those of three members or more.
+    """
     if len(at) * (BAND + 1 - k) > MOST_VARIANTS and k < BAND:
         for half in (bucket, bucket | 1 << k):
             away = (band[at] & np.uint32((1 << k + 1) - 1)) ^ np.uint32(half)
-            yield from _meetings(band, check, half, k + 1, at[np.bitwise_count(away) <= 1])
+            yield from _meetings(band, check, half, k + 1, at[np.bitwise_count(away) <= 1], rest)
         return
     variant, owner = _ball(band[at], bucket, k)
     owner = at[owner]
@@ -167,7 +178,10 @@ def _meetings(band: np.ndarray, check: np.ndarray, bucket: int, k: int, at: np.n
     variant, owner = variant[order], owner[order]
     new = np.r_[True, variant[1:] != variant[:-1]] if len(variant) else np.empty(0, bool)
     heads = np.flatnonzero(new)
-    head = np.repeat(owner[heads], np.diff(np.r_[heads, len(owner)]))
+    sizes = np.diff(np.r_[heads, len(owner)])
+    head = np.repeat(owner[heads], sizes)
+    if rest is not None:
+        rest.append(np.unique(owner[np.repeat(sizes, sizes) > 2]))
     near = lambda a, b: np.bitwise_count(check[a] ^ check[b]) <= CHECK_BITS
     member = ~new
     passed = member & near(head, owner)
@@ -178,26 +192,83 @@ def _meetings(band: np.ndarray, check: np.ndarray, bucket: int, k: int, at: np.n
     yield np.stack([before[chained], owner[missed][chained]])
 
 
+def _across(band: np.ndarray, check: np.ndarray, root: np.ndarray, bucket: int, k: int, at: np.ndarray) -> Iterator[np.ndarray]:
+    """All pairs of places of different roots that meet in a bucket and pass the check, some millions at a time; a full bucket is halved."""
+    if len(at) * (BAND + 1 - k) > MOST_VARIANTS and k < BAND:
+        for half in (bucket, bucket | 1 << k):
+            away = (band[at] & np.uint32((1 << k + 1) - 1)) ^ np.uint32(half)
+            yield from _across(band, check, root, half, k + 1, at[np.bitwise_count(away) <= 1])
+        return
+    variant, owner = _ball(band[at], bucket, k)
+    owner = at[owner]
+    order = np.lexsort((root[owner], variant))
+    variant, owner = variant[order], owner[order]
+    n, of = len(owner), root[owner]
+    new = np.r_[True, variant[1:] != variant[:-1]] if n else np.empty(0, bool)
+    other = new | np.r_[True, of[1:] != of[:-1]] if n else new
+    end = lambda starts: np.r_[np.flatnonzero(starts)[1:], n][np.cumsum(starts) - 1] if n else np.empty(0, np.int64)
+    first = end(other)  # every member meets those of its variant that follow its own root's
+    count = end(new) - first
+    before = np.r_[0, np.cumsum(count)]
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(before, before[a] + MOST_VARIANTS, "right")) - 1)
+        left = np.repeat(np.arange(a, b), count[a:b])
+        right = first[left] + np.arange(len(left)) - (before[left] - before[a])
+        x, y = owner[left], owner[right]
+        near = np.bitwise_count(check[x] ^ check[y]) <= CHECK_BITS
+        yield np.unique(np.sort(np.stack([x[near], y[near]]), axis=0), axis=1)
+        a = b
+
+
+def _low_bits(n: int) -> int:
+    return max(4, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS)))
+
+
+def _members(packs: list[bytes], dtypes: tuple[type, ...]) -> list[np.ndarray]:
+    """The columns of a bucket's packed members, in the order of keys, which are the first column."""
+    width, found = sum(np.dtype(d).itemsize for d in dtypes), [[] for _ in dtypes]
+    for raw in packs:
+        m, at = len(raw) // width, 0
+        for column, d in zip(found, dtypes, strict=True):
+            column.append(np.frombuffer(raw, d, m, at))
+            at += m * np.dtype(d).itemsize
+    columns = [np.concatenate(c) for c in found]
+    order = np.argsort(columns[0])
+    return [c[order] for c in columns]
+
+
 def _pairs(classes: DataFrame, n: int) -> DataFrame:
-    """(a, b): distinct pairs of keys that meet; of the meetings in a bucket each text keeps the one with the smallest key."""
-    k = max(4, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS)))
+    """(a, b): distinct pairs of keys that meet; of the meetings in a bucket each text keeps the one with the smallest key.
+
+    A text with a meeting left out is paired with itself, too.
+    """
+    k = _low_bits(n)
 
     def meet(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py() & ((1 << k) - 1)
-        keys, checks, bands = [], [], []
-        for raw in table.column("members").to_pylist():
-            m = len(raw) // 20
-            keys.append(np.frombuffer(raw, np.int64, m))
-            checks.append(np.frombuffer(raw, np.uint64, m, 8 * m))
-            bands.append(np.frombuffer(raw, np.uint32, m, 16 * m))
-        key, check, band = np.concatenate(keys), np.concatenate(checks), np.concatenate(bands)
-        order = np.argsort(key)
-        key, check, band = key[order], check[order], band[order]
-        found = np.concatenate([np.empty((2, 0), np.int64), *_meetings(band, check, bucket, k, np.arange(len(key)))], axis=1)
+        key, check, band = _members(table.column("members").to_pylist(), (np.int64, np.uint64, np.uint32))
+        rest: list[np.ndarray] = []
+        found = np.concatenate([np.empty((2, 0), np.int64), *_meetings(band, check, bucket, k, np.arange(len(key)), rest)], axis=1)
         order = np.lexsort((found[0], found[1]))
         a, b = found[:, order]
         first = np.r_[True, b[1:] != b[:-1]] if len(b) else np.empty(0, bool)
-        return pa.table({"a": pa.array(key[a[first]], pa.int64()), "b": pa.array(key[b[first]], pa.int64())})
+        again = np.unique(np.concatenate([*rest, a[~first], b[~first]]).astype(np.int64))
+        return pa.table({"a": pa.array(key[np.r_[a[first], again]], pa.int64()), "b": pa.array(key[np.r_[b[first], again]], pa.int64())})
+
+    return _packed(classes, k).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _pairs_across(classes: DataFrame, n: int) -> DataFrame:
+    """(a, b): all distinct pairs of keys with different roots that meet; classes (key, print, root)."""
+    k = _low_bits(n)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        bucket = table.column("bucket")[0].as_py() & ((1 << k) - 1)
+        key, check, root, band = _members(table.column("members").to_pylist(), (np.int64, np.uint64, np.int64, np.uint32))
+        for a, b in _across(band, check, root, bucket, k, np.arange(len(key))):
+            yield pa.RecordBatch.from_arrays([pa.array(key[a], pa.int64()), pa.array(key[b], pa.int64())], ["a", "b"])
 
     return _packed(classes, k).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
@@ -245,14 +316,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash")).alias("row"), F.col(f"`{text_col}`").alias("text"))
     prints = _prints(rows).checkpoint()
     classes = prints.groupBy("key").agg(F.min("row").alias("row"), F.min("print").alias("print")).checkpoint()
-    pairs = _pairs(classes, classes.count()).checkpoint()
-    # Shingles are made again of one row of each text that is in a pair.
-    ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    needed = classes.select("key", "row").join(ends, "key", "left_semi").checkpoint()
-    few = needed.count() <= SMALL
-    sets = _sets(rows.join(F.broadcast(needed) if few else needed, "row").dropDuplicates(["key"])).checkpoint()
-    links = _verified(pairs, sets, least).checkpoint()
-    roots = connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("root"))
+    met = _pairs(classes, classes.count()).checkpoint()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        # Shingles are made again of one row of each text that is in a pair.
+        ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
+        needed = classes.select("key", "row").join(ends, "key", "left_semi").checkpoint()
+        few = needed.count() <= SMALL
+        sets = _sets(rows.join(F.broadcast(needed) if few else needed, "row").dropDuplicates(["key"])).checkpoint()
+        return _verified(pairs, sets, least).checkpoint()
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("root"))
+
+    pairs = met.where("a <> b")
+    links = verified(pairs)
+    roots = rooted(links)
+    again = met.where("a = b").select(F.col("a").alias("key"))
+    left = classes.select("key", "print").join(again, "key").join(roots, "key", "left").select("key", "print", F.coalesce("root", "key").alias("root")).checkpoint()
+    more = _pairs_across(left, left.count()).join(pairs, ["a", "b"], "left_anti").checkpoint()
+    if not more.isEmpty():
+        roots = rooted(links.unionAll(verified(more)))
     grouped = classes.select("key", F.col("row.id").alias("id")).join(roots, "key")
     least_of = grouped.join(grouped.groupBy("root").agg(F.min("id").alias("least")), "root").select("key", "least")
     kept = classes.join(least_of, "key", "left").select("key", F.coalesce("least", F.col("row.id")).alias("least")).checkpoint()
