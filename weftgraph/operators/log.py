@@ -156,40 +156,40 @@ def merge_properties(ops: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def active_path(messages: DataFrame, edges: DataFrame) -> DataFrame:
     """messages (session, id, source, ts) plus active: on the way from a session's first message to its latest one, along NEXT.
 
-    Composer parts are always active.  The walk goes back from every session's tip at once; each round is one join of the
-    tips' frontier, and the rounds double their reach, so a chain of n messages takes about log2(n) of them.
+    Composer parts are always active.  The walk goes back from every session's tip at once, and the rounds double their
+    reach, so a chain of n messages takes about log2(n) of them.  A round deals only messages that still have one so far
+    before them: sessions that are walked through cost nothing more, however long others are.
     """
-    transcript = messages.where("source <> 'composer'")
+    transcript = messages.where("source <> 'composer'").select("session", "id", "ts").checkpoint()
     tips = transcript.groupBy("session").agg(F.max_by("id", F.struct("ts", "id")).alias("id"))
-    known = transcript.select(F.col("id"), F.col("session"))
+    known = transcript.select("id", "session")
     nexts = edges.where("relation_type = 'NEXT'").join(known.select(F.col("id").alias("source_id"), F.col("session").alias("s1")), "source_id").join(known.select(F.col("id").alias("target_id"), F.col("session").alias("s2")), "target_id").where("s1 = s2")
-    up = nexts.groupBy(F.col("target_id").alias("node")).agg(F.max("source_id").alias("up"))
-    jump, active = up.checkpoint(), tips.select("id").checkpoint()
-    before = -1
-    while True:
-        found = active.join(jump, active["id"] == jump["node"]).select(F.col("up").alias("id"))
-        active = active.unionAll(found).distinct().checkpoint()
-        n = active.count()
-        if n == before:
+    jump = nexts.groupBy(F.col("target_id").alias("node")).agg(F.max("source_id").alias("up")).checkpoint()
+    found = walking = tips.select("id").checkpoint()
+    reach, longest = 1, transcript.count()  # no walk has more messages, not even one that comes to a cycle
+    while reach < longest:
+        steps = walking.join(jump, walking["id"] == jump["node"]).select("id", "up").checkpoint()
+        if steps.isEmpty():
             break
-        before = n
+        found = found.unionAll(steps.select("up"))
+        walking = steps.select(F.explode(F.array("id", "up")).alias("id")).distinct()
         far = jump.select("node", F.col("up").alias("mid")).join(jump.select(F.col("node").alias("mid"), "up"), "mid").select("node", "up")
-        jump = far.checkpoint()
-        if jump.isEmpty():
-            break
+        jump, reach = far.checkpoint(), reach * 2
+    active = found.distinct()
     marked = messages.join(active.withColumn("on_path", F.lit(True)), "id", "left")
     return marked.withColumn("active", (F.col("source") == "composer") | F.coalesce("on_path", F.lit(False))).drop("on_path")
 
 
 def session_document(entries: DataFrame, sent: DataFrame | None = None, superseded: bool = False) -> DataFrame:
-    """(session, document, n): one text per session in the order of ts; messages off the path are left out unless asked for; sent parts are marked."""
+    """(session, document, n): one text per session in the order of ts; messages off the path are left out unless asked for; sent parts are marked, and a session without any text has none."""
     rows = entries if superseded else entries.where("active")
     if sent is not None:
-        rows = rows.join(sent.select("id", F.lit(" [sent]").alias("mark")), "id", "left")
+        rows = rows.join(sent.select("id").distinct().withColumn("mark", F.lit(" [sent]")), "id", "left")
     else:
         rows = rows.withColumn("mark", F.lit(None).cast("string"))
     part = F.concat(F.lit("## "), F.col("role"), F.coalesce("mark", F.lit("")), F.lit("\n"), F.col("text"))
-    return rows.groupBy("session").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "id", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("document"), F.count("*").alias("n"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "id", part.alias("part")))), lambda x: x["part"]), "\n\n")
+    return rows.groupBy("session").agg(F.when(F.count(part) > 0, text).alias("document"), F.count("*").alias("n"))
 
 
 def edit_fold(messages: DataFrame, edits: DataFrame) -> DataFrame:

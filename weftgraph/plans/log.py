@@ -149,7 +149,7 @@ path AS (SELECT m.*, m.source = 'composer' OR m.id IN (SELECT id FROM walk) AS a
 
 
 def path(g: Bound) -> DataFrame:
-    part_of = g.edges.where("relation_type = 'PART_OF'").select(F.col("source_id").alias("id"), F.col("target_id").alias("session"))
+    part_of = g.labelled_edges.where("relation_type = 'PART_OF' and source_label = 'Message'").select(F.col("source_id").alias("id"), F.col("target_id").alias("session"))
     m = g.nodes.where("label = 'Message'").select("id", "ts", "source", "role", "text").join(part_of, "id")
     return log.active_path(m, g.edges)
 
@@ -161,8 +161,7 @@ def active_path(g: Bound) -> DataFrame:
 
 @query(_PATH + " SELECT session, string_agg('## '||role||CASE WHEN ts = '1' THEN ' [sent]' ELSE '' END||chr(10)||text, chr(10)||chr(10) ORDER BY ts, id) AS document, count(*) AS n FROM path WHERE active GROUP BY session")
 def session_document(g: Bound) -> DataFrame:
-    rows = path(g)
-    return log.session_document(rows, rows.where("ts = '1'").select("id"))
+    return log.session_document(path(g), g.nodes.where("label = 'Message' and ts = '1'").select("id"))
 
 
 @query("SELECT key, started_at FROM (SELECT skey AS key, arg_max(ts, seq) AS started_at FROM journal WHERE verb = 'session' GROUP BY skey) ORDER BY started_at DESC, key LIMIT 3")
