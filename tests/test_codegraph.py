@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from weftgraph.bind import Bound
 from weftgraph.operators import codegraph as cg
+from weftgraph.plans import code
 
 MEMBERS = "id string, name string, module_id string, is_top boolean, is_public boolean, is_dunder boolean"
 CALLS = "caller string, callee string, caller_module string, callee_module string"
@@ -42,3 +44,18 @@ def test_pairs_of_a_module_in_many_blocks_come_once_and_unshuffled(spark):
         assert sorted(map(tuple, cg.coupling_pairs(frame, size).collect())) == want
     plan = str(cg.coupling_pairs(frame)._jdf.queryExecution().executedPlan())
     assert "hashpartitioning(a#" not in plan and "(module_id#" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_calls_are_dealt_by_natural_keys_and_tell_of_their_ends(spark, sf_dir):
+    g = Bound(spark, sf_dir)
+    plain, keyed = cg.calls(g.edges, code.members(g)), code.calls(g)
+    assert sorted(map(str, keyed.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert {"caller_public", "callee_cell"} <= set(keyed.columns)
+    deals = [line for line in str(keyed._jdf.queryExecution().executedPlan()).split("\n") if "hashpartitioning" in line]
+    assert deals and not any("md5" in line for line in deals) and dict(code.by_key(g)[1].dtypes)["caller"] == "bigint"
+
+
+def test_a_member_goes_to_a_block_once_with_all_its_shared_keys(spark):
+    keys = spark.createDataFrame([("m", i, f"k{j}") for i in ("a", "b") for j in range(5)] + [("m", "a", "own"), ("m", "c", "alone")], "module_id string, id string, key string")
+    packs = cg.packed_keys(keys).collect()
+    assert sorted((r.id, len(set(r["keys"]))) for r in packs) == [("a", 5), ("b", 5)] and set(packs[0]["keys"]) == set(packs[1]["keys"])

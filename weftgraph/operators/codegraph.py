@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import member_flags, name_tokens
@@ -38,12 +40,24 @@ def non_granular(members: DataFrame) -> DataFrame:
     return public_top(members).groupBy("module_id", "cell_key").agg(F.count("*").alias("n")).where("n > 1")
 
 
+ENDS = ("caller", "callee")
+
+
+def _public() -> Column:
+    return F.col("is_top") & F.col("is_public") & ~F.col("is_dunder")
+
+
 def calls(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(caller, callee, caller_module, callee_module, caller_repo, callee_repo) of calls between known members."""
+    """(caller, callee) of calls between known members, and of both ends _module, _repo, _cell and _public: whether it is public_top()."""
     e = edges.where(F.col("relation_type").isin("CALLS", "USES")).select(F.col("source_id").alias("caller"), F.col("target_id").alias("callee")).distinct()
-    for end in ("caller", "callee"):
-        e = e.join(members.select(F.col("id").alias(end), F.col("module_id").alias(f"{end}_module"), F.col("repo_key").alias(f"{end}_repo")), end)
-    return e
+    return _with_ends(e, members, "inner")
+
+
+def _with_ends(call: DataFrame, members: DataFrame, how: str) -> DataFrame:
+    for end in ENDS:
+        e = members.select(F.col("id").alias(end), F.col("module_id").alias(f"{end}_module"), F.col("repo_key").alias(f"{end}_repo"), F.col("cell_key").alias(f"{end}_cell"), _public().alias(f"{end}_public"))
+        call = call.join(e, end, how)
+    return call
 
 
 def relocation(members: DataFrame, call: DataFrame) -> DataFrame:
@@ -85,6 +99,18 @@ def both_ways(call: DataFrame) -> DataFrame:
     return pairs.unionAll(pairs.select("other", "id")).distinct()
 
 
+def near_public(members: DataFrame, call: DataFrame) -> DataFrame:
+    """(id, other, module_id, cell_key, other_module, other_public): callers and callees of a public top-level member, without itself; repeats stay.
+
+    calls() tell all of it; only calls that do not are joined with the members here.
+    """
+    if "caller_public" not in call.columns:
+        call = _with_ends(call.select(*ENDS), members.withColumn("repo_key", F.lit(None).cast("string")), "left")
+    side = lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("other"), F.col(f"{x}_module").alias("module_id"), F.col(f"{x}_cell").alias("cell_key"), F.col(f"{x}_public").alias("public"), F.col(f"{y}_module").alias("other_module"), F.col(f"{y}_public").alias("other_public"))
+    rows = call.where("caller <> callee").select(F.explode(F.array(side(*ENDS), side(*ENDS[::-1]))).alias("e"))  # the calls are read once
+    return rows.select("e.*").where("public").drop("public")
+
+
 def split_cells(members: DataFrame, call: DataFrame) -> DataFrame:
     """(module_id, cell_key, n): cells with two or more public members whose neighbourhoods are pairwise disjoint.
 
@@ -101,55 +127,88 @@ def coupling_keys(members: DataFrame, call: DataFrame) -> DataFrame:
 
     Two members are coupled if they share a key; keys stand for pairs, so no pair of members is ever built.
     """
-    p = public_top(members).select("id", "module_id", "name")
-    ends = ("caller", "callee"), ("callee", "caller")
-    near = [call.where("caller <> callee").select(F.col(x).alias("id"), F.col(y).alias("other"), F.col(f"{x}_module").alias("module_id"), F.col(f"{y}_module").alias("m2")) for x, y in ends]
-    near = near[0].unionAll(near[1]).join(p.select("id"), "id", "left_semi")  # calls both ways may repeat a row; the keys are made distinct below
+    p = public_top(members).select("module_id", "id", "name")
+    near = near_public(members, call)  # calls both ways may repeat a row; the keys are made distinct below
     shared = near.select("module_id", "id", F.concat(F.lit("n:"), "other").alias("key"))
     tokens = p.select("module_id", "id", F.explode(name_tokens(F.col("name"))).alias("t")).select("module_id", "id", F.concat(F.lit("t:"), "t").alias("key"))
-    direct = near.where("module_id = m2").join(p.select(F.col("id").alias("other")), "other", "left_semi")
+    direct = near.where("module_id = other_module and other_public")
     direct = direct.select("module_id", "id", F.concat(F.lit("d:"), F.least("id", "other"), F.lit("|"), F.greatest("id", "other")).alias("key"))
     return shared.unionAll(tokens).unionAll(direct).repartition("module_id", "key").distinct()  # dealt as the keys meet
 
 
-BLOCK = 512  # members of a module that meet as many others at once
+BLOCK = 8192  # members of a module that meet as many others at once
+PAIRS = 1 << 18  # pairs that a task holds before it gives them out
 
 
-def _block_pairs(table: pa.Table) -> pa.Table:
-    """(module_id, a, b) of members that share a key: two blocks of one module, or one block with itself."""
-    ids, who = np.unique(np.array(table.column("id").to_pylist(), object), return_inverse=True)
-    _, key = np.unique(np.array(table.column("key").to_pylist(), object), return_inverse=True)
-    block = np.empty(len(ids), np.int64)
-    block[who] = table.column("block").to_numpy()
-    order = np.argsort(key, kind="stable")
-    coupled = np.zeros((len(ids), len(ids)), bool)
-    for group in np.split(who[order], np.flatnonzero(np.diff(key[order])) + 1):
-        if len(group) > 1:
-            coupled[np.ix_(group, group)] = True
-    if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
-        coupled &= block[:, None] != block[None, :]
-    a, b = np.nonzero(np.triu(coupled, 1))
-    names = pa.array(ids.tolist(), pa.string())
-    return pa.table({"module_id": pa.repeat(pa.scalar(table.column("module_id")[0].as_py(), pa.string()), len(a)), "a": names.take(pa.array(a)), "b": names.take(pa.array(b))})
+def _batches(module: str, names: pa.Array, found: list) -> pa.RecordBatch:
+    a, b = (np.concatenate(side) for side in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(module, pa.string()), len(a)), names.take(pa.array(a)), names.take(pa.array(b))], ["module_id", "a", "b"])
 
 
-def coupling_pairs(keys: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(module_id, a, b), a < b: members that share a key (module_id, id, key), each pair once.
+def _block_pairs(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(module_id, a, b) of members that share a key: two blocks of one module, or one block with itself.
 
-    A module's members are dealt to blocks of about `size`, and every two blocks meet in one place, where a pair is found once
-    however many keys it shares: keys are shuffled, once for each block of their module, but pairs never are.
+    Each member marks those that its keys name, so what is held is the keys of two blocks, one row of marks and some pairs.
     """
+    module, lo, hi = (x.as_py() for x in group)
+    table = pa.Table.from_batches(list(batches)).select(["id", "block", "keys"]).combine_chunks().sort_by("id")
+    names, block = table.column("id").combine_chunks(), table.column("block").to_numpy()
+    lists = table.column("keys").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    who = np.repeat(np.arange(len(size)), size)
+    _, key = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    if lo == hi:
+        asks, order = np.arange(len(size)), np.argsort(key, kind="stable")
+    else:
+        asks, order = np.flatnonzero(block == lo), np.argsort(key, kind="stable")
+        order = order[block[who[order]] == hi]
+    members, at = who[order], np.searchsorted(key[order], np.arange(key.max(initial=-1) + 2))
+    ends = np.cumsum(size)
+    found, held, mark = [], 0, np.zeros(len(size), bool)
+    for i in asks.tolist():
+        mark[:] = False
+        for k in key[ends[i] - size[i] : ends[i]].tolist():
+            mark[members[at[k] : at[k + 1]]] = True
+        j = np.flatnonzero(mark[i + 1 :]) + (i + 1) if lo == hi else np.flatnonzero(mark)
+        if len(j):
+            found.append((np.minimum(i, j), np.maximum(i, j)))
+            held += len(j)
+        if held >= PAIRS:
+            yield _batches(module, names, found)
+            found, held = [], 0
+    if found:
+        yield _batches(module, names, found)
+
+
+def packed_keys(keys: DataFrame) -> DataFrame:
+    """(module_id, id, keys) of keys (module_id, id, key): the numbers of the keys that a member shares with another one of its module."""
     by_key = Window.partitionBy("module_id", "key")
-    shared = keys.where("module_id is not null").withColumn("n", F.count("*").over(by_key)).where("n > 1").drop("n")
+    counted = keys.where("module_id is not null").withColumn("at", F.monotonically_increasing_id()).withColumns({"n": F.count("*").over(by_key), "number": F.min("at").over(by_key)})
     ensure_checkpoint_dir(keys.sparkSession)
-    shared = shared.checkpoint()  # read for the sizes too
-    blocks = shared.select("module_id", "id").distinct().groupBy("module_id").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    rows = shared.join(blocks, "module_id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    shared = counted.where("n > 1").select("module_id", "id", "number").checkpoint()  # the numbers hold from here on
+    return shared.groupBy("module_id", "id").agg(F.collect_list("number").alias("keys"))
+
+
+def met_pairs(packs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(module_id, a, b), a < b: members (module_id, id, keys) that share a key, each pair once.
+
+    A module's members are dealt to blocks of about `size`, and every two blocks meet in one place, where a pair is found once
+    however many keys it shares: a member is shuffled once for each block of its module, with its keys, but pairs never are.
+    """
+    ensure_checkpoint_dir(packs.sparkSession)
+    packs = packs.checkpoint()  # read for the sizes too
+    blocks = packs.groupBy("module_id").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    rows = packs.join(blocks, "module_id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     met = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    met = met.select("module_id", "id", "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    met = met.select("module_id", "id", "keys", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     return met.groupBy("module_id", "lo", "hi").applyInArrow(_block_pairs, "module_id string, a string, b string")
 
 
+def coupling_pairs(keys: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(module_id, a, b), a < b: members that share a key (module_id, id, key), each pair once."""
+    return met_pairs(packed_keys(keys), size)
+
+
 def _linked(rows: DataFrame, at: list[str]) -> DataFrame:
     """(id, first): ids that share the columns `at`, linked through the smallest."""
     first = rows.groupBy(*at).agg(F.min("id").alias("first"))
