@@ -59,3 +59,16 @@ def test_a_member_goes_to_a_block_once_with_all_its_shared_keys(spark):
     keys = spark.createDataFrame([("m", i, f"k{j}") for i in ("a", "b") for j in range(5)] + [("m", "a", "own"), ("m", "c", "alone")], "module_id string, id string, key string")
     packs = cg.packed_keys(keys).collect()
     assert sorted((r.id, len(set(r["keys"]))) for r in packs) == [("a", 5), ("b", 5)] and set(packs[0]["keys"]) == set(packs[1]["keys"])
+
+
+def test_a_neighbour_of_one_member_both_ways_is_not_shared_and_ends_are_not_joined_again(spark):
+    members = spark.createDataFrame([(i, "m", c, True, True, False) for i, c in (("a", "1"), ("b", "1"), ("c", "2"), ("d", "2"))], "id string, module_id string, cell_key string, is_top boolean, is_public boolean, is_dunder boolean")
+    members = members.selectExpr("*", "'r' as repo_key")
+    edges = spark.createDataFrame([("a", "CALLS", "c"), ("c", "CALLS", "a"), ("b", "CALLS", "d"), ("c", "USES", "d"), ("d", "CALLS", "a")], "source_id string, relation_type string, target_id string")
+    call = cg.calls(edges, members)
+    found = cg.split_cells(members, call)
+    assert found.collect() == cg.split_cells(members, call.select("caller", "callee")).collect()
+    assert [(r.cell_key, r.n) for r in found.collect()] == []
+    left = cg.split_cells(members, call.where("caller <> 'd' and callee <> 'd'"))
+    assert sorted((r.cell_key, r.n) for r in left.collect()) == [("1", 2), ("2", 2)]
+    assert str(left._jdf.queryExecution().optimizedPlan()).count("Join Inner") == 2  # those of calls()

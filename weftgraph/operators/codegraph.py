@@ -114,12 +114,12 @@ def near_public(members: DataFrame, call: DataFrame) -> DataFrame:
 def split_cells(members: DataFrame, call: DataFrame) -> DataFrame:
     """(module_id, cell_key, n): cells with two or more public members whose neighbourhoods are pairwise disjoint.
 
-    They are disjoint exactly if no neighbour is shared, which one grouping by (cell, neighbour) shows.
+    They are disjoint exactly if no neighbour is shared, which one grouping by (cell, neighbour) shows: it is if its smallest
+    and its greatest member there differ.
     """
-    p = public_top(members).select("id", "module_id", "cell_key")
-    cells = p.groupBy("module_id", "cell_key").agg(F.count("*").alias("n")).where("n >= 2")
-    shared = p.join(both_ways(call), "id").groupBy("module_id", "cell_key", "other").agg(F.count("*").alias("k")).where("k >= 2").select("module_id", "cell_key")
-    return cells.join(shared, ["module_id", "cell_key"], "left_anti")
+    cells = public_top(members).groupBy("module_id", "cell_key").agg(F.count("*").alias("n")).where("n >= 2")
+    met = near_public(members, call).groupBy("module_id", "cell_key", "other").agg(F.min("id").alias("least"), F.max("id").alias("greatest"))
+    return cells.join(met.where("least <> greatest").select("module_id", "cell_key"), ["module_id", "cell_key"], "left_anti")
 
 
 def coupling_keys(members: DataFrame, call: DataFrame) -> DataFrame:
