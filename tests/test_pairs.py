@@ -37,3 +37,20 @@ def test_texts_of_unlike_weight_are_no_candidates(spark):
     assert met == {(a, b) for a in range(30) for b in range(a + 1, 30) if (5 + 20 * a) >= LEAST * math.sqrt((5 + 20 * a) * (5 + 20 * b))}
     late = index.withColumn("low", F.lit(4.0))  # nothing is left to share below the token
     assert audit.candidate_pairs(late, LEAST).count() == 0
+
+
+def test_entries_number_tokens_densely_and_hold_their_texts(spark):
+    rows = spark.createDataFrame([(f"t{i % 50}",) for i in range(125)], "token string").repartition(3)
+    found = audit.token_entries(rows, 200).collect()
+    assert sorted(r.entry // 201 for r in found) == list(range(50))
+    assert {r.token: r.entry % 201 for r in found} == {r.token: r.df for r in found} == {f"t{i}": 3 if i < 25 else 2 for i in range(50)}
+
+
+def test_rare_tokens_and_copies_give_the_same_pairs(spark, monkeypatch):
+    texts = [f"one two three four five six seven own{i % 6}" for i in range(12)] + ["one two three four five six seven own1 more1", "alone", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(audit.near_duplicate_pairs(docs, "doc_id", "text", 0.5).collect())
+    assert (1, 12) in {(r.class_a, r.class_b) for r in whole} and {r.class_a for r in whole} <= set(range(6))
+    monkeypatch.setattr(audit, "COMMON", 3)
+    pairs = audit.near_duplicate_pairs(docs, "doc_id", "text", 0.5)
+    assert sorted(pairs.collect()) == whole
