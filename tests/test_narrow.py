@@ -1,8 +1,10 @@
 """What is left out before a shuffle: parts by the labels of their ends, rows by a bitmap of ids; ids hash their key once."""
 
+from pyspark.sql import functions as F
+
 from weftgraph.bind import Bound, definitions, uid_once, uid_parts
 from weftgraph.model import stable_id
-from weftgraph.operators import traverse
+from weftgraph.operators import scan, traverse
 from weftgraph.plans.frontier import parts
 
 
@@ -43,3 +45,23 @@ def test_an_id_is_one_digest(spark):
     row = spark.range(3).selectExpr(f"{uid_parts(chr(39) + 'Order|' + chr(39) + '||id')} as want", f"{uid_once(chr(39) + 'Order|' + chr(39) + '||id')} as got", "id")
     assert all(r.want == r.got == r.own for r in row.withColumn("own", stable_id("Order", row["id"])).collect())
     assert definitions("spark")["edges"].count("md5(") * 5 == definitions("duckdb")["edges"].count("md5(")
+
+
+def test_repeats_of_rows_that_cannot_be_among_the_ids_are_not_dealt(spark):
+    rows = spark.range(1000).selectExpr("id % 100 as n").distinct().selectExpr("concat('n', n) as id")
+    left = traverse.maybe_among(rows, "id", spark.createDataFrame([("n7",), ("n8",)], "id string"))
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [n") < plan.index("LeftSemi") and {r.id for r in left.collect()} == {"n7", "n8"}
+
+
+def test_edges_that_do_not_touch_the_ids_are_not_shuffled(spark, sf_dir):
+    edges = spark.createDataFrame([("a", "R", "b"), ("b", "S", "c"), ("a", "R", "b"), ("c", "R", "a"), ("c", "R", "d"), (None, "R", "a"), ("d", "R", "d")], "source_id string, relation_type string, target_id string")
+    ids = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "id string")
+    found = scan.edges_touching(edges, ids)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, [("a", "R", "b"), ("b", "S", "c"), ("c", "R", "a"), (None, "R", "a")]))
+    assert sorted(map(tuple, scan.edges_touching(edges, ids, both=True).collect())) == [("a", "R", "b")] * 2
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("_bits") >= 2
+    g = Bound(spark, sf_dir)
+    orders = g.table("orders").where("o_orderkey % 50 = 0").select(stable_id("Order", F.col("o_orderkey")).alias("id"))
+    labelled = scan.edges_touching(g.labelled_edges, orders, label="Decision").select(*g.edges.columns)
+    assert labelled.count() > 0 and sorted(labelled.collect()) == sorted(scan.edges_touching(g.edges, orders).collect())

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import filled, first_clause, resolve_relative
 from weftgraph.model import EXPORT_TITLE_FIELDS, stable_id
+from weftgraph.operators.components import ensure_checkpoint_dir
+from weftgraph.operators.traverse import maybe_among
 
 
 def scan_rows(nodes: DataFrame, fields: list[str]) -> DataFrame:
@@ -56,14 +58,21 @@ def edge_pairs(edges: DataFrame, relation: str) -> DataFrame:
     return edges.where(F.col("relation_type") == relation).select("source_id", "target_id")
 
 
-def edges_touching(edges: DataFrame, ids: DataFrame, both: bool = False) -> DataFrame:
-    """Edges with an end (or both ends) in a set of ids."""
-    ids = ids.select("id").distinct()
-    by_source = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+def edges_touching(edges: DataFrame, ids: DataFrame, both: bool = False, label: str | None = None) -> DataFrame:
+    """Edges with an end (or both ends) in a set of ids; only what may have such an end is shuffled.
+
+    label is that of all nodes of the ids: edges with source_label and target_label are then read where an end has it.
+    """
+    ensure_checkpoint_dir(ids.sparkSession)
+    ids = ids.select("id").distinct().checkpoint()  # read for both ends
+
+    def at(rows: DataFrame, end: str) -> DataFrame:
+        rows = rows if label is None else rows.where(F.col(f"{end}_label") == label)
+        return maybe_among(rows, f"{end}_id", ids).join(ids.withColumnRenamed("id", f"{end}_id"), f"{end}_id").select(*edges.columns)
+
     if both:
-        return by_source.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(*edges.columns)
-    by_target = edges.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    return by_source.select(*edges.columns).union(by_target.select(*edges.columns)).distinct()
+        return at(at(edges, "source"), "target")
+    return at(edges, "source").union(at(edges, "target")).distinct()
 
 
 def schema(nodes: DataFrame, edges: DataFrame) -> DataFrame:

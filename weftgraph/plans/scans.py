@@ -58,7 +58,7 @@ def edge_pairs(g: Bound) -> DataFrame:
 
 @query(f"s AS ({_IDS}) SELECT source_id, relation_type, target_id FROM edges WHERE source_id IN (SELECT id FROM s) OR target_id IN (SELECT id FROM s)")
 def edges_touching(g: Bound) -> DataFrame:
-    return scan.edges_touching(g.edges, _some_ids(g)).select("source_id", "relation_type", "target_id")
+    return scan.edges_touching(g.labelled_edges, _some_ids(g), label="Decision").select("source_id", "relation_type", "target_id")
 
 
 @query("SELECT 'label' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'relation', relation_type, count(*) FROM edges GROUP BY relation_type")
