@@ -47,3 +47,11 @@ def test_checks_are_dealt_once(spark):
     assert sorted(map(tuple, out.collect())) == [("i1", 2, 1, 1), ("i2", 1, 1, 0)]
     plan = re.sub(r"#\d+", "", str(out._jdf.queryExecution().executedPlan()))
     assert "hashpartitioning(check_id, item_id" not in plan and "hashpartitioning(check_id," in plan
+
+
+def test_only_nodes_that_subjects_may_name_are_dealt(spark):
+    nodes = spark.createDataFrame([("aaaaaaaa-0000-0000-0000-000000000001",), ("aaaaaaaa-0000-0000-0000-000000000001",), ("abcdef00-0000-0000-0000-000000000002",), ("abcdef11-0000-0000-0000-000000000003",)], "id string")
+    subjects = spark.createDataFrame([("aaaaaaaa-0000-0000-0000-000000000001",), ("ABCDEF0",), ("abcdef",), ("abcdefff",), ("new",), ("new",)], "subject string")
+    found = facts.resolve_subjects(subjects, nodes, spark.createDataFrame([], "name string, id string"))
+    assert sorted((r.subject, r.outcome) for r in found.collect()) == [("ABCDEF0", "prefix"), ("aaaaaaaa-0000-0000-0000-000000000001", "id"), ("abcdef", "ambiguous"), ("abcdefff", "unresolved"), ("new", "minted")]
+    assert "_bits" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.text import semver, term_slug, version_part
 from weftgraph.model import stable_id
 from weftgraph.operators.components import ensure_checkpoint_dir
+from weftgraph.operators.traverse import maybe_among
 
 
 def canonical(value: Column) -> Column:
@@ -100,12 +101,16 @@ def resolve_subjects(subjects: DataFrame, nodes: DataFrame, aliases: DataFrame)
 
     A prefix is looked up by its first six characters, which is an equi-join whatever its length.
     """
-    s = subjects.select("subject").distinct()
+    ensure_checkpoint_dir(subjects.sparkSession)
+    s = subjects.select("subject").distinct().checkpoint()  # read for the nodes that it may name, exactly or by a prefix
     ids = nodes.select("id")
-    exact = s.join(ids, s["subject"] == ids["id"], "left_semi").select("subject", F.lit("id").alias("outcome"), F.col("subject").alias("id"))
-    rest = s.join(exact.select("subject"), "subject", "left_anti")
+    known = maybe_among(ids, "id", s.select(F.col("subject").alias("id"))).distinct()
+    exact = s.join(known, s["subject"] == known["id"]).select("subject", F.lit("id").alias("outcome"), F.col("subject").alias("id")).checkpoint()
+    rest = s.join(exact.select("subject"), "subject", "left_anti").checkpoint()
     shaped = F.col("subject").rlike("^[0-9a-fA-F][0-9a-fA-F-]{5,35}$")
-    p = rest.where(shaped).withColumn("six", F.substring(F.lower("subject"), 1, 6)).join(ids.withColumn("six", F.substring("id", 1, 6)), "six").where(F.col("id").startswith(F.lower("subject")))
+    asked = rest.where(shaped).withColumn("six", F.substring(F.lower("subject"), 1, 6))
+    begun = maybe_among(ids.withColumn("six", F.substring("id", 1, 6)), "six", asked.select(F.col("six").alias("id")))
+    p = asked.join(begun, "six").where(F.col("id").startswith(F.lower("subject")))
     prefix = p.groupBy("subject").agg(F.count("*").alias("n"), F.min("id").alias("id")).select("subject", F.when(F.col("n") == 1, "prefix").otherwise("ambiguous").alias("outcome"), F.when(F.col("n") == 1, F.col("id")).alias("id"))
     left = rest.join(prefix.select("subject"), "subject", "left_anti").withColumn("name", F.lower(F.trim("subject"))).join(aliases, "name", "left")
     full = F.length("subject") == 36
@@ -156,6 +161,11 @@ def top_rows(rows: DataFrame, partition: list[str], order: list[Column], n: int,
     return rows.withColumn(rank_col, F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col(rank_col) <= n)
 
 
+def rejected_requests(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """(n, subject, predicate, value, outcome) of requests whose subject is not among what resolve_subjects() found an id for."""
+    return requests.join(found.where("id is null").select("subject", "outcome"), "subject").select("n", "subject", "predicate", "value", "outcome")
+
+
 def write_batch(requests: DataFrame, nodes: DataFrame, aliases: DataFrame, claims: DataFrame, supersedes: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(claims that are new, rejected requests) of a batch of asserted values, in one pass over the slots that it meets.
 
@@ -174,7 +184,7 @@ def write_batch(requests: DataFrame, nodes: DataFrame, aliases: DataFrame, claim
     ensure_checkpoint_dir(requests.sparkSession)
     found = resolve_subjects(requests, nodes, aliases).checkpoint()
     good = found.where("id is not null").select("subject", F.col("id").alias("subject_id"), (F.col("outcome") == "minted").alias("created_subject"))
-    rejected = requests.join(found.where("id is null").select("subject", "outcome"), "subject").select("n", "subject", "predicate", "value", "outcome")
+    rejected = rejected_requests(requests, found)
     c = F.col
     new = requests.join(good, "subject").select(
         "n", "subject_id", "predicate", "value", "actor", "asserted_at", "supersede", "created_subject",
@@ -182,9 +192,11 @@ def write_batch(requests: DataFrame, nodes: DataFrame, aliases: DataFrame, claim
         stable_id(c("subject_id"), c("predicate")).alias("slot_id"),
     )
     new = new.groupBy("assertion_id").agg(F.min_by(F.struct(*(x for x in new.columns if x != "assertion_id")), "n").alias("r")).select("assertion_id", "r.*")
-    new = new.join(claims.select("assertion_id"), "assertion_id", "left_anti").checkpoint()
-    slots = new.select("slot_id").distinct()
-    old = active_claims(claims.join(slots, "slot_id", "left_semi"), supersedes)
+    new = new.checkpoint()
+    there = maybe_among(claims.select("assertion_id"), "assertion_id", new.select(F.col("assertion_id").alias("id")))
+    new = new.join(there, "assertion_id", "left_anti").checkpoint()
+    slots = new.select(F.col("slot_id").alias("id")).distinct()
+    old = active_claims(maybe_among(claims, "slot_id", slots).join(slots.withColumnRenamed("id", "slot_id"), "slot_id").select(*claims.columns), supersedes)
     none = F.lit(None)
     old = old.select("assertion_id", F.lit(-1).cast("long").alias("n"), "subject_id", "predicate", "value", "actor", "asserted_at", none.cast("array<string>").alias("supersede"), none.cast("boolean").alias("created_subject"), "slot_id")
     rows = new.select(*old.columns).unionByName(old).join(F.broadcast(registry), "predicate", "left")

@@ -43,16 +43,19 @@ final AS (SELECT a.assertion_id, count(b.assertion_id) AS others, arg_min(b.asse
 )
 
 
-def _batch(g: Bound) -> tuple[DataFrame, DataFrame]:
+def _requests(g: Bound) -> DataFrame:
     parts = [g.spark.sql(r.replace("FROM supplier", "FROM {supplier}").replace("FROM part", "FROM {part}"), supplier=g.table("supplier"), part=g.table("part")) for r in _REQUESTS]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionAll(p)
-    rows = rows.select(F.col("n").cast("long").alias("n"), "subject", "predicate", "value", F.lit("batch").alias("actor"), (2e9 + F.col("n")).alias("asserted_at"), F.when(F.col("token").isNotNull(), F.array("token")).alias("supersede"))
+    return rows.select(F.col("n").cast("long").alias("n"), "subject", "predicate", "value", F.lit("batch").alias("actor"), (2e9 + F.col("n")).alias("asserted_at"), F.when(F.col("token").isNotNull(), F.array("token")).alias("supersede"))
+
+
+def _batch(g: Bound) -> tuple[DataFrame, DataFrame]:
     known = {c: F.col(c) for c in g.claims.columns} | {"assertion_id": facts.stable_id(F.col("subject_id"), F.col("predicate"), F.col("value"), F.col("actor")), "slot_id": facts.stable_id(F.col("subject_id"), F.col("predicate"))}
     active = facts.active_claims(g.claims, g.supersedes).select(*(v.alias(c) for c, v in known.items()))
     none = g.supersedes.limit(0)
-    return facts.write_batch(rows, g.nodes, aliases(g), active, none, g.registry)
+    return facts.write_batch(_requests(g), g.nodes, aliases(g), active, none, g.registry)
 
 
 @query(_BATCH + """ SELECT f.assertion_id, f.slot_id, f.subject_id, f.predicate, f.value, 'batch' AS actor, f.asserted_at, f.created_subject,
@@ -65,7 +68,8 @@ def write_batch(g: Bound) -> DataFrame:
 
 @query(_BATCH + " SELECT n, subject, predicate, value, 'unresolved' AS outcome FROM requests JOIN resolved USING (subject) WHERE subject_id IS NULL")
 def write_rejected(g: Bound) -> DataFrame:
-    return _batch(g)[1]
+    requests = _requests(g)
+    return facts.rejected_requests(requests, facts.resolve_subjects(requests, g.nodes, aliases(g)))
 
 
 # Lists of imports and calls: a module's imports come from its parts (absolute, relative, above the package, foreign), a
