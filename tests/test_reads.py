@@ -4,6 +4,7 @@ import re
 
 from weftgraph.bind import Bound
 from weftgraph.operators import anchors, facts, frontier, search
+from weftgraph.plans import batches
 
 
 def test_active_claims_of_a_predicate_leave_pairs_of_others_unread(spark, sf_dir):
@@ -55,3 +56,10 @@ def test_only_nodes_that_subjects_may_name_are_dealt(spark):
     found = facts.resolve_subjects(subjects, nodes, spark.createDataFrame([], "name string, id string"))
     assert sorted((r.subject, r.outcome) for r in found.collect()) == [("ABCDEF0", "prefix"), ("aaaaaaaa-0000-0000-0000-000000000001", "id"), ("abcdef", "ambiguous"), ("abcdefff", "unresolved"), ("new", "minted")]
     assert "_bits" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_batch_reads_claims_of_its_predicates_only(spark, sf_dir):
+    g = Bound(spark, sf_dir)
+    assert {r.predicate for r in batches._requests(g).select("predicate").distinct().collect()} == set(batches.PREDICATES)
+    of = lambda rows: {f.rsplit("/", 1)[-1] for f in rows.inputFiles()}
+    assert "orders.parquet" not in of(facts.active_claims(g.claims.where(batches.mine()), g.supersedes.where(batches.mine())))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.bind import Bound, uid
@@ -51,9 +51,17 @@ def _requests(g: Bound) -> DataFrame:
     return rows.select(F.col("n").cast("long").alias("n"), "subject", "predicate", "value", F.lit("batch").alias("actor"), (2e9 + F.col("n")).alias("asserted_at"), F.when(F.col("token").isNotNull(), F.array("token")).alias("supersede"))
 
 
+PREDICATES = ("version", "color", "return_policy")  # of the batch
+
+
+def mine() -> Column:
+    return F.col("predicate").isin(*PREDICATES)
+
+
 def _batch(g: Bound) -> tuple[DataFrame, DataFrame]:
+    """A slot is one of a predicate, so of the claims only those of the batch's predicates can meet it."""
     known = {c: F.col(c) for c in g.claims.columns} | {"assertion_id": facts.stable_id(F.col("subject_id"), F.col("predicate"), F.col("value"), F.col("actor")), "slot_id": facts.stable_id(F.col("subject_id"), F.col("predicate"))}
-    active = facts.active_claims(g.claims, g.supersedes).select(*(v.alias(c) for c, v in known.items()))
+    active = facts.active_claims(g.claims.where(mine()), g.supersedes.where(mine())).select(*(v.alias(c) for c, v in known.items()))
     none = g.supersedes.limit(0)
     return facts.write_batch(_requests(g), g.nodes, aliases(g), active, none, g.registry)
 
