@@ -3,8 +3,8 @@
 import re
 
 from weftgraph.bind import Bound
-from weftgraph.operators import anchors, facts, frontier, search
-from weftgraph.plans import batches
+from weftgraph.operators import anchors, audit, facts, frontier, search
+from weftgraph.plans import batches, reconcile
 
 
 def test_active_claims_of_a_predicate_leave_pairs_of_others_unread(spark, sf_dir):
@@ -63,3 +63,15 @@ def test_a_batch_reads_claims_of_its_predicates_only(spark, sf_dir):
     assert {r.predicate for r in batches._requests(g).select("predicate").distinct().collect()} == set(batches.PREDICATES)
     of = lambda rows: {f.rsplit("/", 1)[-1] for f in rows.inputFiles()}
     assert "orders.parquet" not in of(facts.active_claims(g.claims.where(batches.mine()), g.supersedes.where(batches.mine())))
+
+
+def test_only_edges_that_may_link_a_reference_are_dealt(spark, sf_dir):
+    found = spark.createDataFrame([("a", "t1", "b"), ("a", "t2", "c"), ("d", "t1", "b"), ("d", "t3", None), ("e", "t4", "b"), ("e", "t4", "c")], "source_id string, token string, id string")
+    edges = spark.createDataFrame([("b", "R", "a"), ("c", "R", "b"), ("a", "R", "d"), ("e", "R", "c"), ("e", "S", "c")], "source_id string, relation_type string, target_id string")
+    left = audit.prose_refs_unlinked(found, edges)
+    assert sorted(map(tuple, left.collect())) == [("a", "t2", "c", False), ("d", "t1", "b", False)]
+    assert "_bits" in left._jdf.queryExecution().optimizedPlan().toString()
+    g = Bound(spark, sf_dir)
+    plain = audit.prose_refs_unlinked(reconcile.prose(g), g.edges)
+    rows = reconcile.prose_refs_unlinked(g)
+    assert rows.count() > 0 and sorted(rows.collect()) == sorted(plain.collect())
