@@ -5,6 +5,7 @@ import re
 from weftgraph.bind import Bound
 from weftgraph.operators import anchors, audit, facts, frontier, search
 from weftgraph.plans import batches, reconcile
+from weftgraph.plans import frontier as work
 
 
 def test_active_claims_of_a_predicate_leave_pairs_of_others_unread(spark, sf_dir):
@@ -75,3 +76,11 @@ def test_only_edges_that_may_link_a_reference_are_dealt(spark, sf_dir):
     plain = audit.prose_refs_unlinked(reconcile.prose(g), g.edges)
     rows = reconcile.prose_refs_unlinked(g)
     assert rows.count() > 0 and sorted(rows.collect()) == sorted(plain.collect())
+
+
+def test_states_of_some_claims_are_those_of_their_subjects(spark, sf_dir):
+    g = Bound(spark, sf_dir)
+    checks = frontier.checks_of(g.edges).where("item_id like '1%'")
+    some = work.states(g, g.claims.join(checks.selectExpr("check_id as subject_id"), "subject_id", "left_semi"))
+    want = frontier.dod_summary(checks, work.states(g))
+    assert want.count() > 0 and sorted(frontier.dod_summary(checks, some).collect()) == sorted(want.collect())

@@ -217,12 +217,19 @@ FROM door d LEFT JOIN vital USING (anchor_id) LEFT JOIN last USING (anchor_id) J
 def portfolio(g: Bound) -> DataFrame:
     rows, door, nodes = with_hubs(g)
     b = buckets(g).checkpoint()
-    filed = frontier.program_of(b, g.edges, work_anchors(g)).select("item_id", "anchor_id").join(b.where("bucket <> 'done'").select("item_id", "bucket"), "item_id")
-    closable = frontier.closable(b, frontier.dod_summary(frontier.checks_of(g.edges), states(g))).select("item_id", F.lit(True).alias("closable"))
-    said = g.nodes.select(F.col("id").alias("item_id"), F.col("statement").startswith("FINDING").alias("finding"))
+    filed = frontier.program_of(b, g.edges, work_anchors(g)).select("item_id", "anchor_id").join(b.where("bucket <> 'done'").select("item_id", "bucket"), "item_id").checkpoint()
+    open_ids = filed.select(F.col("item_id").alias("id"))
+    # Of checks, nodes and claims only what may be at a filed open item, or at what an anchor refers to, is dealt; items are Decisions, as every check has its edge.
+    checks = traverse.maybe_among(frontier.checks_of(g.edges), "item_id", open_ids).checkpoint()
+    done = states(g, traverse.maybe_among(g.claims, "subject_id", checks.select(F.col("check_id").alias("id"))))
+    closable = frontier.closable(filed, frontier.dod_summary(checks, done)).select("item_id", F.lit(True).alias("closable"))
+    said = traverse.maybe_among(g.nodes.where("label = 'Decision'"), "id", open_ids).select(F.col("id").alias("item_id"), F.col("statement").startswith("FINDING").alias("finding"))
     items = filed.join(closable, "item_id", "left").join(said, "item_id", "left").select("item_id", "anchor_id", "bucket", F.coalesce("closable", F.lit(False)).alias("closable"), F.coalesce("finding", F.lit(False)).alias("finding"))
-    touch = g.claims.groupBy(F.col("subject_id").alias("ref")).agg(F.max("asserted_at").alias("last_ts"))
-    return anchors.portfolio(door, anchors.pins(rows, door, nodes).checkpoint(), rows, items, touch, nodes)
+    pinned = anchors.pins(rows, door, nodes).checkpoint()
+    locks = rows.where("kind = 'lock'").select(F.col("value").alias("id"))
+    refs = open_ids.unionAll(door.select("anchor_id")).unionAll(pinned.select("id")).unionAll(locks)
+    touch = traverse.maybe_among(g.claims, "subject_id", refs).groupBy(F.col("subject_id").alias("ref")).agg(F.max("asserted_at").alias("last_ts"))
+    return anchors.portfolio(door, pinned, rows, items, touch, text.met(nodes, door, "anchor_id"))
 
 
 @query(_LEAD + " SELECT source_id, relation_type, target_id FROM edges WHERE source_id IN (SELECT anchor_id FROM door) AND target_id IN (SELECT anchor_id FROM door)")
