@@ -3,7 +3,8 @@
 import re
 
 from weftgraph.bind import Bound
-from weftgraph.operators import anchors, audit, facts, frontier, search
+from weftgraph.model import TEXT_FIELDS
+from weftgraph.operators import anchors, audit, facts, frontier, search, traverse
 from weftgraph.plans import batches, reconcile
 from weftgraph.plans import frontier as work
 
@@ -84,3 +85,19 @@ def test_states_of_some_claims_are_those_of_their_subjects(spark, sf_dir):
     some = work.states(g, g.claims.join(checks.selectExpr("check_id as subject_id"), "subject_id", "left_semi"))
     want = frontier.dod_summary(checks, work.states(g))
     assert want.count() > 0 and sorted(frontier.dod_summary(checks, some).collect()) == sorted(want.collect())
+
+
+def test_a_text_is_read_once_for_all_terms(spark):
+    nodes = spark.createDataFrame([("n1", "red fox"), ("n2", "red"), ("n3", None), ("n4", "none")], "id string, name string")
+    nodes = nodes.selectExpr("id", "name", *(f"cast(null as string) as {f}" for f in TEXT_FIELDS if f != "name"))
+    found = search.find_seeds(nodes, "red fox tail")
+    assert [tuple(r) for r in found.collect()] == [("n1", 2, 0), ("n2", 1, 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
+
+
+def test_few_ids_are_sent_to_the_rows(spark, monkeypatch):
+    rows, ids = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), (None, 4)], "k string, n long"), spark.createDataFrame([("a",), ("a",), (None,)], "id string")
+    few = traverse.narrowed(rows, "k", ids)
+    assert sorted(r.n for r in few.collect()) == [1, 3] and "_bits" not in str(few._jdf.queryExecution().optimizedPlan())
+    monkeypatch.setattr(traverse, "FEW", 1)
+    assert "_bits" in str(traverse.narrowed(rows, "k", ids)._jdf.queryExecution().optimizedPlan().toString())

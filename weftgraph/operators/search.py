@@ -29,7 +29,8 @@ def find_seeds(nodes: DataFrame, task: str, k: int = 6) -> DataFrame:
     terms = terms_of(task)
     text = haystack()
     hits = sum((F.contains(F.col("_hay"), F.lit(t)).cast("int") for t in terms), F.lit(0))
-    best = nodes.select("id", text.alias("_hay")).select("id", hits.alias("hits")).where("hits > 0").orderBy(F.desc("hits"), "id").limit(k)
+    # A node without a hit goes after the cut: a filter on the number before it would read the text anew for every term.
+    best = nodes.select("id", text.alias("_hay")).select("id", hits.alias("hits")).orderBy(F.desc("hits"), "id").limit(k).where("hits > 0")
     return best.agg(F.sort_array(F.collect_list(F.struct((-F.col("hits")).alias("neg"), "id", "hits"))).alias("all")).select(F.posexplode("all").alias("rank", "row")).select("row.id", "row.hits", "rank")
 
 
